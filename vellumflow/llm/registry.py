@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import minhash_dedup, substring_dedup
 
 QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
 }
 
 SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op7_minhash_dedup": minhash_dedup.OP7_SQL,
 }
