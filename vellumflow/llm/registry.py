@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, substring_dedup
+from . import language_id, minhash_dedup, sentencepieces, substring_dedup
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
+    "op9_sentencepieces": sentencepieces.op9_sentencepieces,
 }
 
 SQL = {
