@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, sentencepieces, substring_dedup
+from . import language_id, minhash_dedup, sentencepieces, substring_dedup, topk_search
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_topk_search": topk_search.op2_topk_search,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op9_sentencepieces": sentencepieces.op9_sentencepieces,
 }
 
 SQL = {
+    "op2_topk_search": topk_search.OP2_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_minhash_dedup": minhash_dedup.OP7_SQL,
 }
