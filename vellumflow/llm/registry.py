@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, sentencepieces, substring_dedup, topk_search
+from . import html_text, language_id, minhash_dedup, sentencepieces, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_topk_search": topk_search.op2_topk_search,
+    "op5_html_text": html_text.op5_html_text,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_sentencepieces": sentencepieces.op9_sentencepieces,
 }
 
 SQL = {
     "op2_topk_search": topk_search.OP2_SQL,
+    "op5_html_text": html_text.OP5_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_minhash_dedup": minhash_dedup.OP7_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
 }
