@@ -24,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lattice import Lattice
+from .lattice import Lattice, groups
 from .sentencepieces import Cache
 from .store import table
 from .vocabulary import PIECES, vocabulary
 from .wordhash import slices
 
 _LETTERS = re.compile(r"[^\W\d_]{1,32}")
-_BATCH = 20_000
 #: The probability of a character that is no piece, in every language.
 _UNKNOWN = 1e-7
 
@@ -41,10 +40,9 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _lattices(trie, words: list[str], unknown: int):
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for a in range(0, len(order), _BATCH):
-        group = order[a : a + _BATCH]
-        yield np.array(group), Lattice(trie, [b" " + words[i].encode() for i in group], unknown)
+    marked = [b" " + w.encode() for w in words]
+    for group in groups(marked):
+        yield np.array(group), Lattice(trie, [marked[i] for i in group], unknown)
 
 
 def word_scores(trie, p: np.ndarray, words: list[str]) -> np.ndarray:

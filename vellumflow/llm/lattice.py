@@ -57,6 +57,18 @@ class DoubleArrayTrie:
         self.value = np.concatenate([value, np.full(pad, -1)])[:used].astype(np.int32)
 
 
+def groups(words: list[bytes], most: int = 400_000):
+    """Lists of places in words, by length, of at most `most` positions together (or one longer word): bounds a lattice's memory."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    a = 0
+    while a < len(order):
+        z = a + 1
+        while z < len(order) and (z + 1 - a) * (len(words[order[z]]) + 1) <= most:
+            z += 1
+        yield order[a:z]
+        a = z
+
+
 class Lattice:
     """Arcs of some strings: word, start, end (byte positions in the word) and piece (unknown for a character that is no piece of its own), in order of end, word and start."""
 

@@ -17,20 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lattice import Lattice
+from .lattice import Lattice, groups
 from .store import table
 from .vocabulary import PIECES, vocabulary
 from .wordhash import as_list, slices
 
-_LONG = 256
-
 
 class Cache:
     """What a worker has computed for words, in two generations: when the young one is full it becomes the old one, and what is used again moves over."""
 
     kept: dict = {}
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.young, self.old, self.most = {}, {}, most
 
     @classmethod
@@ -65,21 +63,13 @@ def cuts(surface: list[bytes]) -> str:
 def segment(trie, score: np.ndarray, byte_ids: np.ndarray, words: list[bytes]) -> list[bytes]:
     unknown = len(score)
     full = np.append(score, score[np.isfinite(score)].min(initial=0) - 10)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
     result: list[bytes] = [b""] * len(words)
-    at = 0
-    while at < len(order):
-        longest = len(words[order[at]])
-        take = at + 1
-        while take < len(order) and take - at < 20_000 and (len(words[order[take]]) + 1) * (take - at + 1) < 4_000_000 and len(words[order[take]]) <= max(_LONG, 2 * longest):
-            take += 1
-        group = order[at:take]
+    for group in groups(words):
         found, odd = Lattice(trie, [words[i] for i in group], unknown).viterbi(full)
         for i, raw in zip(group, found, strict=True):
             result[i] = raw
         for x in np.flatnonzero(odd).tolist():
             result[group[x]] = _spelled(np.frombuffer(found[x], np.int32), words[group[x]], unknown, byte_ids, trie)
-        at = take
     return result
 
 
@@ -99,7 +89,11 @@ def _spelled(ids: np.ndarray, word: bytes, unknown: int, byte_ids: np.ndarray, t
     return np.array(out, np.int32).tobytes()
 
 
-def _encoder(shared, key: str):
+def _spoken(surface: list[bytes], ids: np.ndarray) -> str:
+    return b"".join(map(surface.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
+
+
+def _encoder(shared, key: str, also_decoded: bool):
     def run(batches):
         surface, score, byte_ids, trie = shared.value
         trie.lengths = [len(s) for s in surface]
@@ -111,10 +105,13 @@ def _encoder(shared, key: str):
                 found = [parts.findall(" " + t) if t else [] for t in texts]
                 known = cache.look(set().union(*found), lambda new: segment(trie, score, byte_ids, [w.encode() for w in new]))
                 rows = [b"".join(map(known.__getitem__, ws)) for ws in found]
+                del found
                 ids = np.frombuffer(b"".join(rows), np.int32)
                 lists = as_list(ids, np.fromiter(map(len, rows), np.int64, len(rows)) // 4, pa.int32())
-                lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=part.column(0).is_null())
-                yield pa.record_batch([*part.columns[1:], lists], [*part.schema.names[1:], "ids"])
+                made = [pa.ListArray.from_arrays(lists.offsets, lists.values, mask=part.column(0).is_null())]
+                if also_decoded:
+                    made.append(pa.array([None if t is None else _spoken(surface, np.frombuffer(row, np.int32)) for t, row in zip(texts, rows, strict=True)], pa.string()))
+                yield pa.record_batch([*part.columns[1:], *made], [*part.schema.names[1:], "ids", "decoded"][: len(part.columns) - 1 + len(made)])
 
     return run
 
@@ -123,12 +120,7 @@ def _decoder(shared):
     def run(batches):
         surface = shared.value[0]
         for b in batches:
-            texts = []
-            for ids in b.column(0):
-                if not ids.is_valid:
-                    texts.append(None)
-                    continue
-                texts.append(b"".join(map(surface.__getitem__, ids.values.to_numpy().tolist()))[1:].decode("utf-8", "replace"))
+            texts = [_spoken(surface, ids.values.to_numpy()) if ids.is_valid else None for ids in b.column(0)]
             yield pa.record_batch([*b.columns[1:], pa.array(texts, pa.string())], [*b.schema.names[1:], "decoded"])
 
     return run
@@ -140,26 +132,27 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((v.surface, v.score, v.byte_ids, v.trie))
 
 
-def _with(df: DataFrame, made: str, kind: str, source: str, run) -> DataFrame:
-    others = [c for c in df.columns if c != made]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
-    return df.select(F.col(source).alias("_source"), *others).mapInArrow(run, f"{schema}, {made} {kind}")
+def _with(df: DataFrame, made: dict[str, str], source: str, run) -> DataFrame:
+    others = [c for c in df.columns if c not in made]
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others] + [f"{c} {kind}" for c, kind in made.items()])
+    return df.select(F.col(source).alias("_source"), *others).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, text: str = "text", path: str = PIECES) -> DataFrame:
-    """docs with a column ids (array<int>), which replaces one of that name."""
-    return _with(docs, "ids", "array<int>", text, _encoder(_shared(docs.sparkSession, path), path))
+def encode(docs: DataFrame, text: str = "text", path: str = PIECES, also_decoded: bool = False) -> DataFrame:
+    """docs with a column ids (array<int>), which replaces one of that name; also_decoded adds what decode() makes of the ids, without another worker."""
+    made = {"ids": "array<int>"} | ({"decoded": "string"} if also_decoded else {})
+    return _with(docs, made, text, _encoder(_shared(docs.sparkSession, path), path, also_decoded))
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str = PIECES) -> DataFrame:
     """df with a column decoded, which replaces one of that name."""
-    return _with(df, "decoded", "string", ids, _decoder(_shared(df.sparkSession, path)))
+    return _with(df, {"decoded": "string"}, ids, _decoder(_shared(df.sparkSession, path)))
 
 
 def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of pieces, of byte pieces, a hash of the ids, and whether decoding them gives back the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lowest, highest = int(vocabulary().byte_ids.min()), int(vocabulary().byte_ids.max())
-    out = decode(encode(docs))
+    out = encode(docs, also_decoded=True)
     n_bytes = F.size(F.filter("ids", lambda x: (x >= lowest) & (x <= highest)))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), n_bytes.cast("long").alias("n_byte_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
