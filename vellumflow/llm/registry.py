@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, minhash_dedup, sentencepieces, substring_dedup, topk_search, url_filter
+from . import decontaminate, html_text, language_id, license_scan, minhash_dedup, quality, sentencepieces, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_topk_search": topk_search.op2_topk_search,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_html_text": html_text.op5_html_text,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_sentencepieces": sentencepieces.op9_sentencepieces,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {
     "op2_topk_search": topk_search.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op4_license_scan": license_scan.OP4_SQL,
     "op5_html_text": html_text.OP5_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_minhash_dedup": minhash_dedup.OP7_SQL,

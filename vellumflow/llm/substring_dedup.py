@@ -15,8 +15,11 @@ several rows with one doc_id none is earlier than another at the same place. Blo
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +65,7 @@ def _anchors(length: int, k: int):
 def _packed(batches):
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pa.record_batch([b.column(0), b.column(1), pa.array([None if x is None else z.compress(x.encode()) for x in b.column(2).to_pylist()], pa.binary())], ["doc_id", "_row", "packed"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array([None if x is None else z.compress(x.encode()) for x in b.column(2).to_pylist()], pa.binary()), *b.columns[3:]], ["doc_id", "_row", "packed", *b.schema.names[3:]])
 
 
 def _unpacked(column: pa.Array):
@@ -107,7 +110,7 @@ def _blocks(length: int, k: int):
     return run
 
 
-def _parsed(length: int, k: int):
+def _parsed(length: int, k: int, as_is: bool):
     def run(batches):
         for b in batches:
             for i, j, texts in _unpacked(b.column(2)):
@@ -138,24 +141,29 @@ def _parsed(length: int, k: int):
                 ends = np.concatenate([[0], np.cumsum(use)])[w.bounds]
                 text = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(w.data[use].tobytes())).cast(pa.string())
                 removed = np.bincount(w.row[gone], minlength=j - i)
-                yield pa.record_batch([part.column(0), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), text, spans], ["doc_id", "n_words", "n_removed", "kept_text", "spans"])
+                if as_is:
+                    text = pc.if_else(pa.array(removed == 0), texts.cast(pa.string()), text)
+                yield pa.record_batch([part.column(0), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), text, spans, *part.columns[5:]], ["doc_id", "n_words", "n_removed", "kept_text", "spans", *part.schema.names[5:]])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20, k: int = 8) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words, one space between), spans (start, end of each factor, in words)."""
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20, k: int = 8, also: Sequence[str] = (), as_is: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words, one space between), spans (start, end of each factor, in words), and the columns named in also. With as_is, a text that loses nothing keeps its white space."""
     key: Column = F.col(doc_id).cast("long")
-    rows = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("_row"), F.col(text).cast("string").alias("text"))
-    anchors = rows.filter("doc_id is not null").mapInArrow(_anchors(length, k), "gram long, doc_id long, _row long, pos int")
+    rows = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("_row"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"_also_{c}") for c in also])
+    kinds = "".join(f", `_also_{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
+    anchors = rows.select("doc_id", "_row", "text").filter("doc_id is not null").mapInArrow(_anchors(length, k), "gram long, doc_id long, _row long, pos int")
     again = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     places = anchors.join(again, "gram").groupBy("doc_id", "_row").agg(F.collect_list("pos").alias("anchors"))
     places = write_table(places, "anchors")
-    packed = rows.mapInArrow(_packed, "doc_id long, _row long, packed binary")
+    packed = rows.mapInArrow(_packed, f"doc_id long, _row long, packed binary{kinds}")
     held = packed.join(places, ["doc_id", "_row"], "left")
-    index = held.mapInArrow(_blocks(length, k), "block long, doc_id long, _row long, pos int").groupBy("block").agg(F.min(F.struct("doc_id", "pos", "_row")).alias("first"))
+    index = held.select("doc_id", "_row", "packed", "anchors").mapInArrow(_blocks(length, k), "block long, doc_id long, _row long, pos int").groupBy("block").agg(F.min(F.struct("doc_id", "pos", "_row")).alias("first"))
     firsts = index.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first._row").alias("_row")).agg(F.collect_list("first.pos").alias("firsts"))
-    return held.join(firsts, ["doc_id", "_row"], "left").mapInArrow(_parsed(length, k), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
+    whole = held.join(firsts, ["doc_id", "_row"], "left").select("doc_id", "_row", "packed", "anchors", "firsts", *[f"_also_{c}" for c in also])
+    out = whole.mapInArrow(_parsed(length, k, as_is), f"doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>{kinds}")
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", "spans", *[F.col(f"_also_{c}").alias(c) for c in also])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

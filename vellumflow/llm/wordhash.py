@@ -18,6 +18,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower case, with a space for every ASCII character that is neither letter nor digit.
+PLAIN = _LOWER.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,12 +54,12 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of some rows: row (of each word, from 0), start and end (byte positions in data), first (each row's first word; one more entry at the end)."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, bytes_map: np.ndarray | None = None):
         data, offsets = text_buffer(column)
         lo, hi = int(offsets[0]), int(offsets[-1])
         self.data = np.concatenate([data[lo:hi], np.zeros(8, np.uint8)])
-        if lower:
-            self.data = _LOWER[self.data]
+        if lower or bytes_map is not None:
+            self.data = (_LOWER if bytes_map is None else bytes_map)[self.data]
         n, bounds = hi - lo, offsets - lo
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = ~_IS_SPACE[self.data[:n]]
