@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .queries import QUERIES, SQL
+
 FLAGSHIP = "fact_counts"
-QUERIES: dict = {}
-SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
