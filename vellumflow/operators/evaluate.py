@@ -36,10 +36,9 @@ def _fields(df: DataFrame, column: str) -> Sequence[str]:
 
 
 def outcomes(gold: DataFrame, predicted: DataFrame, on: Sequence[str] = ITEM) -> DataFrame:
-    """Each item with tp, fp and fn (0 or 1): one full outer join of the two distinct sets."""
-    g, p = (df.select(*on).distinct().withColumn(side, F.lit(1)) for df, side in ((gold, "_g"), (predicted, "_p")))
-    cond = [g[c].eqNullSafe(p[c]) for c in on]
-    both = g.join(p, cond, "full_outer").select(*[F.coalesce(g[c], p[c]).alias(c) for c in on], F.coalesce("_g", F.lit(0)).alias("_g"), F.coalesce("_p", F.lit(0)).alias("_p"))
+    """Each item with tp, fp and fn (0 or 1). The two sets are tagged and grouped, which shuffles each item once and needs no join."""
+    side = lambda df, g: df.select(*on, F.lit(g).alias("_g"), F.lit(1 - g).alias("_p"))
+    both = side(gold, 1).union(side(predicted, 0)).groupBy(*on).agg(F.max("_g").alias("_g"), F.max("_p").alias("_p"))
     return both.select(*on, (F.col("_g") * F.col("_p")).alias("tp"), ((1 - F.col("_g")) * F.col("_p")).alias("fp"), (F.col("_g") * (1 - F.col("_p"))).alias("fn"))
 
 
