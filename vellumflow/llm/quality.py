@@ -2,7 +2,8 @@
 
 A grade is one of 0 to G. The model gives a text a score s = w.x with weights shared by all grades, and ordered thresholds t_1 < ... < t_G:
 P(grade >= g) = logistic(s - t_g). Features are the hashed words that a text has (letters and digits in lower case), for the buckets that
-occur in `least` documents of the sample or more, and a few shares and lengths. The expected grade is the sum of the tail probabilities.
+occur in `least` documents of the sample or more and whose documents' mean grade is `strong` standard errors or more from that of all, and
+a few shares and lengths. (Without this choice, chance weights of many rare words outweigh a few telling ones in long texts.) The expected grade is the sum of the tail probabilities.
 
 The fit uses about `sample` labelled documents, chosen by a hash of their ids, and at most `most_words` words of each; both are parameters.
 Every text is scored whole.
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import fold
+from .sentencepieces import add_columns
 from .store import table
 from .wordhash import PLAIN, Words, as_list, slices
 
@@ -99,7 +101,7 @@ def fit(grade: np.ndarray, row: np.ndarray, column: np.ndarray, n_columns: int,
     return theta[:k], theta[k : k + d], theta[k + d] + np.concatenate([[0], np.cumsum(np.exp(theta[k + d + 1 :]))])
 
 
-def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = 6000, most_words: int = 20_000, least: int = 4):
+def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = 12_000, most_words: int = 20_000, least: int = 4, strong: float = 3.5):
     """Learns from the ratings (doc_id, grade from 0) of documents; None if there are none."""
     rated = ratings.select(F.col(doc_id).alias("doc_id"), F.col(grade).cast("int").alias("grade")).filter("doc_id is not null and grade >= 0")
     n = rated.count()
@@ -116,7 +118,8 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
     dense = got.column("dense").combine_chunks().flatten().to_numpy().reshape(-1, _DENSE)
     mean, spread = dense.mean(0), dense.std(0) + 1e-6
     known, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    common = times >= least
+    mean_grade = np.bincount(column, y[row].astype(float)) / times
+    common = (times >= least) & (np.abs(mean_grade - y.mean()) * np.sqrt(times) >= strong * max(y.std(), 1e-9))
     new = np.cumsum(common) - 1
     use = common[column]
     top = max(1, int(y.max()))
@@ -124,20 +127,21 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
     return known[common], weights, own, cuts, mean, spread
 
 
-def _scored(shared):
+def _scored(shared, at: int, drop: bool):
     def run(batches):
         known, weights, own, cuts, mean, spread = shared.value
         held = np.zeros(1 << _BITS, bool)
         held[known] = True
         for b in batches:
-            for i, j in slices(b.column(0)):
+            for i, j in slices(b.column(at)):
                 part = b.slice(i, j - i)
-                row, bucket, dense = features(part.column(0))
+                row, bucket, dense = features(part.column(at))
+                part = part.drop_columns(part.schema.names[at]) if drop else part
                 some = np.bincount(row, minlength=j - i) > 0
                 mine = held[bucket]
                 s = np.bincount(row[mine], weights[np.searchsorted(known, bucket[mine])], j - i) + np.clip((dense - mean) / spread, -6, 6) @ own
                 tail = np.where(some[:, None], 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -40, 40))), 0.0)
-                yield pa.record_batch([*part.columns[1:], pa.array(tail.sum(1)), as_list(tail.ravel(), np.full(j - i, len(cuts)), pa.float64())], [*part.schema.names[1:], "expected_grade", "tails"])
+                yield pa.record_batch([*part.columns, pa.array(tail.sum(1)), as_list(tail.ravel(), np.full(j - i, len(cuts)), pa.float64())], [*part.schema.names, "expected_grade", "tails"])
 
     return run
 
@@ -147,9 +151,8 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c not in ("expected_grade", "tails")]
     if model is None:
         return docs.select(*others, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("array<double>").alias("tails"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(text).cast("string").alias("_source"), *others).mapInArrow(_scored(shared), f"{schema}, expected_grade double, tails array<double>")
+    return add_columns(docs, text, {"expected_grade": "double", "tails": "array<double>"}, lambda at, drop: _scored(shared, at, drop))
 
 
 def grades(labels: DataFrame) -> DataFrame:
