@@ -78,9 +78,18 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write_chunks(df: DataFrame, path: str) -> None:
-    """The chunk table with a stable idx for each row, partitioned by corpus."""
-    order = Window.partitionBy("corpus").orderBy("doc_id", "position")
-    df.withColumn("idx", F.row_number().over(order) - 1).write.partitionBy("corpus").mode("overwrite").parquet(path)
+    """The chunk table with idx, each row's place in its corpus by doc_id and position, partitioned by corpus.
+
+    Rows are sorted by range over all tasks; a row's place is that in its task plus the number of the corpus's rows in tasks before, so
+    that no corpus has to pass through one task. The counts are as many as tasks and corpora.
+    """
+    order = ["corpus", "doc_id", "position"]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    counts = rows.groupBy("corpus", "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("corpus").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.withColumn("_before", before).select("corpus", "_task", "_first", "_before"))  # a row for each task and corpus
+    out = rows.join(starts, ["corpus", "_task"]).withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before"))
+    out.drop("_task", "_at", "_first", "_before").write.partitionBy("corpus").mode("overwrite").parquet(path)
 
 
 def report(df: DataFrame) -> DataFrame:
