@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import table, with_small_batches
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -224,7 +224,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages, without the html column, with a column main_text, which replaces one of that name."""
     others = [c for c in pages.columns if c not in ("main_text", html)]
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in others)
-    return pages.select(F.col(html).cast("string").alias("_source"), *others).mapInArrow(_extracted, f"{schema}, main_text string" if others else "main_text string")
+    return with_small_batches(pages).select(F.col(html).cast("string").alias("_source"), *others).mapInArrow(_extracted, f"{schema}, main_text string" if others else "main_text string")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lattice import Lattice, groups
-from .sentencepieces import Cache
-from .store import table
+from .sentencepieces import Cache, add_columns
+from .store import table, with_small_batches
 from .vocabulary import PIECES, vocabulary
-from .wordhash import slices
+from .wordhash import release_memory, slices
 
 _LETTERS = re.compile(r"[^\W\d_]{1,32}")
 #: The probability of a character that is no piece, in every language.
@@ -88,7 +88,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     if not found:
         return None
     share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], float(min(1.0, sample / r["count"])))])
-    chosen = rows.filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    chosen = with_small_batches(rows).filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     counted = chosen.select("lang", "text").mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     got = counted.orderBy(F.desc("n"), "lang", "word").limit(words).collect()
     langs = sorted({r["lang"] for r in got})
@@ -102,14 +102,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return langs, fit(v.trie, len(v.surface), list(known), times)
 
 
-def _predict(shared, key: str):
+def _predict(shared, key: str, at: int, drop: bool):
+    """at: the text's column; drop: it was sent for this only."""
+
     def run(batches):
         langs, p, trie = shared.value
         cache = Cache.of(("language", key))
         for b in batches:
-            for i, j in slices(b.column(0)):
+            for i, j in slices(b.column(at)):
                 part = b.slice(i, j - i)
-                found = [words_of(t) for t in part.column(0).to_pylist()]
+                found = [words_of(t) for t in part.column(at).to_pylist()]
                 new = set().union(*found)
                 known = cache.look(new, lambda ws: [x.tobytes() for x in word_scores(trie, p, ws)])
                 best, score = [], []
@@ -127,18 +129,18 @@ def _predict(shared, key: str):
                         k = int(np.argmax(s))
                         best.append(langs[k])
                         score.append(float(1 / np.exp(s - s[k]).sum()))
-                yield pa.record_batch([*part.columns[1:], pa.array(best, pa.string()), pa.array(score)], [*part.schema.names[1:], "lang_pred", "lang_score"])
+                part = part.drop_columns(part.schema.names[at]) if drop else part
+                yield pa.record_batch([*part.columns, pa.array(best, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "lang_score"])
+        release_memory()
 
     return run
 
 
 def predict(docs: DataFrame, model, text: str = "text", path: str = PIECES) -> DataFrame:
     """docs with columns lang_pred and lang_score, which replace ones of those names."""
-    others = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     langs, p = model or ([], np.zeros((len(vocabulary(path).surface) + 1, 0)))
     shared = docs.sparkSession.sparkContext.broadcast((langs, p, vocabulary(path).trie))
-    return docs.select(F.col(text).alias("_source"), *others).mapInArrow(_predict(shared, uuid.uuid4().hex), f"{schema}, lang_pred string, lang_score double")
+    return add_columns(docs, text, {"lang_pred": "string", "lang_score": "double"}, lambda at, drop: _predict(shared, uuid.uuid4().hex, at, drop))
 
 
 def fold(doc_id: str = "doc_id") -> Column:

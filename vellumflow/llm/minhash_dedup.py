@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .store import table, write_table
+from .store import table, with_small_batches, write_table
 from .wordhash import Words, as_list, grams, mix, run_starts, slices
 
 _ROWS = 4096
@@ -208,7 +208,7 @@ def _in_block_pairs(rows: DataFrame, key: str, member: str, least: int, most: in
 
 def minhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, k: int = 48, c: int = 25, block_rows: int = 128, most_rows: int = 4096, broadcast_rows: int = 250_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id (smallest doc_id with this shingle set), component_id (smallest doc_id of the group)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = with_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = write_table(rows.mapInArrow(_signatures(size, k), "doc_id long, n long, s1 long, s2 long, sig binary"), "signed")
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = write_table(classes, "classes")

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lattice import Lattice, groups
-from .store import table
+from .store import table, with_small_batches
 from .vocabulary import PIECES, vocabulary
-from .wordhash import as_list, slices
+from .wordhash import as_list, release_memory, slices
 
 
 class Cache:
@@ -93,35 +93,38 @@ def _spoken(surface: list[bytes], ids: np.ndarray) -> str:
     return b"".join(map(surface.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
-def _encoder(shared, key: str, also_decoded: bool):
+def _encoder(shared, key: str, also_decoded: bool, at: int, drop: bool):
     def run(batches):
         surface, score, byte_ids, trie = shared.value
         trie.lengths = [len(s) for s in surface]
         parts, cache = re.compile(cuts(surface)), Cache.of(("encode", key))
         for b in batches:
-            for i, j in slices(b.column(0)):
+            for i, j in slices(b.column(at)):
                 part = b.slice(i, j - i)
-                texts = part.column(0).to_pylist()
+                texts = part.column(at).to_pylist()
                 found = [parts.findall(" " + t) if t else [] for t in texts]
                 known = cache.look(set().union(*found), lambda new: segment(trie, score, byte_ids, [w.encode() for w in new]))
                 rows = [b"".join(map(known.__getitem__, ws)) for ws in found]
                 del found
                 ids = np.frombuffer(b"".join(rows), np.int32)
                 lists = as_list(ids, np.fromiter(map(len, rows), np.int64, len(rows)) // 4, pa.int32())
-                made = [pa.ListArray.from_arrays(lists.offsets, lists.values, mask=part.column(0).is_null())]
+                made = [pa.ListArray.from_arrays(lists.offsets, lists.values, mask=part.column(at).is_null())]
                 if also_decoded:
                     made.append(pa.array([None if t is None else _spoken(surface, np.frombuffer(row, np.int32)) for t, row in zip(texts, rows, strict=True)], pa.string()))
-                yield pa.record_batch([*part.columns[1:], *made], [*part.schema.names[1:], "ids", "decoded"][: len(part.columns) - 1 + len(made)])
+                part = part.drop_columns(part.schema.names[at]) if drop else part
+                yield pa.record_batch([*part.columns, *made], [*part.schema.names, *["ids", "decoded"][: len(made)]])
+        release_memory()
 
     return run
 
 
-def _decoder(shared):
+def _decoder(shared, at: int, drop: bool):
     def run(batches):
         surface = shared.value[0]
         for b in batches:
-            texts = [_spoken(surface, ids.values.to_numpy()) if ids.is_valid else None for ids in b.column(0)]
-            yield pa.record_batch([*b.columns[1:], pa.array(texts, pa.string())], [*b.schema.names[1:], "decoded"])
+            texts = [_spoken(surface, ids.values.to_numpy()) if ids.is_valid else None for ids in b.column(at)]
+            b = b.drop_columns(b.schema.names[at]) if drop else b
+            yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return run
 
@@ -132,21 +135,26 @@ def _shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((v.surface, v.score, v.byte_ids, v.trie))
 
 
-def _with(df: DataFrame, made: dict[str, str], source: str, run) -> DataFrame:
-    others = [c for c in df.columns if c not in made]
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others] + [f"{c} {kind}" for c, kind in made.items()])
-    return df.select(F.col(source).alias("_source"), *others).mapInArrow(run, schema)
+def add_columns(df: DataFrame, source: str, made: dict[str, str], task) -> DataFrame:
+    """df with the columns made (name and type), which replace those of these names. The source column goes to the workers once: task(at, drop) makes their function from its place and whether it has to leave."""
+    kept = [c for c in df.columns if c not in made]
+    drop = source not in kept
+    sent = df.select(*kept, *([F.col(source).alias("_source")] if drop else []))
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {kind}" for c, kind in made.items()])
+    return with_small_batches(sent).mapInArrow(task(sent.columns.index("_source" if drop else source), drop), schema)
 
 
 def encode(docs: DataFrame, text: str = "text", path: str = PIECES, also_decoded: bool = False) -> DataFrame:
     """docs with a column ids (array<int>), which replaces one of that name; also_decoded adds what decode() makes of the ids, without another worker."""
     made = {"ids": "array<int>"} | ({"decoded": "string"} if also_decoded else {})
-    return _with(docs, made, text, _encoder(_shared(docs.sparkSession, path), path, also_decoded))
+    shared = _shared(docs.sparkSession, path)
+    return add_columns(docs, text, made, lambda at, drop: _encoder(shared, path, also_decoded, at, drop))
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str = PIECES) -> DataFrame:
     """df with a column decoded, which replaces one of that name."""
-    return _with(df, {"decoded": "string"}, ids, _decoder(_shared(df.sparkSession, path)))
+    shared = _shared(df.sparkSession, path)
+    return add_columns(df, ids, {"decoded": "string"}, lambda at, drop: _decoder(shared, at, drop))
 
 
 def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:

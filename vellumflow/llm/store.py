@@ -17,6 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the Arrow batches of its session: texts may be long, and each worker and its JVM hold some batches outside the heap."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def write_table(df: DataFrame, hint: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later stages then no longer depend on executors' shuffle files."""
     path = f"{shared_dir(df.sparkSession)}/vf-{hint}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table, write_table
+from .store import table, with_small_batches, write_table
 from .wordhash import Words, as_list, grams, run_starts, slices
 
 
@@ -151,7 +151,7 @@ def _parsed(length: int, k: int, as_is: bool):
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20, k: int = 8, also: Sequence[str] = (), as_is: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words, one space between), spans (start, end of each factor, in words), and the columns named in also. With as_is, a text that loses nothing keeps its white space."""
     key: Column = F.col(doc_id).cast("long")
-    rows = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("_row"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"_also_{c}") for c in also])
+    rows = with_small_batches(docs).select(key.alias("doc_id"), F.xxhash64(text).alias("_row"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"_also_{c}") for c in also])
     kinds = "".join(f", `_also_{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
     anchors = rows.select("doc_id", "_row", "text").filter("doc_id is not null").mapInArrow(_anchors(length, k), "gram long, doc_id long, _row long, pos int")
     again = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")

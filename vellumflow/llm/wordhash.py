@@ -6,6 +6,8 @@ separators are ASCII. Hashes are 64-bit; two different words or word sequences a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,13 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def release_memory() -> None:
+    """Gives what a finished task of this worker no longer uses back to the system, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Words:
     """The words of some rows: row (of each word, from 0), start and end (byte positions in data), first (each row's first word; one more entry at the end)."""
 
