@@ -159,7 +159,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048,
     asked = write_table(asked.mapInArrow(_packed(d, block, seeds, k), kind), "queries")
     asked = asked.select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"), "floor").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     candidates = candidates.select(F.col("ids").alias("c_ids"), F.col("ints").alias("c_ints"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = asked.join(candidates, "salt").select("q_ids", "q_ints", "floor", "c_ids", "c_ints")
+    pairs = asked.hint("merge").join(candidates, "salt").select("q_ids", "q_ints", "floor", "c_ids", "c_ints")
     found = pairs.mapInArrow(_pairs(shared, d, k), "query_id long, vec_id long, score long")
     best = F.row_number().over(_window("query_id"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
