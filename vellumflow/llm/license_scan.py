@@ -161,15 +161,19 @@ def detections(text: str, low: str, rules: list[Rule]) -> Column:
     """All matches of the rules whose keyword occurs: an array of (priority, start, back, rule, end, label, score), where back is minus the length."""
     known = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.number).alias("number")) for r in rules])
 
+    length = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, s: a + F.length(s))
+
     def places(r: Column) -> Column:
-        whole = F.regexp_extract_all(F.col(text), r["pattern"], F.lit(0))
+        def all_of(x: Column) -> Column:
+            def one(m: Column, k: Column) -> Column:
+                start = length(x["between"], k + 1) + length(x["whole"], k)
+                return F.struct(r["priority"].alias("priority"), start.alias("start"), (-F.length(m)).alias("back"), r["number"].alias("rule"), (start + F.length(m)).alias("end"), r["label"].alias("label"), r["score"].alias("score"))
 
-        def one(m: Column, k: Column) -> Column:
-            length = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, s: a + F.length(s))
-            start = length(F.split(F.col(text), r["pattern"], -1), k + 1) + length(whole, k)
-            return F.struct(r["priority"].alias("priority"), start.alias("start"), (-F.length(m)).alias("back"), r["number"].alias("rule"), (start + F.length(m)).alias("end"), r["label"].alias("label"), r["score"].alias("score"))
+            return F.transform(x["whole"], one)
 
-        return F.transform(whole, one)
+        # As a lambda's variable both arrays are worked out once for each rule, not for each match.
+        both = F.struct(F.regexp_extract_all(F.col(text), r["pattern"], F.lit(0)).alias("whole"), F.split(F.col(text), r["pattern"], -1).alias("between"))
+        return F.flatten(F.transform(F.array(both), all_of))
 
     return F.flatten(F.transform(F.filter(known, lambda r: F.col(low).contains(r["keyword"])), places))
 
