@@ -154,7 +154,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = with_small_batches(docs).select(key.alias("doc_id"), F.xxhash64(text).alias("_row"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"_also_{c}") for c in also])
     kinds = "".join(f", `_also_{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
     anchors = rows.select("doc_id", "_row", "text").filter("doc_id is not null").mapInArrow(_anchors(length, k), "gram long, doc_id long, _row long, pos int")
-    again = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Written, so that both sides of the join have exchanges of their own and AQE can split a very common gram.
+    again = write_table(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "again")
     places = anchors.join(again, "gram").groupBy("doc_id", "_row").agg(F.collect_list("pos").alias("anchors"))
     places = write_table(places, "anchors")
     packed = rows.mapInArrow(_packed, f"doc_id long, _row long, packed binary{kinds}")
