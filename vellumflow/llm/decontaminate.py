@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits in lower case; shingles are `size` consecutive words, as 64-bit hashes. A window of a document has as
 many words as the item it is held against (the whole text, if that is shorter). A window without any shingle of an item has similarity
-zero, so only windows around shared shingles are looked at: an item's shingle j at a document's position i stands for the
-windows that start at i - j, give or take what a similarity of `percent` lets out of step.
+zero; more than that, a similarity of `percent` takes percent / (100 + percent) of the shingles of both (8/9 of the item's by default).
+So all windows that have that many places with shingles of one item are looked at, in whatever order these stand.
 
 Each window and each item has a 64-bit SimHash of its shingles, weighted by their number. The fingerprint is cut into radius + 1 blocks:
 two fingerprints within the radius agree in one of them, so joining on (window length, block, its bits) finds all pairs within the radius.
@@ -71,6 +71,24 @@ def shared_shingles(a: str, b: str) -> Column:
     return F.expr(f"aggregate(array_distinct({a}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
 
 
+def window_starts(at: str, shingles: str, m: str, percent: int) -> Column:
+    """Starts of the windows of m shingles that hold enough of the places `at` for a similarity of `percent`, each once, whatever the order of the item's shingles in them."""
+    size = F.size(shingles)
+    need = F.floor((percent * (F.least(size, F.col(m)) + F.col(m)) + (99 + percent)) / (100 + percent)).cast("int")
+
+    def starts(p: Column) -> Column:
+        def of(k: Column) -> Column:
+            # Windows that hold the places from k to k + need - 1 and begin after place k - 1.
+            low = F.greatest(F.get(p, k + need - 1) - F.col(m) + 1, F.coalesce(F.get(p, k - 1) + 1, F.lit(0)), F.lit(0))
+            high = F.least(F.get(p, k), F.greatest(size - F.col(m), F.lit(0)))
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        return F.when(F.size(p) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - need), of)))
+
+    # As a lambda's variable the sorted places are worked out once.
+    return F.element_at(F.transform(F.array(F.array_sort(at)), starts), 1)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, percent: int = 80, radius: int = 24, broadcast_shingles: int = 500_000) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): for each document and item with a window of at least `percent` hundredths, the first of its best windows."""
     known = with_shingles(items.select(F.col(item_id).alias("item_id"), words(F.col(item_text).cast("string")).alias("_w")), "_w", size)
@@ -78,25 +96,24 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     known = write_table(known.withColumn("item_fp", simhash("item_sh")), "items")
     small = (known.agg(F.sum(F.size("item_sh"))).first()[0] or 0) <= broadcast_shingles
     hint = F.broadcast if small else (lambda df: df)
-    posts = known.select(F.posexplode("item_sh").alias("j", "h"), F.size("item_sh").alias("m"), "item_sh").select("h", "j", "m", F.when(F.col("j") > 0, F.expr("element_at(item_sh, j)")).alias("before")).distinct()
+    # A similarity of percent takes that share of the item's shingles, however short the text.
+    enough = 100 * F.size("at") >= percent * F.col("m")
+    posts = known.select(F.explode("item_sh").alias("h"), "item_id", F.size("item_sh").alias("m")).distinct()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text).cast("string")).alias("_w")).filter("doc_id is not null")
     rows = with_shingles(rows, "_w", size).select("doc_id", "_sh")
     # The outer form, since an inner one has Spark filter by size(_sh) below the projections, which works out all shingles several times over.
     if small:
         hits = rows.select("doc_id", "_sh", F.posexplode_outer("_sh").alias("i", "h")).join(F.broadcast(posts), "h")
+        hits = hits.groupBy("doc_id", "_sh", "item_id", "m").agg(F.collect_set("i").alias("at"))
     else:
-        places = rows.select("doc_id", F.posexplode_outer("_sh").alias("i", "h")).join(posts, "h").select("doc_id", "i", "j", "m", "before")
-        hits = places.join(rows, "doc_id")
-    opens = (F.col("i") == 0) | F.col("before").isNull() | (F.expr("element_at(_sh, greatest(i, 1))") != F.col("before"))
-    hits = hits.filter(opens)
-    slip = F.floor(F.col("m") * (100 - percent) / (100 + percent)).cast("int")
-    last = F.greatest(F.size("_sh") - F.col("m"), F.lit(0))
-    low, high = (F.least(F.greatest(F.col("i") - F.col("j") + d * slip, F.lit(0)), last) for d in (-1, 1))
-    hits = hits.withColumn("low", low).withColumn("high", high)
-    hits = hits.select("doc_id", "m", "low", "high", F.slice("_sh", F.col("low") + 1, F.col("high") - F.col("low") + F.col("m")).alias("part"))
+        rows = rows.withColumn("_row", F.xxhash64("_sh"))
+        places = rows.select("doc_id", "_row", F.posexplode_outer("_sh").alias("i", "h")).join(posts, "h")
+        places = places.groupBy("doc_id", "_row", "item_id", "m").agg(F.collect_set("i").alias("at"))
+        hits = places.filter(enough).join(rows.dropDuplicates(["doc_id", "_row"]), ["doc_id", "_row"])
+    windows = hits.filter(enough).select("doc_id", "m", "_sh", F.explode(window_starts("at", "_sh", "m", percent)).alias("start"))
     # The shuffle spreads documents with many hits; what follows is costly per window.
-    windows = hits.distinct().select("doc_id", "m", F.explode(F.sequence("low", "high")).alias("start"), "low", "part").select("doc_id", "m", "start", F.slice("part", F.col("start") - F.col("low") + 1, F.col("m")).alias("win"))
+    windows = windows.select("doc_id", "m", "start", F.slice("_sh", F.col("start") + 1, F.col("m")).alias("win")).distinct()
     windows = write_table(windows.withColumn("fp", simhash("win")), "windows")
 
     left = windows.select("*", F.explode(blocks("fp", radius)).alias("block"))
