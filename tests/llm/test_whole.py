@@ -3,9 +3,11 @@
 import random
 
 from pyspark.sql import functions as F
+from test_entry import DIR, needs_data
 from test_methods import corpus, edited
 
 from vellumflow.llm import decontaminate
+from vellumflow.plans.registry import QUERIES
 
 
 def test_decontamination_of_reordered_passages(spark):
@@ -34,3 +36,10 @@ def test_decontamination_of_reordered_passages(spark):
         got = decontaminate.contaminated(to_df(docs, "doc_id"), to_df(items, "item_id"), broadcast_shingles=most).collect()
         assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in got} == want
     assert swapped > 5
+
+
+@needs_data
+def test_every_event_is_repaired(spark):
+    got = QUERIES["json_repaired"](spark, DIR)
+    events = spark.read.parquet(f"{DIR}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    assert got.exceptAll(events).isEmpty() and events.exceptAll(got).isEmpty()
