@@ -61,8 +61,7 @@ def fitting(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(source, target) urls of canonical links and of redirects by refresh."""
-    low = F.col(html)
-    some = pages.filter(low.contains("canonical") | low.contains("CANONICAL") | low.contains("refresh") | low.contains("REFRESH"))
+    some = pages.filter(F.lower(html).rlike("canonical|refresh"))
     found = F.array(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1))
     return some.select(F.col(url).alias("source"), F.explode(found).alias("target")).filter("target like '%://%'")
 
