@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_entry import DIR, needs_data
 from test_methods import corpus, edited
 
-from vellumflow.llm import decontaminate, url_filter
+from vellumflow.llm import decontaminate, license_scan, url_filter
 from vellumflow.plans.registry import QUERIES
 
 
@@ -49,3 +49,13 @@ def test_links_in_mixed_case(spark):
     pages = [("http://a/1", '<LINK Rel="Canonical" HREF="http://b/1">'), ("http://a/2", '<meta http-equiv="Refresh" content="0; URL=http://b/2">'), ("http://a/3", '<meta HTTP-EQUIV=reFresh content="0;url=http://b/3">'), ("http://a/4", "<p>none</p>"), ("http://a/5", None)]
     got = url_filter.html_links(spark.createDataFrame(pages, "url string, html string"))
     assert sorted(map(tuple, got.collect())) == [(f"http://a/{i}", f"http://b/{i}") for i in (1, 2, 3)]
+
+
+def scanned(spark, texts):
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    return [(r["labels"], r["score"]) for r in rows]
+
+
+def test_no_gate_but_the_keywords(spark):
+    got = scanned(spark, ["Released under the MIT terms.", "It is available under MIT", "commit to a limit", "", None])
+    assert got == [(["mit"], 0.85), (["mit"], 0.85), ([], 0.0), ([], 0.0), ([], 0.0)]
