@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_entry import DIR, needs_data
 from test_methods import corpus, edited
 
-from vellumflow.llm import decontaminate, license_scan, url_filter
+from vellumflow.llm import decontaminate, language_id, license_scan, url_filter
 from vellumflow.plans.registry import QUERIES
 
 
@@ -59,3 +59,16 @@ def scanned(spark, texts):
 def test_no_gate_but_the_keywords(spark):
     got = scanned(spark, ["Released under the MIT terms.", "It is available under MIT", "commit to a limit", "", None])
     assert got == [(["mit"], 0.85), (["mit"], 0.85), ([], 0.0), ([], 0.0), ([], 0.0)]
+
+
+def test_each_language_keeps_its_words(spark):
+    rng = random.Random(12)
+    word = lambda lang: "".join(rng.choice(lang) for _ in range(5))
+    rows = [(i, " ".join([word("abcdefg")] * 5), "aa") for i in range(60)] + [(100 + i, " ".join(word("qrstuvw") for _ in range(4)), "zz") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, p = language_id.train(docs, words=20)
+    assert langs == ["aa", "zz"] and p.shape[1] == 2
+    got = language_id.predict(spark.createDataFrame([(1, "qrst wvuts rrqst")], "doc_id int, text string"), (langs, p)).first()
+    assert got["lang_pred"] == "zz"
+    many = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}", f"l{i:03}") for i in range(510)], "doc_id long, text string, lang string")
+    assert len(language_id.train(many)[0]) == 510

@@ -8,8 +8,9 @@ Words are runs of letters, in lower case, with the marker of a word start; longe
 reaches over a word, each distinct word is summed once per worker (a cache of bounded size).
 
 Training is expectation-maximisation over word counts of labelled documents: about `sample` documents of each language, chosen by a hash
-of their ids, of which the `words` most frequent (language, word) pairs count. Both bounds are parameters; the model's size is that of
-the vocabulary times the number of languages.
+of their ids, of which the `words` most frequent words of each language count, so that every labelled language keeps its own. Both
+bounds are parameters and hold for each language by itself; the number of languages has none. The model's size is that of the vocabulary
+times the number of languages, and it is held by the driver and every worker.
 
 Results: null text, text without letters, and any text if nothing could be learned, is `und` with score 0.
 """
@@ -21,7 +22,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lattice import Lattice, groups
@@ -53,7 +55,22 @@ def word_scores(trie, p: np.ndarray, words: list[str]) -> np.ndarray:
     return out
 
 
-def fit(trie, n_pieces: int, words: list[str], times: np.ndarray, rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
+class Times:
+    """Counts n of words (numbers in ascending order) in languages (numbers), of which only those of the words asked for are spread over an array [word, language]."""
+
+    def __init__(self, word: np.ndarray, lang: np.ndarray, n: np.ndarray, words: int, langs: int):
+        self.lang, self.n, self.shape = lang, n, (words, langs)
+        self.first = np.searchsorted(word, np.arange(words + 1))
+
+    def __getitem__(self, asked: np.ndarray) -> np.ndarray:
+        sizes = self.first[asked + 1] - self.first[asked]
+        at = np.repeat(self.first[asked] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out = np.zeros((len(asked), self.shape[1]))
+        out[np.repeat(np.arange(len(asked)), sizes), self.lang[at]] = self.n[at]
+        return out
+
+
+def fit(trie, n_pieces: int, words: list[str], times: np.ndarray | Times, rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
     """Piece probabilities by language, with a last row for unknown characters. times[w, l]: how often language l has word w. Each language is mixed with the average of all, smoothed by `smooth` uses of every piece."""
     p = np.full((n_pieces + 1, times.shape[1]), 1 / n_pieces)
     p[-1] = _UNKNOWN
@@ -81,25 +98,22 @@ def _counts(batches):
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 300, words: int = 150_000, path: str = PIECES, most_langs: int = 500):
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 300, words: int = 150_000, path: str = PIECES):
     """Learns (languages, probabilities) from the rows of docs that have a language and a text; None if there are none."""
     rows = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    if not found:
-        return None
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], float(min(1.0, sample / r["count"])))])
-    chosen = with_small_batches(rows).filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count("*")).alias("share"))
+    chosen = with_small_batches(rows).join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
     counted = chosen.select("lang", "text").mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.desc("n"), "lang", "word").limit(words).collect()
-    langs = sorted({r["lang"] for r in got})
-    if not langs:
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    got = counted.withColumn("k", rank).filter(F.col("k") <= words).select("lang", "word", "n").toArrow()
+    if not got.num_rows:
         return None
-    known = {w: i for i, w in enumerate(sorted({r["word"] for r in got}))}
-    times = np.zeros((len(known), len(langs)))
-    for r in got:
-        times[known[r["word"]], langs.index(r["lang"])] = r["n"]
+    langs, known = (sorted(pc.unique(got.column(c)).to_pylist()) for c in ("lang", "word"))
+    word, own = (pc.index_in(got.column(c).combine_chunks(), pa.array(of, pa.string())).to_numpy() for c, of in (("word", known), ("lang", langs)))
+    order = np.argsort(word, kind="stable")
+    times = Times(word[order], own[order], got.column("n").to_numpy()[order], len(known), len(langs))
     v = vocabulary(path)
-    return langs, fit(v.trie, len(v.surface), list(known), times)
+    return langs, fit(v.trie, len(v.surface), known, times)
 
 
 def _predict(shared, key: str, at: int, drop: bool):
