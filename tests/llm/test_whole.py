@@ -72,3 +72,12 @@ def test_each_language_keeps_its_words(spark):
     assert got["lang_pred"] == "zz"
     many = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}", f"l{i:03}") for i in range(510)], "doc_id long, text string, lang string")
     assert len(language_id.train(many)[0]) == 510
+
+
+def test_link_ends_that_are_no_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.org/x"), (3, "http://c.net/x"), (4, "http://d.org/x"), (5, "http://example.com/de")], "page_id int, url string")
+    links = [("http://a.org/x", "http://gone.net/y"), ("http://b.org/x", "http://example.com/de/z"), ("http://out.org/x", "http://c.net/x"), ("http://d.org/x", "http://gone.net/q"), ("http://d.org/x", "http://example.net/en/q"), ("http://example.com/de", "http://www.example.com/de/")]
+    got = url_filter.url_verdicts(pages, spark.createDataFrame(links, "source string, target string"))
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block"}
+    one = url_filter.url_verdicts(pages, spark.createDataFrame(links[-1:], "source string, target string"))
+    assert {r["page_id"]: r["verdict"] for r in one.collect()} == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "block"}

@@ -4,11 +4,11 @@ Explicit rules come first: a rule (host suffix and path prefix) fits its host an
 that redirect to one another, name one another as canonical, or differ only in scheme, `www.`, tracking parameters, fragment or a
 trailing slash are aliases: distributed connected components over the redirect and canonical-link edges. A block reaches all
 aliases of a blocked url, but an explicit allow has precedence: it holds for its own url, and aliases of an allowed url are not blocked
-by propagation. All else is allowed.
+by propagation. Urls at the ends of links count although they may not be among the pages. All else is allowed.
 
 Component decisions are grouped with maxima, combined before the shuffle; only blocked components are joined back.
 
-Results: a null url, or one without `://`, has empty host and path, fits no rule, has no aliases and is allowed. Links to oneself or to
+Results: a null url, or one without `://`, has empty host and path, fits no rule, has no aliases and is allowed. Links to oneself join nothing, and those to
 something that is no absolute url are ignored. Repeated pages get the same verdict.
 """
 
@@ -72,13 +72,22 @@ def url_verdicts(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str,
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, action = fitting(host, path, rules)
     judged = pages.select(*given, host.alias("host"), path.alias("path"), rule.alias("rule"), action.alias("_action"), node_of(F.col(url)).alias("_node"))
-    edges = write_table(links.select(node_of(F.col(links.columns[0])).alias("u"), node_of(F.col(links.columns[1])).alias("v")).filter("u is not null and v is not null and u != v").distinct(), "links")
+    ends = {n: F.col(c) for n, c in zip("uv", links.columns, strict=False)}
+    said_of = lambda x: fitting(host_of(x), path_of(x), rules)[1]
+    links = links.select(*[node_of(x).alias(n) for n, x in ends.items()], *[said_of(x).alias(f"{n}_action") for n, x in ends.items()])
+    links = write_table(links.filter("u is not null and v is not null").distinct(), "links")
+    edges = links.filter("u != v").select("u", "v").distinct()
+    # Urls at the ends of links are judged too, as they need not be among the pages.
+    linked = links.select(F.explode(F.array(*[F.struct(F.col(n).alias("_node"), F.col(f"{n}_action").alias("_action")) for n in ends])).alias("e")).select("e.*").filter("_action is not null").distinct()
     if edges.isEmpty():
-        judged = judged.withColumn("component", F.col("_node"))
+        component = lambda df: df.withColumn("component", F.col("_node"))
     else:
         aliases = write_table(connected_components(edges), "aliases")
-        judged = judged.join(aliases.select(F.col("node").alias("_node"), F.col("component").alias("_c")), "_node", "left").withColumn("component", F.coalesce("_c", "_node")).drop("_c")
-    said = judged.filter("_action is not null and component is not null").groupBy("component").agg(F.max(F.col("_action") == "allow").alias("allow"), F.max(F.col("_action") == "block").alias("block"))
+        aliases = aliases.select(F.col("node").alias("_node"), F.col("component").alias("_c"))
+        component = lambda df: df.join(aliases, "_node", "left").withColumn("component", F.coalesce("_c", "_node")).drop("_c")
+    judged = component(judged)
+    said = judged.filter("_action is not null and component is not null").select("component", "_action").union(component(linked).select("component", "_action"))
+    said = said.groupBy("component").agg(F.max(F.col("_action") == "allow").alias("allow"), F.max(F.col("_action") == "block").alias("block"))
     blocked = said.filter("block and not allow").select("component", F.lit("block").alias("_spread"))
     out = judged.join(blocked, "component", "left")
     return out.select(*given, "host", "path", "rule", F.coalesce("_action", "_spread", F.lit("allow")).alias("verdict"), "component")
