@@ -81,3 +81,11 @@ def test_link_ends_that_are_no_pages(spark):
     assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block"}
     one = url_filter.url_verdicts(pages, spark.createDataFrame(links[-1:], "source string, target string"))
     assert {r["page_id"]: r["verdict"] for r in one.collect()} == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "block"}
+
+
+def test_statements_over_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n{}modification, are  permitted provided that"
+    texts = [bsd.format(""), bsd.format(" * "), bsd.format("# ").replace("\n", "\r\n"), "the GNU Lesser General Public\n// License, version\n// 2.1 of it", "under the terms of the GNU General  Public\tLicense v3", "Creative Commons\nAttribution-\nShareAlike 4.0", "licensed under the GPL\n\n2. Next item", "the Apache License,\n2.0", "a modified / BSD thing"]
+    got = [labels for labels, _ in scanned(spark, texts)]
+    assert got[:3] == [["bsd"]] * 3 and "lgpl-2.1" in got[3] and "gpl-3.0" in got[4] and "cc-by-4.0" not in got[5]
+    assert "gpl-2.0" not in got[6] and "gpl" in got[6] and "apache-2.0" in got[7] and "bsd-3-clause" not in got[8]

@@ -8,11 +8,13 @@ Besides, three base phrases are counted as consecutive words; their labels alway
 
 Everything happens within a row, so nothing is shuffled whatever the distribution of texts.
 
-Results: null text is empty text. Without any label the score is 0; a base phrase alone scores 0.6. Patterns never cross a line.
+Results: null text is empty text. Without any label the score is 0; a base phrase alone scores 0.6. A space of a pattern
+stands for any run of white space, and for line breaks with comment marks around them.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,6 +118,7 @@ OTHERS = (
 )
 _UNDER = r"(?:licensed|released|distributed|available|published|provided|offered|shared)(?: \w+)? under (?:the |an? )?(?:terms of (?:the )?)?(?:gnu )?(?:version \d(?:\.\d)? of the )?"
 _LICENSE = r"(?: (?:public )?licen[cs]e)?"
+_TAIL = r",? ?-?(?:v|v\.|ver\.?|version)? ?"
 
 
 def _version(v: str) -> str:
@@ -129,7 +132,7 @@ def make_rules() -> list[Rule]:
     for f in FAMILIES:
         name = f"(?:{f.name})"
         for v in f.versions:
-            tail = rf",? ?-?(?:v|v\.|ver\.?|version)? ?{_version(v)}\b"
+            tail = rf"{_TAIL}{_version(v)}\b"
             out.append(("spdx", rf"spdx-license-identifier: ?{f.spdx}-{_version(v)}(?:-only|-or-later|\+)?\b", f"{f.label}-{v}", 1, 1.0))
             out.append((f.keyword, rf"{_UNDER}{name}{_LICENSE}{tail}", f"{f.label}-{v}", 2, 0.95))
             out.append((f.keyword, rf"{name}{_LICENSE}{tail}", f"{f.label}-{v}", 3, 0.9))
@@ -151,10 +154,39 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GATE = ("licen", "spdx", "copyright", "gpl", "bsd", "cc by", "cc-by", "cc0", "creative commons", "creativecommons", "apache", "zlib", "ncsa", "wtfpl", "mozilla.org", "permission is hereby granted", "redistribut", "public domain", "all rights reserved", "proprietary", "commercial use")
 
 
+#: White space within a line, and line breaks with comment marks, as Java patterns.
+_BLANK = r"[\t\x0B\f\r \xA0]"
+_BREAK = r"[\t\x0B\f\r \xA0*#/;%]*+\n[\s\xA0*#/;%]*+"
+_BETWEEN = rf"(?:{_BREAK}|{_BLANK}++)"
+
+
+def wrapped(pattern: str) -> str:
+    """The pattern with each space standing for a gap that may go over lines. A bare number on the next line is a version unless it numbers an item of a list."""
+
+    def spaced(p: str, gap: str) -> str:
+        def of(m: re.Match) -> str:
+            x = m[0]
+            return gap if x == " " else f"(?:{gap}|{x})" if x[0] == "[" and x[1] != "^" and " " in x else x
+
+        return re.sub(r"\\.|\[[^\]]*\]| ", of, p)
+
+    head, tail, version = pattern.partition(_TAIL)
+    if not tail:
+        return spaced(pattern, _BETWEEN)
+    named = tail.replace(")?", ")", 1)
+    ways = (spaced(named, _BETWEEN) + version, spaced(tail, f"(?:{_BLANK}+)") + version, f",?{_BETWEEN}{version}(?![.)]\\s)")
+    return spaced(head, _BETWEEN) + "(?:" + "|".join(ways) + ")"
+
+
+def flat(c: Column) -> Column:
+    """Text with each gap of wrapped patterns as one space, for keywords."""
+    return F.regexp_replace(c, rf"{_BREAK}|{_BLANK}{{2,}}|[\t\r\f\x0B\xA0]", " ")
+
+
 def detections(text: str, low: str, rules: list[Rule]) -> Column:
     """All matches of the rules whose keyword occurs: an array of (priority, start, back, rule, end, label, score), where back is minus the length."""
     keywords = sorted({r.keyword for r in rules})
-    known = F.array(*[F.struct(F.lit(keywords.index(r.keyword)).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.number).alias("number")) for r in rules])
+    known = F.array(*[F.struct(F.lit(keywords.index(r.keyword)).alias("keyword"), F.lit(wrapped(r.pattern)).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.number).alias("number")) for r in rules])
 
     length = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, s: a + F.length(s))
 
@@ -174,8 +206,10 @@ def detections(text: str, low: str, rules: list[Rule]) -> Column:
         return F.when(F.size(hit) > 0, F.flatten(F.transform(F.filter(known, lambda r: F.array_contains(hit, r["keyword"])), places)))
 
     # Each keyword is looked for once, though many rules share it; no keyword, no rule.
-    hits = F.array_compact(F.array(*[F.when(F.col(low).contains(k), F.lit(n)) for n, k in enumerate(keywords)]))
-    return F.element_at(F.transform(F.array(hits), of), 1)
+    def found(line: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(line.contains(k), F.lit(n)) for n, k in enumerate(keywords)]))
+
+    return F.element_at(F.transform(F.transform(F.array(flat(F.col(low))), found), of), 1)
 
 
 def kept(found: str) -> Column:
