@@ -89,3 +89,12 @@ def test_statements_over_lines(spark):
     got = [labels for labels, _ in scanned(spark, texts)]
     assert got[:3] == [["bsd"]] * 3 and "lgpl-2.1" in got[3] and "gpl-3.0" in got[4] and "cc-by-4.0" not in got[5]
     assert "gpl-2.0" not in got[6] and "gpl" in got[6] and "apache-2.0" in got[7] and "bsd-3-clause" not in got[8]
+
+
+def test_items_that_share_an_id(spark):
+    rng = random.Random(13)
+    a, b, c = corpus(rng, 3, 30)
+    items = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (None, " ".join(c)), (2, " ".join(c)), (1, " ".join(a))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([["p", *a, "q"], ["p", *b, "q"], c])], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0, r["similarity"]) for r in got) == [(0, 1, 1.0), (1, 1, 1.0), (2, 0, 1.0), (2, 2, 1.0)]

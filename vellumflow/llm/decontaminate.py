@@ -14,7 +14,8 @@ probability below 1e-6; a copy has distance 0.
 
 Items are joined by broadcast while they have at most `broadcast_shingles` shingles, else by shuffling.
 
-Results: null and empty texts, and items and documents of fewer than `size` words, match nothing. Repeated rows of one id count as one.
+Results: null and empty texts, and items and documents of fewer than `size` words, match nothing. Repeated rows of one
+document count as one; an item_id with several texts stands for all of them, and its best window counts.
 """
 
 from __future__ import annotations
@@ -92,24 +93,28 @@ def window_starts(at: str, shingles: str, m: str, percent: int) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, percent: int = 80, radius: int = 24, broadcast_shingles: int = 500_000) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): for each document and item with a window of at least `percent` hundredths, the first of its best windows."""
     known = with_shingles(items.select(F.col(item_id).alias("item_id"), words(F.col(item_text).cast("string")).alias("_w")), "_w", size)
-    known = known.filter(F.size("_sh") > 0).select("item_id", F.size("_w").alias("n_words"), F.col("_sh").alias("item_sh")).dropDuplicates(["item_id"])
+    known = known.filter(F.size("_sh") > 0).select("item_id", F.size("_w").alias("n_words"), F.col("_sh").alias("item_sh"))
+    # Each distinct text is sought once, under a hash, for all ids that have it; an id may have several texts.
+    known = known.withColumn("item", F.xxhash64("item_sh")).dropDuplicates(["item_id", "item"])
+    named = write_table(known.select("item", "item_id"), "named")
+    known = known.drop("item_id").dropDuplicates(["item"])
     known = write_table(known.withColumn("item_fp", simhash("item_sh")), "items")
     small = (known.agg(F.sum(F.size("item_sh"))).first()[0] or 0) <= broadcast_shingles
     hint = F.broadcast if small else (lambda df: df)
     # A similarity of percent takes that share of the item's shingles, however short the text.
     enough = 100 * F.size("at") >= percent * F.col("m")
-    posts = known.select(F.explode("item_sh").alias("h"), "item_id", F.size("item_sh").alias("m")).distinct()
+    posts = known.select(F.explode("item_sh").alias("h"), "item", F.size("item_sh").alias("m")).distinct()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text).cast("string")).alias("_w")).filter("doc_id is not null")
     rows = with_shingles(rows, "_w", size).select("doc_id", "_sh")
     # The outer form, since an inner one has Spark filter by size(_sh) below the projections, which works out all shingles several times over.
     if small:
         hits = rows.select("doc_id", "_sh", F.posexplode_outer("_sh").alias("i", "h")).join(F.broadcast(posts), "h")
-        hits = hits.groupBy("doc_id", "_sh", "item_id", "m").agg(F.collect_set("i").alias("at"))
+        hits = hits.groupBy("doc_id", "_sh", "item", "m").agg(F.collect_set("i").alias("at"))
     else:
         rows = rows.withColumn("_row", F.xxhash64("_sh"))
         places = rows.select("doc_id", "_row", F.posexplode_outer("_sh").alias("i", "h")).join(posts, "h")
-        places = places.groupBy("doc_id", "_row", "item_id", "m").agg(F.collect_set("i").alias("at"))
+        places = places.groupBy("doc_id", "_row", "item", "m").agg(F.collect_set("i").alias("at"))
         hits = places.filter(enough).join(rows.dropDuplicates(["doc_id", "_row"]), ["doc_id", "_row"])
     windows = hits.filter(enough).select("doc_id", "m", "_sh", F.explode(window_starts("at", "_sh", "m", percent)).alias("start"))
     # The shuffle spreads documents with many hits; what follows is costly per window.
@@ -117,15 +122,15 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     windows = write_table(windows.withColumn("fp", simhash("win")), "windows")
 
     left = windows.select("*", F.explode(blocks("fp", radius)).alias("block"))
-    right = known.select("item_id", "n_words", "item_sh", "item_fp", F.size("item_sh").alias("m"), F.explode(blocks("item_fp", radius)).alias("block"))
+    right = known.select("item", "n_words", "item_sh", "item_fp", F.size("item_sh").alias("m"), F.explode(blocks("item_fp", radius)).alias("block"))
     pairs = left.join(hint(right), ["m", "block"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    pairs = pairs.drop("block", "fp", "item_fp").dropDuplicates(["doc_id", "m", "start", "item_id"])
+    pairs = pairs.drop("block", "fp", "item_fp").dropDuplicates(["doc_id", "m", "start", "item"])
     # As a generated column it is worked out once, however often it is used.
     pairs = pairs.withColumn("common", F.explode_outer(F.array(shared_shingles("win", "item_sh"))))
     union = F.size("win") + F.size("item_sh") - F.col("common")
     pairs = pairs.filter(100 * F.col("common") >= percent * union)
-    pairs = pairs.select("doc_id", "item_id", "n_words", "start", (F.col("common") / union).alias("similarity"))
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b"))
+    pairs = pairs.select("doc_id", "item", "n_words", "start", (F.col("common") / union).alias("similarity"))
+    best = pairs.join(hint(named), "item").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 
