@@ -1,16 +1,22 @@
 """Substring dedup: Relative Lempel-Ziv parsing against an index of word blocks.
 
-The reference of a document is everything before it (smaller doc_id, and its own earlier words). Blocks are runs of `length` words. The
-parse goes left to right: a factor opens at the first block that the index holds with an earlier place, grows word by word while the next
-block has one too, and ends where none has. The blocks that straddle a factor's ends are looked up like all others, so a word is in a
-factor exactly if some block over it occurs earlier. Factors are the duplicate spans; their words are removed.
+The reference of a document is everything before it (smaller doc_id, and its own earlier words). Blocks are runs of `length` words; the
+index gives every block's first place (document and word). The parse goes left to right over the runs of blocks that have a place
+before their own. A factor opens at the run's first block, and is laid out block by block, each of which begins where the one before it
+ends; it goes on while their first places follow each other in the same source, and a new factor opens where they don't. The last block
+of a run reaches back over the one before it, so that the factor's end is its own. All blocks over the boundary of two factors or of a
+factor and other words are looked up too: they belong to the runs or end them. So each word of a factor is in a block that its source
+holds at the stated place, and a word is in a factor exactly if some block over it occurs earlier. Factors, with their sources, are the
+duplicate spans; their words are removed.
 
 Only blocks that can recur are indexed. Winnowing picks, in each block, its `k`-word gram of least hash, so equal blocks pick equal grams;
 a gram that is picked at one place only rules out all blocks over it. About two grams in length - k + 2 words are shuffled instead of
-every word, and whole texts move once, compressed.
+every word, and whole texts move compressed.
 
-Results: null text has no words; a text of fewer than `length` words, and a row without doc_id, loses nothing and is no reference; of
-several rows with one doc_id none is earlier than another at the same place. Blocks are compared by 64-bit hashes of their words.
+Blocks are known by 128 bits of hash of all their words: among 1e13 blocks any two different ones agree with probability below 1e-12.
+
+Results: null text has no words; a text of fewer than `length` (2 or more) words, and a row without doc_id, loses nothing and is no
+reference; of several rows with one doc_id none is earlier than another at the same place, and exact repeats lose the same.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import table, with_small_batches, write_table
-from .wordhash import Words, as_list, grams, run_starts, slices
+from .wordhash import Words, grams, release_memory, run_starts, slices
 
 
 def _sliding(a: np.ndarray, n: int, best) -> np.ndarray:
@@ -58,6 +64,7 @@ def _anchors(length: int, k: int):
                 keep = np.flatnonzero(_picked(h, length - k + 1) & run_starts(w, k) & (w.counts[w.row[: len(h)]] >= length))
                 row = w.row[keep]
                 yield pa.record_batch([pa.array(h[keep].view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array((keep - w.first[row]).astype(np.int32))], ["gram", "doc_id", "_row", "pos"])
+        release_memory()
 
     return run
 
@@ -66,6 +73,7 @@ def _packed(batches):
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
         yield pa.record_batch([b.column(0), b.column(1), pa.array([None if x is None else z.compress(x.encode()) for x in b.column(2).to_pylist()], pa.binary()), *b.columns[3:]], ["doc_id", "_row", "packed", *b.schema.names[3:]])
+    release_memory()
 
 
 def _unpacked(column: pa.Array):
@@ -96,39 +104,83 @@ def _blocks_at(w: Words, anchors: np.ndarray, length: int, k: int) -> np.ndarray
     return np.flatnonzero(ok & (reach[length - k + 1 : length - k + 1 + len(ok)] > reach[: len(ok)]))
 
 
+def _named(w: Words, at: np.ndarray, length: int, part: pa.RecordBatch) -> pa.RecordBatch:
+    """The blocks that start at the given words: 128 bits of hash, and their place."""
+    row = w.row[at]
+    rows = pa.array(row)
+    bits = [pa.array(grams(w.hashes(seed), length)[at].view(np.int64)) for seed in (0, 1)]
+    return pa.record_batch([*bits, part.column(0).take(rows), part.column(1).take(rows), pa.array((at - w.first[row]).astype(np.int32))], ["b1", "b2", "doc_id", "_row", "pos"])
+
+
 def _blocks(length: int, k: int):
+    """Rows: doc_id, _row, packed, anchors. All blocks that may recur."""
+
+    def run(batches):
+        for b in batches:
+            some = b.filter(b.column(3).is_valid())
+            for i, j, texts in _unpacked(some.column(2)):
+                part, w = some.slice(i, j - i), Words(texts)
+                yield _named(w, _blocks_at(w, _marked(w, part.column(3)), length, k), length, part)
+        release_memory()
+
+    return run
+
+
+def _laid_out(length: int, k: int):
+    """Rows: doc_id, _row, packed, anchors, firsts. The blocks that cover the runs of blocks with an earlier place, end to end."""
+
     def run(batches):
         for b in batches:
-            if not (some := b.filter(b.column(3).is_valid())).num_rows:
-                continue
+            some = b.filter(b.column(3).is_valid())
             for i, j, texts in _unpacked(some.column(2)):
                 part, w = some.slice(i, j - i), Words(texts)
-                at = _blocks_at(w, _marked(w, part.column(3)), length, k)
-                h, row = grams(w.hashes(), length)[at], w.row[at]
-                yield pa.record_batch([pa.array(h.view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32))], ["block", "doc_id", "_row", "pos"])
+                seen = np.zeros(len(w.row) + 1, bool)
+                seen[_blocks_at(w, _marked(w, part.column(3)), length, k)] = True
+                seen[:-1] &= ~_marked(w, part.column(4))
+                at = np.flatnonzero(seen)
+                opens = np.concatenate([[True], np.diff(at) > 1])[: len(at)]
+                step = at - at[opens][np.cumsum(opens) - 1] if len(at) else at
+                use = at[(step % length == 0) | ~seen[at + 1]]
+                if len(use):
+                    yield _named(w, use, length, part)
+        release_memory()
 
     return run
 
 
-def _parsed(length: int, k: int, as_is: bool):
+def _factors(lists: pa.Array, length: int) -> tuple[np.ndarray, ...]:
+    """(row, start, end, source, source_start) of the factors, from each row's blocks (pos, source, at) with an earlier place."""
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    pos, source, at = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "source", "at"))
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((pos, row))
+    row, pos, source, at = row[order], pos[order], source[order], at[order]
+    on = (row[1:] == row[:-1]) & (source[1:] == source[:-1]) & (np.diff(at - pos) == 0) & (pos[1:] <= pos[:-1] + length)
+    opens = np.flatnonzero(np.concatenate([[True], ~on])[: len(row)])
+    closes = np.append(opens[1:], len(row))[: len(opens)] - 1
+    end = pos[closes] + length
+    start = pos[opens]
+    before = np.concatenate([[0], np.where(row[opens[1:]] == row[opens[:-1]], end[:-1], 0)])[: len(opens)]
+    late = np.maximum(start, before)
+    return row[opens], late, end, source[opens], at[opens] + late - start
+
+
+def _cut(length: int, as_is: bool):
+    """Rows: doc_id, _row, packed, found (blocks with their sources), others."""
+
     def run(batches):
         for b in batches:
             for i, j, texts in _unpacked(b.column(2)):
                 part, w = b.slice(i, j - i), Words(texts)
-                n = len(w.row)
-                seen = np.zeros(n, bool)
-                seen[_blocks_at(w, _marked(w, part.column(3)), length, k)] = True
-                seen &= ~_marked(w, part.column(4))
-                step = np.zeros(n + 1, np.int64)
-                np.add.at(step, np.flatnonzero(seen), 1)
-                np.add.at(step, np.flatnonzero(seen) + length, -1)
-                gone = np.cumsum(step[:n]) > 0
-                new_row = np.concatenate([[True], w.row[1:] != w.row[:-1]])[:n]
-                opens = np.flatnonzero(gone & (new_row | ~np.concatenate([[False], gone[:-1]])[:n]))
-                closes = np.flatnonzero(gone & np.concatenate([new_row[1:] | ~gone[1:], [True]])[:n]) + 1
-                per_row = np.bincount(w.row[opens], minlength=j - i)
-                spans = pa.StructArray.from_arrays([pa.array((x - w.first[w.row[opens]]).astype(np.int32)) for x in (opens, closes)], ["start", "end"])
-                spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), spans)
+                row, start, end, source, source_start = _factors(part.column(3), length)
+                step = np.zeros(len(w.row) + 1, np.int64)
+                np.add.at(step, w.first[row] + start, 1)
+                np.add.at(step, w.first[row] + end, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                fields = {"start": start.astype(np.int32), "end": end.astype(np.int32), "source": source, "source_start": source_start.astype(np.int32)}
+                spans = pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields))
+                spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]), pa.int32()), spans)
                 kept = np.flatnonzero(~gone)
                 use = np.zeros(len(w.data) + 1, np.int32)
                 np.add.at(use, w.start[kept], 1)
@@ -143,28 +195,42 @@ def _parsed(length: int, k: int, as_is: bool):
                 removed = np.bincount(w.row[gone], minlength=j - i)
                 if as_is:
                     text = pc.if_else(pa.array(removed == 0), texts.cast(pa.string()), text)
-                yield pa.record_batch([part.column(0), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), text, spans, *part.columns[5:]], ["doc_id", "n_words", "n_removed", "kept_text", "spans", *part.schema.names[5:]])
+                yield pa.record_batch([part.column(0), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), text, spans, *part.columns[4:]], ["doc_id", "n_words", "n_removed", "kept_text", "spans", *part.schema.names[4:]])
+        release_memory()
 
     return run
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 20, k: int = 8, also: Sequence[str] = (), as_is: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words, one space between), spans (start, end of each factor, in words), and the columns named in also. With as_is, a text that loses nothing keeps its white space."""
-    key: Column = F.col(doc_id).cast("long")
-    rows = with_small_batches(docs).select(key.alias("doc_id"), F.xxhash64(text).alias("_row"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"_also_{c}") for c in also])
-    kinds = "".join(f", `_also_{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
-    anchors = rows.select("doc_id", "_row", "text").filter("doc_id is not null").mapInArrow(_anchors(length, k), "gram long, doc_id long, _row long, pos int")
+    """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words, one space between), spans (start and end of each factor, its source and its start there, in words), and the columns named in also. With as_is, a text that loses nothing keeps its white space."""
+    ids = docs.agg(F.count(doc_id).alias("n"), F.count_distinct(doc_id).alias("d")).first()
+    unique = ids["n"] == ids["d"]
+    # Tells apart the texts that share an id; without these a constant, which costs nothing to shuffle.
+    row = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    others = [F.col(c).alias(f"_also{n}") for n, c in enumerate(also)]
+    rows = with_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("_row"), F.col(text).cast("string").alias("text"), *others)
+    kinds = "".join(f", _also{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(also))
+    place, key = "doc_id long, _row long, pos int", ["doc_id", "_row"]
+    anchors = rows.select(*key, "text").filter("doc_id is not null").mapInArrow(_anchors(length, k), f"gram long, {place}")
     # Written, so that both sides of the join have exchanges of their own and AQE can split a very common gram.
     again = write_table(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "again")
-    places = anchors.join(again, "gram").groupBy("doc_id", "_row").agg(F.collect_list("pos").alias("anchors"))
-    places = write_table(places, "anchors")
+    places = write_table(anchors.join(again, "gram").groupBy(*key).agg(F.collect_set("pos").alias("anchors")), "anchors")
     packed = rows.mapInArrow(_packed, f"doc_id long, _row long, packed binary{kinds}")
-    held = packed.join(places, ["doc_id", "_row"], "left")
-    index = held.select("doc_id", "_row", "packed", "anchors").mapInArrow(_blocks(length, k), "block long, doc_id long, _row long, pos int").groupBy("block").agg(F.min(F.struct("doc_id", "pos", "_row")).alias("first"))
-    firsts = index.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first._row").alias("_row")).agg(F.collect_list("first.pos").alias("firsts"))
-    whole = held.join(firsts, ["doc_id", "_row"], "left").select("doc_id", "_row", "packed", "anchors", "firsts", *[f"_also_{c}" for c in also])
-    out = whole.mapInArrow(_parsed(length, k, as_is), f"doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>{kinds}")
-    return out.select("doc_id", "n_words", "n_removed", "kept_text", "spans", *[F.col(f"_also_{c}").alias(c) for c in also])
+    held = packed.join(places, key, "left")
+    blocks = held.select(*key, "packed", "anchors").mapInArrow(_blocks(length, k), f"b1 long, b2 long, {place}")
+    index = write_table(blocks.groupBy("b1", "b2").agg(F.min(F.struct("doc_id", "pos", "_row")).alias("first")).select("b1", "b2", "first.*"), "index")
+    if unique:
+        firsts = index
+    else:
+        # All rows of an id that have a block at its first place have it there first.
+        firsts = blocks.join(index.select("b1", "b2", F.col("doc_id").alias("d"), F.col("pos").alias("p")), ["b1", "b2"]).filter("doc_id = d and pos = p")
+    firsts = firsts.groupBy(*key).agg(F.collect_set("pos").alias("firsts"))
+    found = held.join(firsts, key, "left").select(*key, "packed", "anchors", "firsts", *packed.columns[3:]).mapInArrow(_laid_out(length, k), f"b1 long, b2 long, {place}")
+    sources = index.select("b1", "b2", F.col("doc_id").alias("source"), F.col("pos").alias("at"))
+    found = found.join(sources, ["b1", "b2"]).groupBy(*key).agg(F.collect_set(F.struct("pos", "source", "at")).alias("found"))
+    whole = packed.join(found, key, "left").select(*key, "packed", "found", *packed.columns[3:])
+    out = whole.mapInArrow(_cut(length, as_is), f"doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int,source:long,source_start:int>>{kinds}")
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", "spans", *[F.col(f"_also{n}").alias(c) for n, c in enumerate(also)])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,8 +53,22 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def release_memory() -> None:
-    """Gives what a finished task of this worker no longer uses back to the system, as the worker lives on."""
+#: What a worker keeps between its tasks, by key; only the last one to ask keeps anything.
+KEPT: dict = {}
+
+
+def kept_for(key, make):
+    """What this worker keeps under that key, made if it is not there; all else that it kept goes."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]
+
+
+def release_memory(but=None) -> None:
+    """Gives what a finished task of this worker no longer uses back to the system, as the worker lives on; what is kept under another key goes too."""
+    if but not in KEPT:
+        KEPT.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -83,9 +97,10 @@ class Words:
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
         self.bounds = bounds
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """Hashes of the words; those of two seeds make 128 bits."""
         length = self.end - self.start
-        out = mix(length.astype(np.uint64) + _STEP)
+        out = mix(length.astype(np.uint64) + _STEP * np.uint64(2 * seed + 1))
         wide = np.lib.stride_tricks.as_strided(self.data[:8].view(np.uint64), shape=(max(1, len(self.data) - 7),), strides=(1,)) if len(self.data) >= 8 else None
         left, at, todo = length, self.start, None
         while True:
