@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a group-by with a minimum (combined before the shuffle) and an equi-join that AQE can split where a node has very many
-edges. Every round is written to the shared folder, so a lost executor costs one round. No edge or label reaches the driver.
+Each step is a group-by with a minimum (combined before the shuffle) and an equi-join of edges with those minima. A node may have very many
+edges: these are dealt out by a salt, to each of which the node's minimum is sent, and since both sides then have exchanges of their own
+AQE splits what is still too large. Every round is written to the shared folder, so a lost executor costs one round. No edge or label
+reaches the driver. Rounds go on until nothing changes, whatever the length of the longest chain (about its logarithm).
 """
 
 from __future__ import annotations
@@ -41,20 +43,25 @@ def _contract(batches):
             yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, salts: int) -> DataFrame:
+    """edges (u, v) with the minimum m of their u."""
+    dealt = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    return dealt.join(least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["u", "_s"]).drop("_s")
+
+
+def connected_components(edges: DataFrame, salts: int = 16) -> DataFrame:
     """edges: two columns of node ids (long; rows with a null, and loops, are ignored). Returns (node, component): the smallest node reachable, for each node that has an edge to another."""
     a, b = edges.columns[:2]
     cur = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u is not null and v is not null and u != v")
     cur = write_table(cur.mapInArrow(_contract, "u long, v long"), "edges")
     last = None
-    for _ in range(most_rounds):
+    while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = _with_least(both.filter("v > u"), least, salts).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = write_table(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
-        nxt = write_table(small, "small")
+        small = _with_least(large, large.groupBy("u").agg(F.min("v").alias("m")), salts).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        nxt = write_table(small.select("e.u", "e.v").filter("u != v").distinct(), "small")
         drop_table(large)
         drop_table(cur)
         cur = nxt
@@ -62,6 +69,4 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

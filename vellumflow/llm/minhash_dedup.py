@@ -1,13 +1,17 @@
 """MinHash near-dedup: inverted join over signature coordinates.
 
-Documents with equal shingle sets form one class; the rest works on classes. A class has k MinHash coordinates and is posted under
-coordinate-value pairs. Two classes that agree in c coordinates agree in one of each class's k - c + 1 rarest ones, so only this prefix is
-posted, and a class fewer than c of whose pairs occur elsewhere is skipped. In each posting list, members are compared with the list's
-smallest member; agreements are counted over whole signatures. Lists that this leaves in several parts are compared member by member,
-in blocks, inside tasks that return spanning edges only. Classes that are connected by counts of c or more form a cluster; within
-clusters, again in blocks, links are confirmed on full shingle sets. Connected components of the confirmed links are the groups.
+Documents with equal shingle sets form one class; the rest works on classes, each a node of its own. A class has k MinHash coordinates and
+is posted under coordinate-value pairs. Two classes that agree in c coordinates agree in one of each class's k - c + 1 rarest ones, so only
+this prefix is posted, and a class fewer than c of whose pairs occur elsewhere is skipped. In each posting list, members are compared with
+the list's first member; agreements are counted over whole signatures. Lists that this leaves in several parts are compared member by
+member, in blocks, inside tasks that return spanning edges only. Classes that are connected by counts of c or more form a cluster.
 
-With k = 48 and c = 25, a pair of similarity 0.8 is missed with probability below 3e-6, and one of 0.9 below 1e-13.
+Links are confirmed on full shingle sets. Within a cluster all members are held against its first member; those that this doesn't link are
+held against all members, in blocks of both, and all others need no more. So a cluster of n copies of one text takes n comparisons, and one
+with m members apart n * m, each in a task of bounded size. Connected components of the confirmed links are the groups.
+
+With k = 48 and c = 25, a pair of similarity 0.8 is missed with probability 3.3e-6, and one of 0.9 below 1e-13; no link is made that full
+sets don't confirm.
 
 Results: null text, and text without words, has no shingles and is linked with nothing; a row without doc_id is linked with nothing and
 kept; rows that repeat a doc_id are judged by their own texts. Shingles are compared by 52-bit hashes, whole sets by 128 bits more.
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, forest
 from .store import table, with_small_batches, write_table
-from .wordhash import Words, as_list, grams, mix, run_starts, slices
+from .wordhash import Words, as_list, grams, mix, release_memory, run_starts, slices
 
 _ROWS = 4096
 _ROW_BITS, _HASH_SHIFT = np.uint64(52), np.uint64(12)
@@ -74,7 +78,8 @@ def _signatures(size: int, k: int):
                     spread = mix(sets)
                     for c in range(k):
                         sig[some, c] = (np.minimum.reduceat(spread * times[c], edge) >> np.uint64(32)).astype(np.uint32)
-                yield pa.record_batch([part.column(0), pa.array(counts), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n", "s1", "s2", "sig"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(counts), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "row_hash", "n", "s1", "s2", "sig"])
+        release_memory()
 
     return run
 
@@ -91,7 +96,7 @@ def _coordinates(k: int):
             for i in range(0, b.num_rows, _ROWS):
                 part = b.slice(i, _ROWS)
                 key = high + _sig(part.column(1), k).astype(np.int64)
-                yield pa.record_batch([pa.array(key.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), k))], ["key", "rep"])
+                yield pa.record_batch([pa.array(key.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), k))], ["key", "node"])
 
     return run
 
@@ -122,13 +127,11 @@ def _groups(batches, n_keys: int):
         yield rest
 
 
-def _spanning(ids: np.ndarray, block: np.ndarray, part: np.ndarray, linked, both: bool):
-    """Edges that join what `linked` links and is not joined yet. part: what belongs together already. linked(i): mask of all rows linked with row i. both: rows of one block aren't compared."""
+def _spanning(ids: np.ndarray, part: np.ndarray, seek: np.ndarray, linked):
+    """Edges that join what `linked` links and is not joined yet. part: what belongs together already; seek: the rows to compare with others. linked(i, other): which of the rows of the mask other are linked with row i."""
     label = part.copy()
-    for i in range(len(ids)):
+    for i in np.flatnonzero(seek):
         other = label != label[i]
-        if both:
-            other &= block != block[i]
         if not other.any():
             continue
         hit = np.flatnonzero(linked(i, other))
@@ -145,39 +148,66 @@ def _edges(found) -> pa.RecordBatch:
 
 
 def _counted(k: int, c: int):
-    """Rows: key, bi, bj, rep, block, part, sig."""
+    """Rows: key, bi, bj, node, block, part, sig. Rows of one block are compared in the group of that block alone."""
 
     def run(batches):
         for t in _groups(batches, 3):
             sig = _sig(t.column(6).combine_chunks(), k)
-            args = [t.column(x).to_numpy() for x in (3, 4, 5)]
-            yield _edges(_spanning(*args, lambda i, other, sig=sig: other & ((sig == sig[i]).sum(1) >= c), t.column(1)[0] != t.column(2)[0]))
+            ids, block, part = (t.column(x).to_numpy() for x in (3, 4, 5))
+            both = t.column(1)[0] != t.column(2)[0]
+
+            def linked(i, other, sig=sig, block=block, both=both):
+                return other & ((block != block[i]) | (not both)) & ((sig == sig[i]).sum(1) >= c)
+
+            yield _edges(_spanning(ids, part, np.ones(len(ids), bool), linked))
+
+    return run
+
+
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, each row's number of them)."""
+    return sets.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), sets.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _near_first(percent: int):
+    """Rows: node, component, set, first_set. Whether a member is linked with its cluster's first."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, _ROWS):
+                part = b.slice(i, _ROWS)
+                (mine, n), (its, m) = _flat(part.column(2)), _flat(part.column(3))
+                row = np.concatenate([np.repeat(np.arange(part.num_rows), x) for x in (n, m)]).astype(np.uint64)
+                key = np.sort(row << _ROW_BITS | np.concatenate([mine, its]))
+                both = np.bincount((key[1:][key[1:] == key[:-1]] >> _ROW_BITS).astype(np.int64), minlength=part.num_rows)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(100 * both >= percent * (n + m - both))], ["node", "component", "near"])
+        release_memory()
 
     return run
 
 
 def _confirmed(percent: int):
-    """Rows: cluster, bi, bj, rep, block, n, set."""
+    """Rows: component, a, b, node, part, seeks, set. Links of the seeking rows with the others."""
 
     def run(batches):
         for t in _groups(batches, 3):
-            sets = t.column(6).combine_chunks()
-            flat, n = sets.values.to_numpy()[sets.offsets[0].as_py() : sets.offsets[-1].as_py()], sets.value_lengths().to_numpy()
+            flat, n = _flat(t.column(6).combine_chunks())
             _, word = np.unique(flat, return_inverse=True)
             row = np.repeat(np.arange(len(n)), n)
             order = np.argsort(word, kind="stable")
             holders, edge = row[order], np.concatenate([[0], np.cumsum(np.bincount(word))])
             at = np.concatenate([[0], np.cumsum(n)])
+            seeks = t.column(5).to_numpy(zero_copy_only=False).astype(bool)
 
-            def linked(i, other, word=word, holders=holders, edge=edge, at=at, n=n):
+            def linked(i, other, word=word, holders=holders, edge=edge, at=at, n=n, seeks=seeks):
                 ws = word[at[i] : at[i + 1]]
                 size = edge[ws + 1] - edge[ws]
                 pick = np.repeat(edge[ws] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
                 shared = np.bincount(holders[pick], minlength=len(n))
-                return other & (100 * shared >= percent * (n + n[i] - shared))
+                return other & ~seeks & (100 * shared >= percent * (n + n[i] - shared))
 
-            ids, block = t.column(3).to_numpy(), t.column(4).to_numpy()
-            yield _edges(_spanning(ids, block, np.arange(len(ids)), linked, t.column(1)[0] != t.column(2)[0]))
+            yield _edges(_spanning(t.column(3).to_numpy(), t.column(4).to_numpy(), seeks, linked))
+        release_memory()
 
     return run
 
@@ -193,53 +223,87 @@ def _sets(size: int):
                 if len(some):
                     s1[some], _ = _set_hash(sets, np.cumsum(counts)[some] - counts[some])
                 yield pa.record_batch([part.column(0), pa.array(s1), as_list(sets.view(np.int64), counts, pa.int64())], ["doc_id", "s1", "set"])
+        release_memory()
 
     return run
 
 
+def _block_counts(rows: DataFrame, key: str, least: int, most: int) -> DataFrame:
+    """(key, blocks): the number of blocks of each group. One up to `least` rows; blocks grow until a group has 64, and then up to `most` rows."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return n.select(key, F.greatest(F.least(F.ceil(F.col("n") / least), F.lit(64)), F.ceil(F.col("n") / most)).cast("int").alias("blocks"))
+
+
+def _block(member: str, blocks: str):
+    return F.pmod(F.xxhash64(member), F.col(blocks)).cast("int")
+
+
 def _in_block_pairs(rows: DataFrame, key: str, member: str, least: int, most: int) -> DataFrame:
-    """Deals each group's rows into blocks and repeats them for each pair of blocks (bi <= bj). Groups of up to `least` rows have one block; blocks grow until a group has 64, and then up to `most` rows."""
-    large = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least)
-    large = large.select(key, F.greatest(F.least(F.ceil(F.col("_n") / least), F.lit(64)), F.ceil(F.col("_n") / most)).cast("int").alias("_nb"))
-    out = rows.join(large, key, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
-    out = out.withColumn("block", F.pmod(F.xxhash64(member), F.col("_nb")).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return out.withColumn("bi", F.least("block", "_b")).withColumn("bj", F.greatest("block", "_b")).drop("_nb", "_b")
+    """Deals each group's rows into blocks and repeats them for each pair of blocks (bi <= bj)."""
+    counts = write_table(_block_counts(rows, key, least, most).filter("blocks > 1"), "blocks")
+    out = rows.join(counts, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("block", _block(member, "blocks")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.withColumn("bi", F.least("block", "_b")).withColumn("bj", F.greatest("block", "_b")).drop("blocks", "_b")
+
+
+def _against_all(members: DataFrame, near: DataFrame, least: int, most: int) -> DataFrame:
+    """Members of the clusters that have members apart (near is false), dealt into blocks for the comparison of these with all: component, a (block of seeking rows), b (block of all rows), node, part, seeks, set."""
+    apart = near.filter("not near").select("component", "node")
+    counts = _block_counts(apart, "component", least, most).withColumnRenamed("blocks", "na")
+    split = apart.select("component").distinct()
+    all_counts = _block_counts(members.select("component", "node").join(split, "component"), "component", least, most).withColumnRenamed("blocks", "nb")
+    counts = write_table(counts.join(all_counts, "component"), "blocks")
+    rows = members.join(counts, "component").join(apart.select("node", F.lit(True).alias("seeks")), "node", "left")
+    rows = rows.withColumn("seeks", F.coalesce("seeks", F.lit(False))).withColumn("part", F.when(F.col("seeks"), F.col("node")).otherwise(F.col("component")))
+    sought = rows.withColumn("b", _block("node", "nb")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("seeks", F.lit(False))
+    seeking = rows.filter("seeks").withColumn("a", _block("node", "na")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    columns = ["component", "a", "b", "node", "part", "seeks", "set"]
+    return sought.select(*columns).union(seeking.select(*columns))
 
 
 def minhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, k: int = 48, c: int = 25, block_rows: int = 128, most_rows: int = 4096, broadcast_rows: int = 250_000) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, class_id (smallest doc_id with this shingle set), component_id (smallest doc_id of the group)."""
+    """One row per row of docs: doc_id, row_hash (of the text), n_shingles, class_id (smallest doc_id with this shingle set), component_id (smallest doc_id of the group) and group_id (the group itself, as groups of rows that repeat an id may have one smallest; null for what is linked with nothing)."""
     rows = with_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = write_table(rows.mapInArrow(_signatures(size, k), "doc_id long, n long, s1 long, s2 long, sig binary"), "signed")
+    signed = write_table(rows.withColumn("row_hash", F.xxhash64("text")).mapInArrow(_signatures(size, k), "doc_id long, row_hash long, n long, s1 long, s2 long, sig binary"), "signed")
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = write_table(classes, "classes")
-    coordinates = classes.select("rep", "sig").mapInArrow(_coordinates(k), "key long, rep long")
-    shared = coordinates.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    picked = coordinates.join(shared, "key").groupBy("rep").agg(F.collect_list(F.struct("df", "key")).alias("keys")).filter(F.size("keys") >= c)
-    picked = picked.select("rep", F.slice(F.array_sort("keys"), F.lit(1), F.size("keys") - (c - 1)).alias("keys"))
-    posted = write_table(picked.select("rep", F.explode("keys.key").alias("key")), "posted")
-    smallest = posted.groupBy("key").agg(F.min("rep").alias("hub"))
-    star = posted.join(smallest, "key").filter("rep != hub").select("rep", "hub").distinct()
-    sigs = classes.select("rep", "sig")
-    star = star.join(sigs, "rep").join(sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    star = write_table(star.select("rep", "hub", "sig", "hub_sig").mapInArrow(_agreeing(k, c), "u long, v long"), "star")
-    parts = write_table(connected_components(star), "parts")
-    labelled = posted.join(parts.withColumnRenamed("node", "rep").withColumnRenamed("component", "part"), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    split = labelled.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("z")).filter("a != z").select("key")
-    rest = labelled.join(split, "key").join(sigs, "rep")
-    rest = _in_block_pairs(rest, "key", "rep", block_rows, most_rows).select("key", "bi", "bj", "rep", "block", "part", "sig")
+    classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    coordinates = classes.select("node", "sig").mapInArrow(_coordinates(k), "key long, node long")
+    # This and other small sides are written, so that both sides of a join have exchanges of their own and AQE can split a very common key.
+    shared = write_table(coordinates.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    picked = coordinates.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("df", "key")).alias("keys")).filter(F.size("keys") >= c)
+    picked = picked.select("node", F.slice(F.array_sort("keys"), F.lit(1), F.size("keys") - (c - 1)).alias("keys"))
+    posted = write_table(picked.select("node", F.explode("keys.key").alias("key")), "posted")
+    smallest = write_table(posted.groupBy("key").agg(F.min("node").alias("hub")), "hubs")
+    star = posted.join(smallest, "key").filter("node != hub").select("node", "hub").distinct()
+    sigs = classes.select("node", "sig")
+    star = star.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    star = write_table(star.select("node", "hub", "sig", "hub_sig").mapInArrow(_agreeing(k, c), "u long, v long"), "star")
+    parts = connected_components(star).withColumnRenamed("component", "part")
+    labelled = write_table(posted.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "labelled")
+    split = write_table(labelled.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("z")).filter("a != z").select("key"), "split")
+    rest = _in_block_pairs(labelled.join(split, "key").join(sigs, "node"), "key", "node", block_rows, most_rows).select("key", "bi", "bj", "node", "block", "part", "sig")
     more = rest.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_counted(k, c), "u long, v long")
-    clusters = write_table(connected_components(star.union(more)).join(classes.select(F.col("rep").alias("node"), "s1", "n"), "node"), "clusters")
-    wanted = clusters.select(F.col("node").alias("doc_id"))
+    clusters = write_table(connected_components(star.union(more)).join(classes.select("node", "rep", "s1"), "node"), "clusters")
+
+    wanted = clusters.select(F.col("rep").alias("doc_id")).distinct()
     held = rows.join(F.broadcast(wanted) if clusters.count() <= broadcast_rows else wanted, "doc_id", "left_semi")
-    sets = held.mapInArrow(_sets(size), "doc_id long, s1 long, set array<long>").withColumnRenamed("doc_id", "node").dropDuplicates(["node", "s1"])
-    members = _in_block_pairs(clusters, "component", "node", block_rows, most_rows).join(sets, ["node", "s1"])
-    members = members.select("component", "bi", "bj", F.col("node").alias("rep"), "block", "n", "set")
-    links = members.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(_confirmed(percent), "u long, v long")
-    groups = connected_components(links).select(F.col("node").alias("rep"), "component")
-    named = classes.join(groups, "rep", "left").select("s1", "s2", "n", "rep", F.coalesce("component", "rep").alias("component"))
+    sets = held.mapInArrow(_sets(size), "doc_id long, s1 long, set array<long>").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "s1"])
+    members = write_table(clusters.join(sets, ["rep", "s1"]).select("component", "node", "set"), "members")
+    firsts = members.filter("node = component").select("component", F.col("set").alias("first_set"))
+    near = members.filter("node != component").join(firsts, "component").select("node", "component", "set", "first_set")
+    near = write_table(near.mapInArrow(_near_first(percent), "node long, component long, near boolean"), "near")
+    apart = _against_all(members, near, block_rows, most_rows)
+    links = apart.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(_confirmed(percent), "u long, v long")
+    links = near.filter("near").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)
+
+    groups = write_table(connected_components(links).join(classes.select("node", "rep"), "node"), "groups")
+    least = write_table(groups.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    named = groups.select("node", "component").join(least, "component")
+    named = classes.select("s1", "s2", "n", "rep", "node").join(named, "node", "left")
+    named = named.select("s1", "s2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "node").alias("group_id"), F.coalesce("least", "rep").alias("component_id"))
     out = signed.drop("sig").join(named, ["s1", "s2", "n"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), *[F.when(alone, F.col("doc_id")).otherwise(F.col(x)).alias(x) for x in ("class_id", "component_id")], F.when(~alone, F.col("group_id")).alias("group_id"))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
