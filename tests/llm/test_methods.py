@@ -140,7 +140,7 @@ def edited(rng, ws, times):
     return ws
 
 
-@pytest.mark.parametrize("block_rows", [128, 8])
+@pytest.mark.parametrize("block_rows", [128, 8, 2])
 def test_minhash_groups_against_all_pairs(spark, block_rows):
     rng = random.Random(6)
     base = corpus(rng, 25, 60)
@@ -159,6 +159,15 @@ def test_minhash_groups_against_all_pairs(spark, block_rows):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
 
 
+def test_minhash_groups_of_repeated_ids(spark):
+    rng = random.Random(14)
+    a, b = corpus(rng, 2, 50)
+    rows = [(1, a), (5, edited(rng, a, 1)), (5, b), (6, b), (5, b), (3, [*b, "more"]), (9, corpus(rng, 1)[0])]
+    got = minhash_dedup.minhash_groups(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["component_id"]) for r in got) == [(1, 1, 1), (3, 3, 3), (5, 5, 1), (5, 5, 3), (5, 5, 3), (6, 5, 3), (9, 9, 9)]
+    assert len({(r["group_id"], r["component_id"]) for r in got}) == 3
+
+
 def test_substring_spans_against_brute_force(spark):
     rng = random.Random(7)
     docs = corpus(rng, 30, 50)
@@ -167,19 +176,33 @@ def test_substring_spans_against_brute_force(spark):
         n, at, to = rng.randrange(5, 45), rng.randrange(5), rng.randrange(30)
         docs[b][to : to + n] = docs[a][at : at + n]
     docs.append(["x"] * 60)
-    seen, want = set(), []
-    for d in docs:
-        gone = set()
-        for i in range(len(d) - 7):
-            block = tuple(d[i : i + 8])
-            if block in seen:
-                gone |= set(range(i, i + 8))
-            seen.add(block)
-        want.append(" ".join(w for i, w in enumerate(d) if i not in gone))
-    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(df, length=8, k=3).collect()}
-    assert [got[i]["kept_text"] for i in range(len(docs))] == want
-    assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got.values())
+    docs += [list(docs[3]), docs[4][:20] + docs[5][5:30] + docs[6][10:40]]
+    # Rows by id: two ids have several texts, of which some have one block at one place; one row is repeated.
+    ids = [*range(31), 12, 30]
+    docs[31] = docs[12][:10] + docs[31][10:]
+    ids, docs = [*ids, 7], [*docs, list(docs[7])]
+    first: dict = {}
+    for d, ws in zip(ids, docs, strict=True):
+        for i in range(len(ws) - 7):
+            first[tuple(ws[i : i + 8])] = min(first.get(tuple(ws[i : i + 8]), (99, 0)), (d, i))
+    want = []
+    for d, ws in zip(ids, docs, strict=True):
+        gone = set().union(*[range(i, i + 8) for i in range(len(ws) - 7) if first[tuple(ws[i : i + 8])] < (d, i)])
+        want.append((d, " ".join(w for i, w in enumerate(ws) if i not in gone)))
+    df = spark.createDataFrame([(i, " ".join(d), n) for n, (i, d) in enumerate(zip(ids, docs, strict=True))], "doc_id long, text string, n int")
+    for rows in (df, df.filter("n <= 30")):
+        got = substring_dedup.substring_dedup(rows, length=8, k=3, also=["n"]).collect()
+        assert sorted((r["doc_id"], r["kept_text"]) for r in got) == sorted(want if len(got) > 31 else want[:31])
+        longest = 0
+        for r in got:
+            end = 0
+            for s in r["spans"]:
+                assert s["start"] >= end and (s["source"], s["source_start"]) < (r["doc_id"], s["start"])
+                end, longest = s["end"], max(longest, s["end"] - s["start"])
+                words = docs[r["n"]][s["start"] : end]
+                assert any(docs[n][s["source_start"] :][: len(words)] == words for n in range(len(docs)) if ids[n] == s["source"])
+            assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
+        assert longest > 20
 
 
 def test_decontamination_against_all_windows(spark):

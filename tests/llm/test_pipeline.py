@@ -61,5 +61,30 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
 
 def test_repeated_rows(spark):
     text = " ".join(f"word{i}" for i in range(30))
-    df = spark.createDataFrame([(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, text, "en", "s", 9), (None, text, "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r["doc_id"] or 0 for r in P.near_dedup(spark, df, "").collect()) == [0, 1]
+    own = " ".join(f"other{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text), (None, text), (5, text + " more"), (5, own), (5, own), (4, "single words " + own)]
+    df = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in P.near_dedup(spark, df, "").collect())
+    assert got == [(0, text), (1, text), (4, "single words " + own)]
+    alone = df.filter("doc_id != 4")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in P.near_dedup(spark, alone, "").collect()) == [(1, text), (5, own)]
+
+
+def test_odd_rows_and_columns_through_all_stages(spark, tmp_path):
+    """Null ids and texts, a very long text and columns with names that the operators use."""
+    rng = random.Random(15)
+    words = [a + b for a in ("the", "of", "ing", "er") for b in ("ly", "ed", "ion", "est", "al")]
+    long = " ".join(rng.choice(words) + rng.choice("abcdefgh") for _ in range(60_000))
+    texts = [(1, long), (2, None), (3, ""), (None, "the words of a row without an id"), (4, "plain words of the fourth row")]
+    names = ["lang_pred", "lang_score", "kept_text", "ids", "decoded", "row_hash", "others", "component_id", "_row", "h"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in names)
+    df = spark.createDataFrame([(i, t, "en", "s", 0, *range(len(names))) for i, t in texts], schema)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    assert [tuple(r[c] for c in names) for r in docs.collect()] == [tuple(range(len(names)))] * 3
+    got = {r["doc_id"]: r["text"] for r in P.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 4, None} and got[4] == texts[4][1]

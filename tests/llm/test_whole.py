@@ -98,3 +98,18 @@ def test_items_that_share_an_id(spark):
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([["p", *a, "q"], ["p", *b, "q"], c])], "doc_id long, text string")
     got = decontaminate.contaminated(docs, items).collect()
     assert sorted((r["doc_id"], r["item_id"] or 0, r["similarity"]) for r in got) == [(0, 1, 1.0), (1, 1, 1.0), (2, 0, 1.0), (2, 2, 1.0)]
+
+
+def test_letters_and_long_runs(spark):
+    rng = random.Random(16)
+    word = lambda letters, n=5: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, " ".join(word(x) for _ in range(30)), lang) for i in range(40) for lang, x in (("aa", "abcde"), ("zz", "vwxyz"))]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["\u00bd \u00b2 \u2167 \u2460 42", word("vwxyz", 100), word("abcde", 20_000), word("\u4e00\u4e8c", 500), "\u0915\u094d\u0937", "\u0301"]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got[:3]] == ["und", "zz", "aa"] and got[5]["lang_pred"] == "und"
+    assert language_id.words_of(texts[4]) == [texts[4]] and len(language_id.words_of(texts[2])) == 1
+    assert language_id.predict(spark.createDataFrame([(1, "\u4e00")], "doc_id int, text string"), (["bb", "aa"], model[1] * 0 + 1e-4)).first()["lang_pred"] == "bb"
+    lattice = language_id.Lattice(language_id.vocabulary().trie, [b" " + texts[1].encode()], len(model[1]) - 1)
+    big = model[1] ** 0.01
+    assert abs(lattice.log_total(big)[0] - language_id.np.log(lattice.total(lattice.forward(big))[0])).max() < 1e-6

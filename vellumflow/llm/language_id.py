@@ -4,15 +4,17 @@ A language gives each piece of a fixed public vocabulary a probability. The prob
 into pieces of the product of their probabilities, found by a forward algorithm; that of a text is the product over its words. The
 language of highest probability is predicted; its posterior under equal priors is the score.
 
-Words are runs of letters, in lower case, with the marker of a word start; longer runs are cut after every 32 letters. Since no piece
-reaches over a word, each distinct word is summed once per worker (a cache of bounded size).
+Words are runs of letters (what str.isalpha takes) and their combining marks, in lower case, with the marker of a word start; they may
+have any length. Since no piece reaches over a word, each distinct word is summed once per worker (a cache of bounded size).
 
 Training is expectation-maximisation over word counts of labelled documents: about `sample` documents of each language, chosen by a hash
 of their ids, of which the `words` most frequent words of each language count, so that every labelled language keeps its own. Both
 bounds are parameters and hold for each language by itself; the number of languages has none. The model's size is that of the vocabulary
-times the number of languages, and it is held by the driver and every worker.
+times the number of languages, and it is held by the driver and every worker. Only in training, runs of more than 32 letters are learned in
+parts, of which the first alone has the marker.
 
-Results: null text, text without letters, and any text if nothing could be learned, is `und` with score 0.
+Results: null text, text without letters, and any text if nothing could be learned, is `und` with score 0. Of languages of equal probability
+the first by name is predicted. Repeated rows get equal results, and count in training as often as they occur.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,26 +35,35 @@ from .store import table, with_small_batches
 from .vocabulary import PIECES, vocabulary
 from .wordhash import release_memory, slices
 
-_LETTERS = re.compile(r"[^\W\d_]{1,32}")
+_PLAIN, _LETTERS = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: The probability of a character that is no piece, in every language.
 _UNKNOWN = 1e-7
+#: Positions times languages of a lattice that is worked out at once.
+_POSITIONS = 1_600_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (_PLAIN if text.isascii() else _LETTERS).findall(text.lower())
 
 
-def _lattices(trie, words: list[str], unknown: int):
-    marked = [b" " + w.encode() for w in words]
-    for group in groups(marked):
-        yield np.array(group), Lattice(trie, [marked[i] for i in group], unknown)
+def parts_of(word: str, most: int = 32) -> list[str]:
+    """A word with its marker, in parts."""
+    return [" " + word] if len(word) <= most else [" " * (i == 0) + word[i : i + most] for i in range(0, len(word), most)]
+
+
+def _lattices(trie, marked: list[str], unknown: int, langs: int):
+    raw = [w.encode() for w in marked]
+    for group in groups(raw, max(20_000, _POSITIONS // max(1, langs))):
+        yield np.array(group), Lattice(trie, [raw[i] for i in group], unknown)
 
 
 def word_scores(trie, p: np.ndarray, words: list[str]) -> np.ndarray:
     """log P(word | language) by word and language."""
     out = np.zeros((len(words), p.shape[1]))
-    for group, lattice in _lattices(trie, words, len(p) - 1):
-        out[group] = np.log(np.maximum(lattice.total(lattice.forward(p)), 1e-300))
+    for group, lattice in _lattices(trie, [" " + w for w in words], len(p) - 1, p.shape[1]):
+        out[group] = lattice.log_total(p)
     return out
 
 
@@ -71,12 +83,12 @@ class Times:
 
 
 def fit(trie, n_pieces: int, words: list[str], times: np.ndarray | Times, rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
-    """Piece probabilities by language, with a last row for unknown characters. times[w, l]: how often language l has word w. Each language is mixed with the average of all, smoothed by `smooth` uses of every piece."""
+    """words: with their markers. Piece probabilities by language, with a last row for unknown characters. times[w, l]: how often language l has word w. Each language is mixed with the average of all, smoothed by `smooth` uses of every piece."""
     p = np.full((n_pieces + 1, times.shape[1]), 1 / n_pieces)
     p[-1] = _UNKNOWN
     for _ in range(rounds):
         uses = np.zeros_like(p)
-        for group, lattice in _lattices(trie, words, n_pieces):
+        for group, lattice in _lattices(trie, words, n_pieces, p.shape[1]):
             uses += lattice.expected(p, times[group])
         uses = uses[:-1]
         pooled = uses.sum(1) + smooth
@@ -92,10 +104,12 @@ def _counts(batches):
             got: dict = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 mine = got.setdefault(lang, {})
-                for w in words_of(text):
-                    mine[w] = mine.get(w, 0) + 1
+                for word in words_of(text):
+                    for w in parts_of(word):
+                        mine[w] = mine.get(w, 0) + 1
             rows = [(lang, w, n) for lang, mine in got.items() for w, n in mine.items()]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
+    release_memory()
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 300, words: int = 150_000, path: str = PIECES):
@@ -116,7 +130,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return langs, fit(v.trie, len(v.surface), known, times)
 
 
-def _predict(shared, key: str, at: int, drop: bool):
+def _predict(shared, key: str, names: tuple[str, str], at: int, drop: bool):
     """at: the text's column; drop: it was sent for this only."""
 
     def run(batches):
@@ -144,17 +158,17 @@ def _predict(shared, key: str, at: int, drop: bool):
                         best.append(langs[k])
                         score.append(float(1 / np.exp(s - s[k]).sum()))
                 part = part.drop_columns(part.schema.names[at]) if drop else part
-                yield pa.record_batch([*part.columns, pa.array(best, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "lang_score"])
-        release_memory()
+                yield pa.record_batch([*part.columns, pa.array(best, pa.string()), pa.array(score)], [*part.schema.names, *names])
+        release_memory(("language", key))
 
     return run
 
 
-def predict(docs: DataFrame, model, text: str = "text", path: str = PIECES) -> DataFrame:
-    """docs with columns lang_pred and lang_score, which replace ones of those names."""
+def predict(docs: DataFrame, model, text: str = "text", path: str = PIECES, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with the language and its score as columns of these names, which replace ones so called."""
     langs, p = model or ([], np.zeros((len(vocabulary(path).surface) + 1, 0)))
     shared = docs.sparkSession.sparkContext.broadcast((langs, p, vocabulary(path).trie))
-    return add_columns(docs, text, {"lang_pred": "string", "lang_score": "double"}, lambda at, drop: _predict(shared, uuid.uuid4().hex, at, drop))
+    return add_columns(docs, text, {names[0]: "string", names[1]: "double"}, lambda at, drop: _predict(shared, uuid.uuid4().hex, names, at, drop))
 
 
 def fold(doc_id: str = "doc_id") -> Column:

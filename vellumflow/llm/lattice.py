@@ -155,6 +155,24 @@ class Lattice:
     def total(self, alpha: np.ndarray) -> np.ndarray:
         return alpha[np.arange(len(self.length)), self.length]
 
+    def log_total(self, p: np.ndarray) -> np.ndarray:
+        """The logarithm of total(forward(p)), scaled on the way, so that words of any length don't underflow; a model less probable than the best one of a stretch by 1e-300 gets that."""
+        alpha, scale = np.zeros((len(self.length), self.width, p.shape[1])), np.zeros(len(self.length))
+        alpha[:, 0] = 1
+        reach = int((self.end - self.start).max(initial=1))
+        for e in range(1, self.width):
+            a, z = self.by_end[e], self.by_end[e + 1]
+            if a < z:
+                w = self.word[a:z]
+                self._sums(p, a, z, w, alpha[w, self.start[a:z]] * p[self.piece[a:z]], alpha[:, e])
+            if e % 16 == 0:
+                near = alpha[:, max(0, e - reach) : e + 1]
+                top = near.max(axis=(1, 2), initial=0)
+                low = np.flatnonzero((top < 1e-40) & (top > 0))
+                near[low] /= top[low, None, None]
+                scale[low] += np.log(top[low])
+        return np.log(np.maximum(self.total(alpha), 1e-300)) + scale[:, None]
+
     def expected(self, p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece by model, if word w occurs times[w, model] times."""
         alpha = self.forward(p)

@@ -20,24 +20,19 @@ from pyspark.sql import functions as F
 from .lattice import Lattice, groups
 from .store import table, with_small_batches
 from .vocabulary import PIECES, vocabulary
-from .wordhash import as_list, release_memory, slices
+from .wordhash import as_list, kept_for, release_memory, slices
 
 
 class Cache:
     """What a worker has computed for words, in two generations: when the young one is full it becomes the old one, and what is used again moves over."""
 
-    kept: dict = {}
-
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.young, self.old, self.most = {}, {}, most
 
     @classmethod
     def of(cls, key) -> Cache:
-        """This worker's cache of that key; only one is kept."""
-        if key not in cls.kept:
-            cls.kept.clear()
-            cls.kept[key] = cls()
-        return cls.kept[key]
+        """This worker's cache of that key."""
+        return kept_for(key, cls)
 
     def look(self, words: set, compute) -> dict:
         """A dict that holds all of words; compute(list of words) gives values for new ones."""
@@ -113,7 +108,7 @@ def _encoder(shared, key: str, also_decoded: bool, at: int, drop: bool):
                     made.append(pa.array([None if t is None else _spoken(surface, np.frombuffer(row, np.int32)) for t, row in zip(texts, rows, strict=True)], pa.string()))
                 part = part.drop_columns(part.schema.names[at]) if drop else part
                 yield pa.record_batch([*part.columns, *made], [*part.schema.names, *["ids", "decoded"][: len(made)]])
-        release_memory()
+        release_memory(("encode", key))
 
     return run
 
