@@ -12,41 +12,42 @@ from vellumflow.llm.decontaminate import contaminated
 from vellumflow.llm.language_id import predict, train
 from vellumflow.llm.minhash_dedup import minhash_groups
 from vellumflow.llm.sentencepieces import encode
-from vellumflow.llm.store import table, write_table
+from vellumflow.llm.store import drop_tables, table, write_table, written
 from vellumflow.llm.substring_dedup import substring_dedup
 
-#: Ids are broadcast up to this number (8 bytes each), and joined by shuffling beyond it.
-MOST_BROADCAST = 1_000_000
+#: Ids are broadcast up to this number (16 bytes each), and joined by shuffling beyond it.
+MOST_BROADCAST = 500_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids (a written table)."""
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs whose values of rows' columns are not among rows (a written table)."""
+    return docs.join(F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows, rows.columns, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose most probable language has a posterior below 0.6; a missing lang is filled in."""
-    out = predict(docs, train(docs)).filter("lang_pred != 'und' and lang_score >= 0.6")
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    out = predict(docs, train(docs), names=("_lang", "_score")).filter("_lang != 'und' and _score >= 0.6")
+    return out.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group; similarity 0.8 or more of sets of five-word shingles. Of rows that repeat a doc_id the least text stays."""
-    groups = write_table(minhash_groups(docs, size=5, percent=80).select("doc_id", "component_id"), "groups")
+    """Keeps one document of each group, of smallest doc_id; similarity 0.8 or more of sets of five-word shingles. Rows that repeat a doc_id are judged by their own texts: each text that is no copy stays, and of rows with equal id and text one. Rows without doc_id stay."""
+    groups = write_table(minhash_groups(docs, size=5, percent=80).select("doc_id", "row_hash", "group_id"), "groups")
+    least = write_table(groups.filter("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc_id", "row_hash")).alias("least")), "least")
+    copies = groups.join(least, "group_id").filter("doc_id != least.doc_id or row_hash != least.row_hash").select("doc_id", "row_hash").distinct()
+    kept = _without(docs.withColumn("_row_hash", F.xxhash64("text")), write_table(copies.withColumnRenamed("row_hash", "_row_hash"), "copies"))
     ids = groups.filter("doc_id is not null").agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    kept = _without(docs, write_table(groups.filter("doc_id != component_id").select("doc_id").distinct(), "copies"))
-    if ids["n"] == ids["d"]:
-        return kept
-    others = [c for c in docs.columns if c != "doc_id"]
-    least = F.min(F.struct("text", *[c for c in others if c != "text"])).alias("r")
-    one = kept.filter("doc_id is not null").groupBy("doc_id").agg(least).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in others])
-    return one.select(*docs.columns).union(kept.filter("doc_id is null"))
+    if ids["n"] != ids["d"]:
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "_row_hash"]).union(kept.filter("doc_id is null"))
+    return kept.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of 20-word passages that occur earlier, and documents of which nothing is left."""
-    out = substring_dedup(docs, also=["lang", "source"], as_is=True).filter("n_removed < n_words or n_words = 0")
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = substring_dedup(docs.select("doc_id", "text", F.struct(*others).alias("others")), also=["others"], as_is=True).filter("n_removed < n_words or n_words = 0")
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[made.get(c, F.col("others").getField(c)).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table; tables that a stage needed for itself, and those of the stages before, are deleted once its own is written."""
+    before = written()
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = write_table(stage(spark, docs, sf_dir), name)
+        drop_tables(spark, before, docs)
     return docs
