@@ -6,11 +6,13 @@ zero; more than that, a similarity of `percent` takes percent / (100 + percent)
 So all windows that have that many places with shingles of one item are looked at, in whatever order these stand.
 
 Each window and each item has a 64-bit SimHash of its shingles, weighted by their number. The fingerprint is cut into radius + 1 blocks:
-two fingerprints within the radius agree in one of them, so joining on (window length, block, its bits) finds all pairs within the radius.
-Candidates are then compared exactly: the sum of the smaller counts of each shingle over the sum of the larger ones.
+two fingerprints within the radius agree in one of them, so joining on (item, block, its bits) finds all pairs of a window and an item that
+it shares shingles with within the radius. Candidates are then compared exactly: the sum of the smaller counts of each shingle over the sum
+of the larger ones.
 
 With the default radius of 24 of 64 bits, a window of similarity 0.8 (expected distance 9.7, standard deviation 2.9) is missed with
-probability below 1e-6; a copy has distance 0.
+probability 2.9e-6; a copy has distance 0. No smaller radius has that recall, and blocks of a radius so large pass most pairs: it is the
+fingerprints' distance that removes candidates, and README says how many.
 
 Items are joined by broadcast while they have at most `broadcast_shingles` shingles, else by shuffling.
 
@@ -68,8 +70,9 @@ def blocks(fingerprint: str, radius: int) -> Column:
 
 
 def shared_shingles(a: str, b: str) -> Column:
-    """The sum over shingles of the smaller count."""
-    return F.expr(f"aggregate(array_distinct({a}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
+    """The sum over shingles of the smaller count. If either side has no shingle twice, that is the size of the intersection."""
+    counted = f"aggregate(array_distinct({a}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
+    return F.expr(f"if(size(array_distinct({a})) = size({a}) or size(array_distinct({b})) = size({b}), size(array_intersect({a}, {b})), {counted})")
 
 
 def window_starts(at: str, shingles: str, m: str, percent: int) -> Column:
@@ -116,15 +119,17 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         places = rows.select("doc_id", "_row", F.posexplode_outer("_sh").alias("i", "h")).join(posts, "h")
         places = places.groupBy("doc_id", "_row", "item", "m").agg(F.collect_set("i").alias("at"))
         hits = places.filter(enough).join(rows.dropDuplicates(["doc_id", "_row"]), ["doc_id", "_row"])
-    windows = hits.filter(enough).select("doc_id", "m", "_sh", F.explode(window_starts("at", "_sh", "m", percent)).alias("start"))
+    windows = hits.filter(enough).select("doc_id", "item", "m", "_sh", F.explode(window_starts("at", "_sh", "m", percent)).alias("start"))
     # The shuffle spreads documents with many hits; what follows is costly per window.
-    windows = windows.select("doc_id", "m", "start", F.slice("_sh", F.col("start") + 1, F.col("m")).alias("win")).distinct()
+    windows = windows.select("doc_id", "item", "start", F.slice("_sh", F.col("start") + 1, F.col("m")).alias("win")).distinct()
     windows = write_table(windows.withColumn("fp", simhash("win")), "windows")
 
-    left = windows.select("*", F.explode(blocks("fp", radius)).alias("block"))
-    right = known.select("item", "n_words", "item_sh", "item_fp", F.size("item_sh").alias("m"), F.explode(blocks("item_fp", radius)).alias("block"))
-    pairs = left.join(hint(right), ["m", "block"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    pairs = pairs.drop("block", "fp", "item_fp").dropDuplicates(["doc_id", "m", "start", "item"])
+    # A window is held against the item that it shares shingles with, and no other of that length.
+    left = windows.select("doc_id", "item", "start", "fp", F.explode(blocks("fp", radius)).alias("block"))
+    right = known.select("item", "item_fp", F.explode(blocks("item_fp", radius)).alias("block"))
+    pairs = left.join(hint(right), ["item", "block"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    pairs = pairs.select("doc_id", "item", "start").distinct().join(windows.select("doc_id", "item", "start", "win"), ["doc_id", "item", "start"])
+    pairs = pairs.join(hint(known.select("item", "n_words", "item_sh")), "item")
     # As a generated column it is worked out once, however often it is used.
     pairs = pairs.withColumn("common", F.explode_outer(F.array(shared_shingles("win", "item_sh"))))
     union = F.size("win") + F.size("item_sh") - F.col("common")
