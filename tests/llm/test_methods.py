@@ -107,6 +107,19 @@ def test_search_prunes_and_stays_exact():
         assert [(-s, v) for s, v in zip(score[row == i], found[row == i], strict=True)] == want
 
 
+@pytest.mark.parametrize("shape", ["flat", "steep", "same"])
+def test_topk_of_many_blocks(spark, shape):
+    rng = np.random.default_rng(17)
+    x = rng.integers(-30, 30, (900, 6)) * (np.exp(rng.normal(0, 2, (900, 1))) if shape == "steep" else 1)
+    x = np.floor(x).astype(float) if shape != "same" else np.full((900, 6), 3.0)
+    v = topk_search.integers(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), factor=1)
+    got = topk_search.top_k(v, v.filter("vec_id % 9 = 0"), block=32, seed_rows=40).collect()
+    exact = x @ x.T
+    for i in range(0, 900, 9):
+        want = sorted((-exact[i, j], j) for j in range(900) if j != i)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000 + i, 2001 + i) for i in range(60)] + [(None, 1), (7, 7)]
