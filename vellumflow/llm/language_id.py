@@ -39,7 +39,7 @@ _PLAIN, _LETTERS = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: The probability of a character that is no piece, in every language.
 _UNKNOWN = 1e-7
 #: Positions times languages of a lattice that is worked out at once.
-_POSITIONS = 1_600_000
+_POSITIONS = 400_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,7 +55,7 @@ def parts_of(word: str, most: int = 32) -> list[str]:
 
 def _lattices(trie, marked: list[str], unknown: int, langs: int):
     raw = [w.encode() for w in marked]
-    for group in groups(raw, max(20_000, _POSITIONS // max(1, langs))):
+    for group in groups(raw, max(5_000, _POSITIONS // max(1, langs))):
         yield np.array(group), Lattice(trie, [raw[i] for i in group], unknown)
 
 

@@ -57,7 +57,7 @@ class DoubleArrayTrie:
         self.value = np.concatenate([value, np.full(pad, -1)])[:used].astype(np.int32)
 
 
-def groups(words: list[bytes], most: int = 400_000):
+def groups(words: list[bytes], most: int = 100_000):
     """Lists of places in words, by length, of at most `most` positions together (or one longer word): bounds a lattice's memory."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     a = 0

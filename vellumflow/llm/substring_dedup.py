@@ -77,12 +77,12 @@ def _packed(batches):
 
 
 def _unpacked(column: pa.Array):
-    """Row ranges of some MB of text, each with its texts."""
+    """Row ranges of half a MB of text, or of one longer row, each with its texts."""
     z, texts, i, size = zstandard.ZstdDecompressor(), [], 0, 0
     for j, x in enumerate(column.to_pylist(), 1):
         texts.append("" if x is None else z.decompress(x).decode())
         size += len(texts[-1])
-        if size > 1 << 20 or j == len(column):
+        if size > 1 << 19 or j == len(column):
             yield i, j, pa.array(texts, pa.large_string())
             texts, i, size = [], j, 0
 

@@ -42,7 +42,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `most` bytes of text, or of one longer row: bounds the memory of the vectorised steps."""
     _, offsets = text_buffer(column)
     i = 0
