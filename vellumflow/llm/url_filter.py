@@ -9,7 +9,7 @@ by propagation. Urls at the ends of links count although they may not be among t
 Component decisions are grouped with maxima, combined before the shuffle; only blocked components are joined back.
 
 Results: a null url, or one without `://`, has empty host and path, fits no rule, has no aliases and is allowed. Links to oneself join nothing, and those to
-something that is no absolute url are ignored. Repeated pages get the same verdict.
+something without a host are ignored. Repeated pages get the same verdict; of rules of equal length the one last by name decides.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from .store import table, write_table
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*(?:"[^">]*|'[^'>]*)?\bcanonical\b[^>]*>"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+_TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -59,11 +59,44 @@ def fitting(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, action
 
 
+def _decoded(text: Column) -> Column:
+    """With the character references that occur in urls; & last, so that nothing is decoded twice."""
+    for pattern, char in ((r"(?i)&(?:#0*47|#x0*2f|sol);", "/"), (r"(?i)&(?:#0*58|#x0*3a|colon);", ":"), (r"(?i)&(?:#0*61|#x0*3d|equals);", "="), (r"(?i)&(?:#0*38|#x0*26|amp);", "&")):
+        text = F.regexp_replace(text, pattern, char)
+    return text
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The absolute url of a target on a page; null for one of another kind, such as mailto:, or on a page without scheme."""
+    scheme, origin = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(base, _URL, 2)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    whole = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | ~base.contains("://"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .when(target.startswith("#") | (target == ""), base)
+        .otherwise(F.concat(origin, folder, target))
+    )
+
+    def step(done: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.array_append(done, x))
+
+    parts = F.split(F.regexp_extract(whole, _URL, 2), "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(parts, F.lit(""))).otherwise(parts)
+    clean = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    dotted = F.concat(F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), clean, F.regexp_extract(whole, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(F.regexp_extract(whole, _URL, 2).rlike(r"/\.{1,2}(/|$)"), dotted).otherwise(whole)
+
+
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) urls of canonical links and of redirects by refresh."""
+    """(source, target) urls of all canonical links and redirects by refresh; targets may be relative to the page and hold character references."""
     some = pages.filter(F.lower(html).rlike("canonical|refresh"))
-    found = F.array(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1))
-    return some.select(F.col(url).alias("source"), F.explode(found).alias("target")).filter("target like '%://%'")
+    of = lambda tag, part: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, part, 1))
+    found = some.select(F.col(url).alias("source"), F.explode(F.concat(of(_CANONICAL, _HREF), of(_REFRESH, _TARGET))).alias("target")).filter("target != ''")
+    return found.select("source", resolved(F.col("source"), _decoded(F.col("target"))).alias("target")).filter("target is not null").distinct()
 
 
 def url_verdicts(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url") -> DataFrame:
