@@ -5,11 +5,12 @@ P(grade >= g) = logistic(s - t_g). Features are the hashed words that a text has
 occur in `least` documents of the sample or more and whose documents' mean grade is `strong` standard errors or more from that of all, and
 a few shares and lengths. (Without this choice, chance weights of many rare words outweigh a few telling ones in long texts.) The expected grade is the sum of the tail probabilities.
 
-The fit uses about `sample` labelled documents, chosen by a hash of their ids, and at most `most_words` words of each; both are parameters.
-Every text is scored whole.
+The fit uses about `sample` labelled documents, chosen by a hash of their ids (a parameter), with their whole texts. Which buckets are
+telling is found by grouping; only these reach the driver. Every text is scored whole.
 
 Results: null text, and text without any letter or digit, has expected grade 0 and tail probabilities 0. Without labelled rows all scores
-are null and every row is kept.
+are null and every row is kept. Repeated rows get equal scores; expected_grade and tails replace columns of these names. A tail
+probability of exactly one half keeps.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .language_id import fold
 from .sentencepieces import add_columns
-from .store import table
-from .wordhash import PLAIN, Words, as_list, slices
+from .store import table, with_small_batches, write_table
+from .wordhash import PLAIN, Words, as_list, release_memory, slices
 
 _BITS = 24
 _UPPER, _DIGIT, _MARK, _LINE = (np.zeros(256, np.int64) for _ in range(4))
@@ -55,15 +56,25 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _DENSE = 10
 
 
-def _sampled(most_words: int):
+def _sampled(batches):
+    for b in batches:
+        for i, j in slices(b.column(1)):
+            part = b.slice(i, j - i)
+            row, bucket, dense = features(part.column(1))
+            yield pa.record_batch([part.column(0), as_list(bucket, np.bincount(row, minlength=j - i), pa.int64()), as_list(dense.ravel(), np.full(j - i, _DENSE), pa.float64())], ["grade", "buckets", "dense"])
+    release_memory()
+
+
+def _only(known: np.ndarray):
+    """Rows: grade, buckets, dense. Keeps the known buckets, as their numbers."""
+
     def run(batches):
         for b in batches:
-            for i, j in slices(b.column(1)):
-                part = b.slice(i, j - i)
-                row, bucket, dense = features(part.column(1))
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, bucket = row[place < most_words], bucket[place < most_words]
-                yield pa.record_batch([part.column(0), as_list(bucket, np.bincount(row, minlength=j - i), pa.int64()), as_list(dense.ravel(), np.full(j - i, _DENSE), pa.float64())], ["grade", "buckets", "dense"])
+            lists = b.column(1)
+            flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            mine = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            yield pa.record_batch([b.column(0), as_list(at[mine], np.bincount(row[mine], minlength=b.num_rows), pa.int64()), b.column(2)], ["grade", "buckets", "dense"])
 
     return run
 
@@ -101,7 +112,7 @@ def fit(grade: np.ndarray, row: np.ndarray, column: np.ndarray, n_columns: int,
     return theta[:k], theta[k : k + d], theta[k + d] + np.concatenate([[0], np.cumsum(np.exp(theta[k + d + 1 :]))])
 
 
-def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = 12_000, most_words: int = 20_000, least: int = 4, strong: float = 3.5):
+def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = 12_000, least: int = 4, strong: float = 3.5):
     """Learns from the ratings (doc_id, grade from 0) of documents; None if there are none."""
     rated = ratings.select(F.col(doc_id).alias("doc_id"), F.col(grade).cast("int").alias("grade")).filter("doc_id is not null and grade >= 0")
     n = rated.count()
@@ -109,22 +120,21 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
         return None
     chosen = rated.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).dropDuplicates(["doc_id"])
     joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    got = joined.select("grade", "text").mapInArrow(_sampled(most_words), "grade int, buckets array<long>, dense array<double>").toArrow()
-    if not got.num_rows:
+    sampled = write_table(with_small_batches(joined.select("grade", "text")).mapInArrow(_sampled, "grade int, buckets array<long>, dense array<double>"), "sampled")
+    of = sampled.agg(F.avg("grade").alias("mean"), F.stddev_pop("grade").alias("spread")).first()
+    if of["mean"] is None:
         return None
+    buckets = sampled.select("grade", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.avg("grade").alias("g")).filter(F.col("n") >= least)
+    telling = buckets.filter(F.abs(F.col("g") - of["mean"]) * F.sqrt("n") >= strong * max(of["spread"], 1e-9))
+    known = np.sort(np.array([r["b"] for r in telling.select("b").collect()], np.int64))
+    got = sampled.mapInArrow(_only(known), sampled.schema).orderBy("grade", F.xxhash64("buckets", "dense")).toArrow()
     y = got.column("grade").to_numpy().astype(np.int64)
     lists = got.column("buckets").combine_chunks()
-    flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+    column, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
     dense = got.column("dense").combine_chunks().flatten().to_numpy().reshape(-1, _DENSE)
     mean, spread = dense.mean(0), dense.std(0) + 1e-6
-    known, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    mean_grade = np.bincount(column, y[row].astype(float)) / times
-    common = (times >= least) & (np.abs(mean_grade - y.mean()) * np.sqrt(times) >= strong * max(y.std(), 1e-9))
-    new = np.cumsum(common) - 1
-    use = common[column]
-    top = max(1, int(y.max()))
-    weights, own, cuts = fit(y, row[use], new[column[use]], int(common.sum()), np.clip((dense - mean) / spread, -6, 6), top)
-    return known[common], weights, own, cuts, mean, spread
+    weights, own, cuts = fit(y, row, column, len(known), np.clip((dense - mean) / spread, -6, 6), max(1, int(y.max())))
+    return known, weights, own, cuts, mean, spread
 
 
 def _scored(shared, at: int, drop: bool):
@@ -142,6 +152,7 @@ def _scored(shared, at: int, drop: bool):
                 s = np.bincount(row[mine], weights[np.searchsorted(known, bucket[mine])], j - i) + np.clip((dense - mean) / spread, -6, 6) @ own
                 tail = np.where(some[:, None], 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -40, 40))), 0.0)
                 yield pa.record_batch([*part.columns, pa.array(tail.sum(1)), as_list(tail.ravel(), np.full(j - i, len(cuts)), pa.float64())], [*part.schema.names, "expected_grade", "tails"])
+        release_memory()
 
     return run
 
