@@ -1,6 +1,8 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
-Each rule is a regular expression with a keyword that all its matches contain, a label, a priority and a score. A document is tested for
+Each rule is a regular expression with a keyword that all its matches contain, a label, a priority and a score. Sentences of licenses and
+notices are signatures written out one by one (license_texts); besides, each family of licenses has rules for its tags and names, with and
+without the versions that there are, which are put together from its parts. A document is tested for
 the keywords first; only rules whose keyword occurs run over its text. A detection is suppressed if one that comes before it (by priority,
 place, length and rule) covers its whole interval, so "GPL version 3" inside a longer statement counts once.
 
@@ -9,7 +11,8 @@ Besides, three base phrases are counted as consecutive words; their labels alway
 Everything happens within a row, so nothing is shuffled whatever the distribution of texts.
 
 Results: null text is empty text. Without any label the score is 0; a base phrase alone scores 0.6. A space of a pattern
-stands for any run of white space, and for line breaks with comment marks around them.
+stands for any run of white space, and for line breaks with comment marks around them. Of detections that are equal in priority, place and
+length the rule with the smaller number stays. Repeated rows get equal results; columns named like those made are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
 from .store import table
 
 #: Fixed values of the contract: phrase and label.
@@ -97,25 +101,6 @@ FAMILIES = (
     *(Family(f"cc-{short}", f"cc{gap}by", rf"\bcc{gap}{short}", f"cc-{short}", _CC_VERSIONS) for short, _ in _CC for gap in (" ", "-")),
     *(Family(f"cc-{short}", "creative commons", rf"\bcreative commons {words}", f"cc-{short}", _CC_VERSIONS) for short, words in _CC),
 )
-#: keyword, pattern, label, priority, score
-OTHERS = (
-    ("creativecommons.org/licenses/by", r"creativecommons\.org/licenses/by/", "cc-by", 6, 0.9),
-    ("creativecommons.org/licenses/by-sa", r"creativecommons\.org/licenses/by-sa/", "cc-by-sa", 6, 0.9),
-    ("creativecommons.org/licenses/by-nc", r"creativecommons\.org/licenses/by-nc/", "cc-by-nc", 6, 0.9),
-    ("creativecommons.org/publicdomain/zero", r"creativecommons\.org/publicdomain/zero/", "cc0", 6, 0.9),
-    ("opensource.org/licenses/mit", r"opensource\.org/licenses/mit\b", "mit", 6, 0.9),
-    ("apache.org/licenses", r"apache\.org/licenses/license-2\.0", "apache-2.0", 6, 0.9),
-    ("gnu.org/licenses", r"gnu\.org/licenses/(?:gpl|old-licenses/gpl)", "gpl", 6, 0.9),
-    ("gnu.org/licenses", r"gnu\.org/licenses/lgpl", "lgpl", 6, 0.9),
-    ("mozilla.org/mpl", r"mozilla\.org/mpl/2\.0", "mpl-2.0", 6, 0.9),
-    ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", "mit", 2, 0.95),
-    ("redistribution and use in source", r"redistribution and use in source and binary forms, with or without modification, are permitted", "bsd", 3, 0.9),
-    ("public domain", r"\b(?:released|placed|dedicated|is|are) (?:in|into|to) the public domain\b", "public-domain", 3, 0.8),
-    ("all rights reserved", r"\ball rights reserved\b", "all-rights-reserved", 7, 0.5),
-    ("proprietary", r"\b(?:confidential and proprietary|proprietary and confidential)\b", "proprietary", 4, 0.8),
-    ("commercial use", r"\b(?:for )?non-?commercial use only\b", "non-commercial", 4, 0.7),
-    ("redistribut", r"\b(?:no|not) (?:be )?redistribut(?:ed|ion)\b", "no-redistribution", 5, 0.6),
-)
 _UNDER = r"(?:licensed|released|distributed|available|published|provided|offered|shared)(?: \w+)? under (?:the |an? )?(?:terms of (?:the )?)?(?:gnu )?(?:version \d(?:\.\d)? of the )?"
 _LICENSE = r"(?: (?:public )?licen[cs]e)?"
 _TAIL = r",? ?-?(?:v|v\.|ver\.?|version)? ?"
@@ -127,7 +112,7 @@ def _version(v: str) -> str:
 
 
 def make_rules() -> list[Rule]:
-    """For each family: tags, statements, and names, with and without version. Several hundred rules."""
+    """The signatures written by hand, and for each family tags, statements, and names, with and without version."""
     out: list[tuple[str, str, str, int, float]] = []
     for f in FAMILIES:
         name = f"(?:{f.name})"
@@ -141,7 +126,7 @@ def make_rules() -> list[Rule]:
         has = "licen" in f.keyword
         out.append((f.keyword, rf"{name}\b" if has or f.label.startswith("cc") or f.label in ("wtfpl", "unlicense") else rf"{name} licen[cs]e\b", f.label, 5, 0.8))
     seen: dict[tuple[str, str], Rule] = {}
-    for keyword, pattern, label, priority, score in [*out, *OTHERS]:
+    for keyword, pattern, label, priority, score in [*out, *TEXTS]:
         pattern = "(?i)" + pattern
         seen.setdefault((pattern, label), Rule(len(seen), keyword, pattern, label, priority, score))
     return list(seen.values())
@@ -150,9 +135,6 @@ def make_rules() -> list[Rule]:
 RULES = make_rules()
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What OP4_SQL asks for first; narrower than the keywords of RULES, which scan() goes by.
-_GATE = ("licen", "spdx", "copyright", "gpl", "bsd", "cc by", "cc-by", "cc0", "creative commons", "creativecommons", "apache", "zlib", "ncsa", "wtfpl", "mozilla.org", "permission is hereby granted", "redistribut", "public domain", "all rights reserved", "proprietary", "commercial use")
-
 
 #: White space within a line, and line breaks with comment marks, as Java patterns.
 _BLANK = r"[\t\x0B\f\r \xA0]"
@@ -256,19 +238,24 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _in_sql(pattern: str) -> str:
+    """The wrapped pattern without what RE2 lacks: possessive runs, which match alike here, and the look at what follows a version at a line's start, so that in SQL the number of a list's item counts as one."""
+    return wrapped(pattern).replace("++", "+").replace("*+", "*").replace(r"(?![.)]\s)", "")
+
+
 def op4_sql() -> str:
-    values = ", ".join(f"({r.number}, {_quoted(r.keyword)}, {_quoted(r.pattern)}, {_quoted(r.label)}, {r.priority}, {r.score})" for r in RULES)
+    values = ", ".join(f"({r.number}, {_quoted(r.keyword)}, {_quoted(_in_sql(r.pattern))}, {_quoted(r.label)}, {r.priority}, {r.score})" for r in RULES)
     phrases = ", ".join(f"({_quoted(label)}, {list(p.split())!r})" for p, label in BASE)
-    gate = " OR ".join(f"contains(low, {_quoted(k)})" for k in _GATE)
+    gaps = _quoted(rf"{_BREAK}|{_BLANK}{{2,}}|[\t\r\f\x0B\xA0]".replace("*+", "*"))
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low,
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low, regexp_replace(lower(coalesce(text, '')), {gaps}, ' ', 'g') AS line,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 phrases(label, p) AS (VALUES {phrases}),
 spots AS (SELECT doc_id, label, unnest([i for i in range(0, len(ws)) if list_slice(ws, i + 1, i + len(p)) = p]) AS i FROM d, phrases WHERE contains(low, 'license')),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS base_labels FROM spots GROUP BY doc_id),
 rules(number, keyword, pattern, label, priority, score) AS (VALUES {values}),
 m AS (SELECT doc_id, number, label, priority, score, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS ps
-  FROM d JOIN rules ON contains(low, keyword) WHERE ({gate})),
+  FROM d JOIN rules ON contains(line, keyword)),
 det0 AS (SELECT *, unnest(range(0, len(ms))) AS k FROM m WHERE len(ms) > 0),
 det AS (SELECT doc_id, number, label, priority, score, length(ms[k + 1]) AS n,
     CAST(list_sum([length(x) for x in list_slice(ps, 1, k + 1)]) + coalesce(list_sum([length(x) for x in list_slice(ms, 1, k)]), 0) AS BIGINT) AS s FROM det0),
