@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -260,9 +261,67 @@ def test_main_text_without_semantic_tags():
     assert html_text.main_text(page) == "Real title First & best paragraph with a link and text enough. Short. item one item two Last one."
 
 
-def test_license_rules_overlap():
+def test_license_rules():
     rules = license_scan.RULES
-    assert len(rules) > 300 and all(r.keyword in r.keyword.lower() for r in rules) and len({(r.pattern, r.label) for r in rules}) == len(rules)
+    assert len(rules) > 600 and len({(r.pattern, r.label) for r in rules}) == len(rules) and all(r.keyword == r.keyword.lower() for r in rules)
+    assert len(license_scan.TEXTS) > 150 and all(re.compile(license_scan.wrapped(r.pattern)) for r in rules)
+
+
+def test_detections_against_brute_force(spark):
+    """Few rules with much overlap, on random texts: all matches of the rules whose keyword occurs, less those that one before them covers."""
+    rng = random.Random(20)
+    parts = [("ab", "a+b", 1), ("b", "b[ab]*", 2), ("aab", "aab(?:ab)?", 1), ("c", "c ?a*", 3), ("ab", "(?:ab)+c?", 3), ("z", "[a-z]+", 1)]
+    rules = [license_scan.Rule(n, k, "(?i)" + p, f"l{n}", priority, n / 10) for n, (k, p, priority) in enumerate(parts)]
+    texts = ["".join(rng.choice("aabbcAB ") for _ in range(rng.randrange(30))) for _ in range(150)] + ["", "zoo ab"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), rules=rules).collect()
+    covered = 0
+    for r in rows:
+        text = texts[r["doc_id"]]
+        found = [(q.priority, m.start(), m.start() - m.end(), q.number, m.end()) for q in rules if q.keyword in text.lower() for m in re.finditer(license_scan.wrapped(q.pattern), text)]
+        kept = {d for d in found if not any(e < d and e[1] <= d[1] and e[4] >= d[4] for e in found)}
+        covered += len(found) - len(kept)
+        assert {(d["priority"], d["start"], d["back"], d["rule"], d["end"]) for d in r["detections"]} == kept, text
+        assert r["labels"] == sorted({f"l{d[3]}" for d in kept}) and r["score"] == max((d[3] / 10 for d in kept), default=0.0)
+    assert covered > 100
+
+
+@pytest.mark.parametrize("row", license_scan.TEXTS, ids=lambda r: r[1][:40])
+def test_keywords_are_in_all_matches(row):
+    """Each alternative of a hand-written signature has its keyword: checked on the shortest and the longest of its readings."""
+    keyword, pattern, *_ = row
+    for text in readings(pattern):
+        assert re.search("(?i)" + license_scan.wrapped(pattern), text), text
+        assert keyword in text, (keyword, text)
+
+
+def readings(pattern: str) -> list[str]:
+    """Texts that a simple pattern matches: for each alternative and optional part, one with it and one without."""
+    import re._parser as parser
+
+    def of(items) -> list[str]:
+        out = [""]
+        for op, arg in items:
+            out = [a + b for a in out for b in one(str(op), arg)][:400]
+        return out
+
+    def one(op, arg) -> list[str]:
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            if str(arg[0][0]) == "NEGATE" or str(arg[0][0]) == "CATEGORY":
+                return ["x"]
+            return [chr(x if isinstance(x, int) else x[0]) for _, x in arg][:3]
+        if op in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, _, sub = arg
+            some = [x * max(1, least) for x in of(sub)]
+            return some if least else ["", *some]
+        if op == "SUBPATTERN":
+            return of(arg[-1])
+        if op == "BRANCH":
+            return [x for branch in arg[1] for x in of(branch)]
+        return [""] if op == "AT" else ["x"]
+
+    return of(parser.parse(pattern))
 
 
 def test_vocabulary_files_are_parameters():

@@ -1,12 +1,15 @@
 """The whole job where less was done before: rows, windows, links, labels and languages that were left out."""
 
+import math
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from test_entry import DIR, needs_data
 from test_methods import corpus, edited
 
-from vellumflow.llm import decontaminate, language_id, license_scan, url_filter
+from vellumflow.llm import decontaminate, html_text, language_id, license_scan, quality, url_filter
 from vellumflow.plans.registry import QUERIES
 
 
@@ -113,3 +116,100 @@ def test_letters_and_long_runs(spark):
     lattice = language_id.Lattice(language_id.vocabulary().trie, [b" " + texts[1].encode()], len(model[1]) - 1)
     big = model[1] ** 0.01
     assert abs(lattice.log_total(big)[0] - language_id.np.log(lattice.total(lattice.forward(big))[0])).max() < 1e-6
+
+
+MALFORMED = [
+    ("<html><head><meta charset=x><title>T</title><p>one<p>two", "one two"),
+    ("<head><title>T</title>plain text that is long enough to be content of a page, surely.", "plain text that is long enough to be content of a page, surely."),
+    ("<div data-x=it's><p>a first sentence of the text.</p></div><p>it's a second sentence.</p>", "a first sentence of the text. it's a second sentence."),
+    ('<article class="post share-enabled has-sidebar"><p>kept text.</p></article>', "kept text."),
+    ('<main><p>Main words come first here.</p><div class="legal"><p>A part about legal history, which is long and ends like a sentence.</p></div></main>', "Main words come first here. A part about legal history, which is long and ends like a sentence."),
+    ('<main><p>Words.</p><div class="ad">Buy now</div><nav><a href=x>Next</a></nav><p>More words.</p></main>', "Words. More words."),
+    ('<p title="a > b">greater than in a quote.</p><p title = \'x > y\'>and in another.</p>', "greater than in a quote. and in another."),
+]
+
+
+def test_malformed_pages():
+    for page, text in MALFORMED:
+        assert html_text.main_text(page) == text, page
+
+
+@needs_data
+def test_learned_costs_and_what_the_cut_changes(spark):
+    """With all telling tags hidden, the cut must mend more labels than it spoils."""
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    weights = html_text.train(pages, sample=100)
+    assert weights != list(html_text.PRIOR) and html_text.train(pages.limit(0)) == list(html_text.PRIOR)
+    alone, cut, n = 0, 0, 0
+    for r in pages.select("html").collect():
+        found = html_text.blocks(r["html"])
+        bare = [b._replace(features=(0.0,) * html_text._N_TAGS + b.features[html_text._N_TAGS :]) for b in found]
+        gain = html_text.costs(bare, weights)
+        sides = html_text.min_cut(gain, html_text.edges_of(bare, 0.4, 0.8))
+        n += len(found)
+        alone += sum((g > 0) == bool(b.told) for g, b in zip(gain, found, strict=True))
+        cut += sum(bool(s) == bool(b.told) for s, b in zip(sides, found, strict=True))
+    print("labels", n, "right by costs alone", alone, "by the cut", cut)
+    assert n * 0.9 < alone <= cut
+
+
+def test_links_relative_and_escaped(spark):
+    base = "http://h.org/a/b.html?q=1"
+    tag = '<link rel="alternate canonical" href="{}">'
+    targets = {"/x": "http://h.org/x", "c.html": "http://h.org/a/c.html", "../d/./e": "http://h.org/d/e", "//o.net/z": "http://o.net/z", "?p=2&amp;r=3": "http://h.org/a/b.html?p=2&r=3", "mailto:a@b.c": None, "http:&#47;&#x2F;k.org/&amp;lt;": "http://k.org/&lt;", "../../..": "http://h.org/"}
+    for target, want in targets.items():
+        got = [r["target"] for r in url_filter.html_links(spark.createDataFrame([(base, tag.format(target))], "url string, html string")).collect()]
+        assert got == ([want] if want else []), target
+    several = tag.format("/one") + '<meta http-equiv=refresh content="3; url=/two?a=1&amp;b=2">' + tag.format("/three")
+    got = {r["target"] for r in url_filter.html_links(spark.createDataFrame([(base, several)], "url string, html string")).collect()}
+    assert got == {"http://h.org/one", "http://h.org/two?a=1&b=2", "http://h.org/three"}
+
+
+def test_verdicts_over_links_against_brute_force(spark):
+    """Refreshes, canonical links, chains and explicit allows, from html to verdict."""
+    rng = random.Random(18)
+    hosts = ["a.org", "b.org", "c.net", "example.com", "example.net", "www.d.org"]
+    urls = sorted({f"http://{rng.choice(hosts)}/{rng.choice(['de', 'en', 'fr', 'x'])}/{rng.randrange(12)}" for _ in range(150)})
+    ends: list[tuple[str, str]] = []
+    pages = []
+    for i, u in enumerate(urls):
+        html = "<p>text</p>"
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            to = rng.choice(urls) if rng.random() < 0.8 else f"http://out.net/{i}"
+            html += rng.choice(['<link rel="canonical" href="{}">', '<META HTTP-EQUIV="Refresh" CONTENT="0; URL={}">']).format(to)
+            ends.append((u, to))
+        pages.append((i, u, html))
+    form = lambda u: u.replace("http://www.", "http://").rstrip("/")
+
+    def explicit(u):
+        host, path = u[7:].split("/", 1)
+        fits = [(len(r), act) for r, act in url_filter.RULES for h, _, rest in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith(rest)]
+        return max(fits)[1] if fits else None
+
+    label = {form(u): form(u) for e in [*ends, *[(u, u) for u in urls]] for u in e}
+    for a, b in ends * 40:
+        label[form(a)] = label[form(b)] = min(label[form(a)], label[form(b)])
+    said: dict = {}
+    for u in {u for e in ends for u in e} | set(urls):
+        said.setdefault(label[form(u)], set()).add(explicit(u))
+    want = {i: explicit(u) or ("block" if "block" in said[label[form(u)]] and "allow" not in said[label[form(u)]] else "allow") for i, u, _ in pages}
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = url_filter.url_verdicts(df.drop("html"), url_filter.html_links(df))
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == want
+    assert sum(want[i] == "block" and explicit(u) is None for i, u, _ in pages) > 3
+
+
+def test_quality_of_whole_texts_and_clashing_columns(spark):
+    """The telling word is the last of 30,000; sums, probabilities and thresholds against a plain count."""
+    rng = random.Random(19)
+    filler = [f"w{i}" for i in range(30_000)]
+    rows = [(i, " ".join(rng.sample(filler, 60) if i else filler) + (" awful" if i % 2 == 0 else " fine"), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, grade int, tails int, expected_grade int")
+    model = quality.train(docs, docs, least=3, strong=2)
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    assert all((got[i]["tails"][0] >= 0.5) == (g == 1) for i, _, g in rows)
+    known, weights, own, cuts, mean, spread = model
+    for i, text, _ in rows[:5]:
+        row, bucket, dense = quality.features(pa.array([text]))
+        s = sum(weights[list(known).index(b)] for b in bucket if b in known) + float((((dense[0] - mean) / spread).clip(-6, 6) * own).sum())
+        assert got[i]["tails"] == pytest.approx([1 / (1 + math.exp(c - s)) for c in cuts]) and got[i]["expected_grade"] == pytest.approx(sum(got[i]["tails"]))
