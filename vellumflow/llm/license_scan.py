@@ -2,7 +2,8 @@
 
 Each rule is a regular expression with a keyword that all its matches contain, a label, a priority and a score. Sentences of licenses and
 notices are signatures written out one by one (license_texts); besides, each family of licenses has rules for its tags and names, with and
-without the versions that there are, which are put together from its parts. A document is tested for
+without the versions that there are, which are put together from its parts. A document is tested for a few words that the keywords have
+in common, then for
 the keywords first; only rules whose keyword occurs run over its text. A detection is suppressed if one that comes before it (by priority,
 place, length and rule) covers its whole interval, so "GPL version 3" inside a longer statement counts once.
 
@@ -165,6 +166,17 @@ def flat(c: Column) -> Column:
     return F.regexp_replace(c, rf"{_BREAK}|{_BLANK}{{2,}}|[\t\r\f\x0B\xA0]", " ")
 
 
+def stems(keywords: list[str]) -> dict[str, list[str]]:
+    """The keywords under words that they contain, few of which cover them all: what a text has to hold first. No keyword's text is without its stem."""
+    left, out = set(keywords), {}
+    choice = {k: {k, *(w for w in re.split(r"[^a-z]+", k) if len(w) >= 5), *(["licen"] if "licen" in k else [])} for k in keywords}
+    while left:
+        best = max({w for k in left for w in choice[k]}, key=lambda w: (sum(w in k for k in left), len(w), w))
+        out[best] = sorted(k for k in left if best in k)
+        left -= set(out[best])
+    return out
+
+
 def detections(text: str, low: str, rules: list[Rule]) -> Column:
     """All matches of the rules whose keyword occurs: an array of (priority, start, back, rule, end, label, score), where back is minus the length."""
     keywords = sorted({r.keyword for r in rules})
@@ -187,9 +199,11 @@ def detections(text: str, low: str, rules: list[Rule]) -> Column:
     def of(hit: Column) -> Column:
         return F.when(F.size(hit) > 0, F.flatten(F.transform(F.filter(known, lambda r: F.array_contains(hit, r["keyword"])), places)))
 
-    # Each keyword is looked for once, though many rules share it; no keyword, no rule.
+    # Each keyword is looked for once, though many rules share it, and only if its stem occurs; no keyword, no rule.
     def found(line: Column) -> Column:
-        return F.array_compact(F.array(*[F.when(line.contains(k), F.lit(n)) for n, k in enumerate(keywords)]))
+        none = F.array().cast("array<int>")
+        tests = [F.when(line.contains(stem), F.array(*[F.when(line.contains(k), F.lit(keywords.index(k))) for k in mine])).otherwise(none) for stem, mine in stems(keywords).items()]
+        return F.array_compact(F.flatten(F.array(*tests)))
 
     return F.element_at(F.transform(F.transform(F.array(flat(F.col(low))), found), of), 1)
 
