@@ -22,6 +22,24 @@ def _numbered(df: DataFrame, key: str) -> DataFrame:
     return df.filter(T.strip(F.col("text")) != "").select(key, (F.row_number().over(order) - 1).alias("utt_id"), "role", F.col("role").alias("speaker"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), T.strip(F.col("text")).alias("text"))
 
 
+def dialogue_sentences(turns: DataFrame, key: str = "encounter_id", pos: str = "pos") -> DataFrame:
+    """(key, idx, role, text) of turns that say something; idx is utt_id, or the place among all turns where that is null."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(pos)) - 1
+    rows = turns.withColumn("idx", F.coalesce("utt_id", place)).filter(T.strip(F.coalesce("text", F.lit(""))) != "")
+    return rows.select(key, "idx", F.upper(F.coalesce("role", F.lit("UNKNOWN"))).alias("role"), "text")
+
+
+def transcripts(turns: DataFrame, key: str = "encounter_id") -> DataFrame:
+    """One row per key: text (turns joined by a space), segments in order, language and a duration that text does not have."""
+    parts = F.array_sort(F.collect_list(F.struct("utt_id", "start", "end", "text", "speaker")))
+    rows = turns.groupBy(key).agg(parts.alias("_p"))
+    segments = F.transform("_p", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["speaker"].alias("speaker")))
+    return rows.select(key, F.array_join(F.transform("_p", lambda x: x["text"]), " ").alias("text"), segments.alias("segments"), F.lit("en").alias("language"), F.lit(None).cast("double").alias("duration"))
+
+
+#: Roles of tagged dialogues are in their tags.
+TAGGED_ROLES = {"DOCTOR": "DOCTOR", "PATIENT": "PATIENT"}
+
 BRACKET_TAG = r"(?i)\[(doctor|patient)\]"
 COLON_TAG = r"(?im)(?:^|(?<=\n)|(?<=\.)\s*|(?<=\?)\s*|(?<=!)\s*)(Doctor|Patient)\s*:"
 

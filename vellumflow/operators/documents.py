@@ -49,7 +49,7 @@ def cut_contents(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def drop_captions(lines: DataFrame) -> DataFrame:
-    return lines.filter(~T.strip(F.col("line")).rlike(r"(?i)^(figure|table)\s+\d+"))
+    return lines.filter(~T.strip(F.col("line")).rlike(r"(?i)^(figure|table)\s*\d+[:.\-]"))
 
 
 def clean_text(c: Column) -> Column:
@@ -69,6 +69,22 @@ def paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text", sep: str
     return rows.withColumn("para", T.strip(F.col("para"))).filter(keeps_paragraph(F.col("para"), F.col("para_no")))
 
 
+def joined_pages(lines: DataFrame, group: str, page: str) -> DataFrame:
+    """(group, text): lines in order as pages, with an empty line between pages."""
+    pages = lines.groupBy(group, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    return pages.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def clean_pages(lines: DataFrame, group: str = "doc_id", page: str = "page", threshold: float = 0.4) -> DataFrame:
+    """(group, para_no, para): lines (group, page, line_no, line) of paged documents to the paragraphs that are content. Repeated lines, page numbers and captions go, pages are joined, then the table of contents, white space, superscripts, citations, urls and the references go, in this order."""
+    blank = T.strip(F.col("line")) == ""
+    kept = drop_captions(drop_repeated_lines(lines, group, page, threshold)).withColumn("line", F.when(blank, "").otherwise(F.col("line")))
+    body = rejoined(cut_contents(numbered_lines(joined_pages(kept, group, page), group), group), group)
+    plain = T.drop_urls(T.drop_author_citations(T.drop_bracket_citations(T.drop_superscripts(T.tidy_space(F.col("text"))))))
+    body = rejoined(cut_references(numbered_lines(body.withColumn("text", plain), group), group), group)
+    return paragraphs(body, group)
+
+
 def heading_items(pages: DataFrame, key: str = "page_id", html: str = "html", untitled: str | None = None) -> DataFrame:
     """(key, pos, heading_path, text) of the p and li elements of a page, under its h1 to h4; the path keeps as many entries as the level less one, whatever their levels were."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<(h[1-4]|p|li)\b[^>]*>(.*?)(?=</(?:h[1-4]|p|li)>|<(?:h[1-4]|p|li)\b|$)"), F.lit(0))

@@ -60,6 +60,30 @@ def breakdown(found: DataFrame) -> DataFrame:
     return scores(sums, ["level", "category", "type"])
 
 
+# The rows of the table of scores (label, category, type, attr) and their two parts.
+TABLE_ROWS = (
+    ("Demographics", "demographic", None, None), ("  age", "demographic", "age", None), ("  sex", "demographic", "sex", None), ("  race_ethnicity", "demographic", "race_ethnicity", None), ("  sexual_orientation", "demographic", "sexual_orientation", None),
+    ("Medications", "entity", "med", None), ("Allergies", "entity", "allergy", None), ("Vitals", "vital", None, None),
+    ("  All Attributes", "attribute", None, None), ("  attr_dose", "attribute", None, "dose"), ("  attr_freq", "attribute", None, "freq"), ("  attr_reaction", "attribute", None, "reaction"),
+)
+
+
+def metrics_table(found: DataFrame) -> DataFrame:
+    """One row with the scores as a text table. Rows without items are left out, but for demographics and vitals. One pass sums all groups."""
+    sets = [["category"], ["category", "type"], ["category", "attr"]]
+    sums = found.groupingSets(sets, "category", "type", "attr").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.grouping_id().alias("level"))
+    names = found.sparkSession.createDataFrame([(i, *r, 3 if r[2] is r[3] is None else 1 if r[3] is None else 2, r[0] in ("Demographics", "Vitals")) for i, r in enumerate(TABLE_ROWS)], "ord int, label string, category string, type string, attr string, level int, always boolean")
+    on = [sums["category"] == names["category"], sums["type"].eqNullSafe(names["type"]), sums["attr"].eqNullSafe(names["attr"]), sums["level"] == names["level"]]
+    rows = F.broadcast(names).join(sums, on, "left").filter("always or tp is not null").select("ord", "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    scored = scores(rows, ["ord", "label"])
+    line = F.format_string("%-20s %8.3f %8.3f %8.3f %6d %6d %6d", "label", "precision", "recall", "f1", "tp", "fp", "fn")
+    text = lambda on: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("ord", line.alias("line"))))), lambda x: x["line"]), "\n")
+    head = F.format_string("%-20s %8s %8s %8s %6s %6s %6s", *map(F.lit, ("Category", "Prec", "Rec", "F1", "TP", "FP", "FN")))
+    rule, dash = F.lit("=" * 70), F.lit("-" * 70)
+    parts = scored.agg(text(F.col("ord") < 8).alias("a"), text(F.col("ord") >= 8).alias("b"))
+    return parts.select(F.concat_ws("\n", rule, F.lit("CRUCIAL INFORMATION MICRO-F1 EVALUATION"), rule, F.lit(""), head, dash, "a", F.lit(""), F.lit("ATTRIBUTES (dose, freq, reaction)"), dash, T.blank_to_null(F.col("b")), F.lit(""), rule).alias("text"))
+
+
 def combined(found: DataFrame, categories: Sequence[str] = ("entity", "vital", "demographic")) -> DataFrame:
     """The score without attributes."""
     return scores(found.filter(F.col("category").isin(*categories)))

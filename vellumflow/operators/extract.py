@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..functions.sizes import broadcast_if_small
 
 
 def patient_turns(turns: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def drugs(turns: DataFrame, aliases: DataFrame, terms: Sequence[str] = L.DRUGS,
     hits = term_matches(some, terms).withColumn("_r", first).filter("_r = 1")
     absent = T.contains_any(F.lower("text"), L.STOPPED)
     hits = hits.select(key, "utt_id", F.col("surface").alias("name_surface"), F.lower("surface").alias("_name"), F.when(absent, "absent").otherwise("present").alias("assertion"), "start")
-    known = F.broadcast(aliases.select(F.lower("name").alias("_name"), F.col("rxcui"), F.col("generic")))  # a dimension table of fixed size
+    known = broadcast_if_small(aliases.select(F.lower("name").alias("_name"), F.col("rxcui"), F.col("generic")))
     return hits.join(known, "_name", "left").select(key, "utt_id", "name_surface", F.coalesce("generic", "_name").alias("name_norm"), "rxcui", "assertion", "start")
 
 

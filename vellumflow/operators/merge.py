@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..functions.sizes import broadcast_if_small
 
 #: Points for each filled field.
 SYMPTOM_POINTS = {"name_norm": 2, "cui": 2, "duration": 1, "severity": 1, "onset": 1}
@@ -93,7 +94,7 @@ def near_aliases(df: DataFrame, aliases: DataFrame, name: str = "name", cutoff:
     """
     words = lambda c: F.array_join(F.array_sort(F.split(T.strip(F.lower(c)), r"\s+")), " ")
     names = df.select(F.col(name).alias("name")).distinct().withColumn("_a", words(F.col("name")))
-    known = F.broadcast(aliases.select(F.col("name").alias("alias"), "rxcui", "generic").withColumn("_b", words(F.col("alias"))))
+    known = broadcast_if_small(aliases.select(F.col("name").alias("alias"), "rxcui", "generic").withColumn("_b", words(F.col("alias"))))
     a, b = F.length("_a"), F.length("_b")
     if exact:
         score = 100 * (1 - F.levenshtein("_a", "_b") / F.greatest(a, b))

@@ -15,6 +15,11 @@ SECTIONS = (
     ("S", r"^\s*(subjective|s)[:\s]"), ("O", r"^\s*(objective|o)[:\s]"), ("A", r"^\s*(assessment|a)[:\s]"), ("P", r"^\s*(plan|p)[:\s]"), ("S", r"^\s*(history\s+of\s+present\s+illness|hpi)[:\s]"), ("O", r"^\s*(physical\s+exam|pe|exam)[:\s]"),
     ("A", r"^\s*(impression|dx|diagnosis|diagnoses)[:\s]"), ("P", r"^\s*(recommendations?|rx|treatment)[:\s]"), ("S", r"^\s*(review\s+of\s+systems|ros)[:\s]"), ("O", r"^\s*(vitals?|vital\s+signs?)[:\s]"),
 )
+# The headers that notes of several sources are cut by; of repeated sections the last holds.
+SOURCE_SECTIONS = (
+    ("S", r"^\s*(subjective|s)[:\s]"), ("O", r"^\s*(objective|o)[:\s]"), ("A", r"^\s*(assessment|a)[:\s]"), ("P", r"^\s*(plan|p)[:\s]"), ("S", r"^\s*(history\s+of\s+present\s+illness|hpi)[:\s]"), ("O", r"^\s*(physical\s+exam|pe|exam)[:\s]"),
+    ("A", r"^\s*(impression|dx|diagnosis)[:\s]"), ("P", r"^\s*(recommendations?|rx|treatment)[:\s]"),
+)
 # Kinds of claims, the first that fits holds.
 CLAIM_KINDS = (
     ("medication", (r"\b(mg|mcg|ml|tablet|capsule|daily|bid|tid|qid|prn)\b", r"\b(prescribe|start|continue|take|taking|medication|drug)\b")),
@@ -38,6 +43,11 @@ def sections(notes: DataFrame, key: str = "encounter_id", text: str = "note", he
     return rows.withColumn("_r", F.row_number().over(pick)).filter("_r = 1").select(key, "h.section", "h.start", "end")
 
 
+def source_sections(notes: DataFrame, key: str = "encounter_id", text: str = "note") -> DataFrame:
+    """(key, section, start, end) by the eight headers, the last of repeated ones."""
+    return sections(notes, key, text, SOURCE_SECTIONS, keep="last")
+
+
 def note_sentences(notes: DataFrame, key: str = "encounter_id", text: str = "note") -> DataFrame:
     """(key, idx, text, start): sentences with the place where each stands, sought from the end of the one before."""
     parts = T.sentences(F.col(text))

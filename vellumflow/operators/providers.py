@@ -51,8 +51,8 @@ class Settings:
         return Echo() if self.mode == "mock" else Http(self.url, openai=self.mode != "ollama")
 
 
-def call(df: DataFrame, make_client: Callable[[], object], model: str, prompt: str = "prompt", retries: int = 2, accept: Callable[[str], bool] = bool) -> DataFrame:
-    """df with reply, attempts and error. One client per task; a reply that accept() refuses is asked for again, up to `retries` times. Write the result before using it twice, so that no call is made again."""
+def call(df: DataFrame, make_client: Callable[[], object], model: str, prompt: str = "prompt", retries: int = 2, accept: Callable[[str], bool] = bool, system: str | None = None, stricter: str = "", temperature: float = 0.0) -> DataFrame:
+    """df with reply, attempts and error. One client per task; a reply that accept() refuses is asked for again, up to `retries` times, with the text `stricter` after the prompt. Write the result before using it twice, so that no call is made again."""
     others = [c for c in df.columns if c not in ("reply", "attempts", "error")]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
 
@@ -65,7 +65,8 @@ def call(df: DataFrame, make_client: Callable[[], object], model: str, prompt: s
                 while tried <= retries and (reply is None or not accept(reply)):
                     tried += 1
                     try:
-                        reply, error = client.chat(model, [{"role": "user", "content": text or ""}]), None
+                        messages = [{"role": "user", "content": (text or "") + (stricter if tried > 1 else "")}]
+                        reply, error = client.chat(model, [{"role": "system", "content": system}, *messages] if system else messages, temperature), None
                     except Exception as e:  # a failed call is a row's error, not the job's
                         error = str(e)
                 made.append((reply, tried, error))

@@ -159,6 +159,29 @@ def remove_pointer(tree, pointer: str) -> bool:
     return False
 
 
+def diagnoses_of(qa: Column, claims: Column, most: int = 10) -> Column:
+    """Diagnoses of a note: what qa (concept, value) says, then claims (text, section, claim_type) of the assessment."""
+    said = F.transform(F.filter(qa, lambda q: q["concept"].startswith("diagnosis")), lambda q: F.coalesce(T.blank_to_null(q["value"]), q["concept"]))
+    claimed = F.transform(F.filter(claims, lambda c: (c["section"] == "A") & (c["claim_type"] == "diagnosis")), lambda c: c["text"])
+    return F.slice(F.concat(said, claimed), 1, most)
+
+
+def plan_items_of(qa: Column, claims: Column, meds: Column, most: int = 15) -> Column:
+    """Plan items of a note: what qa says, claims of the plan, then present meds with dose and frequency."""
+    said = F.transform(F.filter(qa, lambda q: q["concept"].startswith("plan")), lambda q: F.coalesce(T.blank_to_null(q["value"]), q["concept"]))
+    claimed = F.transform(F.filter(claims, lambda c: c["section"] == "P"), lambda c: c["text"])
+    drugs = F.transform(F.filter(meds, lambda m: m["assertion"] == "present"), lambda m: F.concat_ws(" ", m["name_surface"], T.blank_to_null(m["dose"]), T.blank_to_null(m["freq"])))
+    return F.slice(F.concat(said, claimed, drugs), 1, most)
+
+
+def arbiter_summary(abstained: Column, notes: Column, patches: Column, unresolved: Column) -> Column:
+    """What an arbiter did, as text."""
+    listed = lambda label, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"\n{label} ("), F.size(xs).cast("string"), F.lit("):\n"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("  - "), x)), "\n")))
+    held = F.concat_ws("\n", F.lit("ARBITER ABSTAINED - Human review required"), F.concat(F.lit("\nReason: "), T.blank_to_null(notes)))
+    passed = F.concat_ws("\n", F.lit("Clinical plan approved"), listed("Patches applied", patches))
+    return F.concat_ws("\n", F.when(abstained, held).otherwise(passed), listed("Unresolved issues", unresolved))
+
+
 def percent(c: Column) -> Column:
     """Whole percent, halves to even."""
     return F.concat(F.format_string("%.0f", F.bround(100 * c, 0)), F.lit("%"))

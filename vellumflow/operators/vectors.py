@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.sizes import broadcast_if_small
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -30,7 +31,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, fetch: int | None =
     set, held against all chunks in a nested loop; Spark limits the window to k rows of each partition before it shuffles.
     """
     rows = chunks if keep is None or fetch else chunks.filter(keep)
-    small = F.broadcast(queries.select("query_id", F.col("embedding").alias("_q"))) if queries.limit(20_001).count() <= 20_000 else queries.select("query_id", F.col("embedding").alias("_q"))
+    small = broadcast_if_small(queries.select("query_id", F.col("embedding").alias("_q")), 64 << 20)
     scored = rows.join(small).withColumn("score", F.round(dot("_q", "embedding"), digits)).drop("_q", "embedding")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "idx")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (fetch or k))
@@ -50,6 +51,7 @@ def link_claims(claims: DataFrame, sentences: DataFrame, group: str = "encounter
     return out
 
 
+# Words that negate.
 CLAIM_NEGATIONS = ("no ", "denies", "negative", "absent", "without")
 SENTENCE_NEGATIONS = ("no ", "denies", "don't", "doesn't", "negative")
 
@@ -65,6 +67,40 @@ def verdicts(links: DataFrame) -> DataFrame:
     return links.withColumn("verdict", verdict).withColumn("confidence", F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)))
 
 
+# What a model of inference says, as a verdict.
+NLI_VERDICTS = {"entailment": "entailed", "contradiction": "contradicted", "neutral": "unsupported"}
+
+
+def nli_verdicts(links: DataFrame, make_model: Callable[[], Callable[[str, str], tuple[str, float]]] | None = None) -> DataFrame:
+    """Adds verdict and confidence by a model (premise, claim) -> (label, score), the premise being all evidence of the claim; where it fails the claim is unsupported at 0.5. Without a model as verdicts()."""
+    if make_model is None:
+        return verdicts(links)
+    rows = links.withColumn("_premise", F.array_join(F.transform("evidence", lambda e: e["sentence"]), " "))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = make_model()
+        for b in batches:
+            said = []
+            for premise, claim in zip(b.column("_premise").to_pylist(), b.column("claim").to_pylist(), strict=True):
+                try:
+                    label, score = model(premise, claim)
+                    said.append((NLI_VERDICTS.get(label, "unsupported"), float(score)))
+                except Exception:  # a failed call is a row's verdict, not the job's end
+                    said.append(("unsupported", 0.5))
+            kept = b.drop_columns("_premise")
+            yield pa.record_batch([*kept.columns, pa.array([v for v, _ in said], pa.string()), pa.array([c for _, c in said], pa.float64())], [*kept.schema.names, "verdict", "confidence"])
+
+    return rows.mapInArrow(run, f"{schema}, verdict string, confidence double")
+
+
+def embedded_text(c: Column, most: int = 5000) -> Column:
+    """What of a chunk an embedder gets: its first characters (the limit is the embedder's; the chunk itself stays whole)."""
+    return F.substring(c, 1, most)
+
+
 def retrieval_query(facts: DataFrame) -> DataFrame:
     """Adds query: what a facts row says, as text for retrieval."""
     present = lambda c: F.filter(c, lambda x: x["assertion"] == "present")

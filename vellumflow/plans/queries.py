@@ -304,25 +304,25 @@ def low_signal_filter(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     emb = read(spark, sf_dir, "embeddings")
-    return emb.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), emb.select(F.col("vec_id").alias("idx"), "label", "embedding")
+    return emb.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), emb.select(F.col("vec_id").alias("idx"), "label", "embedding")
 
 
 _DOT = "round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6)"
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS idx, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS INTEGER) AS rank FROM s) SELECT query_id, rank, idx, score FROM r WHERE rank <= 5")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS idx, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS INTEGER) AS rank FROM s) SELECT query_id, rank, idx, score FROM r WHERE rank <= 5")
 def vector_topk(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir)
     return V.top_k(queries, chunks, 5)
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS idx, c.label, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS k FROM s), f AS (SELECT query_id, idx, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS INTEGER) AS rank FROM r WHERE k <= 15 AND label < 5) SELECT query_id, rank, idx, score FROM f WHERE rank <= 5")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS idx, c.label, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS k FROM s), f AS (SELECT query_id, idx, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS INTEGER) AS rank FROM r WHERE k <= 15 AND label < 5) SELECT query_id, rank, idx, score FROM f WHERE rank <= 5")
 def vector_topk_postfilter(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir)
     return V.top_k(queries, chunks, 5, fetch=15, keep=F.col("label") < 5)
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS idx, c.label < 5 AS low, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, low ORDER BY score DESC, idx) AS INTEGER) AS rank FROM s) SELECT query_id, rank, idx, score, CASE WHEN low THEN 'guidelines' ELSE 'manual' END AS source, (CASE WHEN low THEN 'guidelines' ELSE 'manual' END) || ':' || idx AS evidence_id FROM r WHERE rank <= 3")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS idx, c.label < 5 AS low, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, low ORDER BY score DESC, idx) AS INTEGER) AS rank FROM s) SELECT query_id, rank, idx, score, CASE WHEN low THEN 'guidelines' ELSE 'manual' END AS source, (CASE WHEN low THEN 'guidelines' ELSE 'manual' END) || ':' || idx AS evidence_id FROM r WHERE rank <= 3")
 def vector_union(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir)
     return V.union_evidence([("guidelines", V.top_k(queries, chunks, 3, keep=F.col("label") < 5)), ("manual", V.top_k(queries, chunks, 3, keep=F.col("label") >= 5))])
@@ -330,11 +330,11 @@ def vector_union(spark, sf_dir):
 
 def _links(spark, sf_dir):
     emb = read(spark, sf_dir, "embeddings").withColumn("text", F.concat(F.when(F.col("vec_id") % 3 == 0, "no ").otherwise(""), F.col("vec_id").cast("string")))
-    claims = emb.filter("vec_id % 10 = 0").select(F.col("label").alias("encounter_id"), F.col("vec_id").alias("claim_id"), "text", "embedding")
-    return V.link_claims(claims, emb.filter("vec_id % 10 != 0").select(F.col("label").alias("encounter_id"), F.col("vec_id").alias("idx"), "text", "embedding"))
+    claims = emb.select(F.col("label").alias("encounter_id"), F.col("vec_id").alias("claim_id"), "text", "embedding")
+    return V.link_claims(claims, emb.select(F.col("label").alias("encounter_id"), F.col("vec_id").alias("idx"), "text", "embedding"))
 
 
-_LINKS = f"e AS (SELECT label, vec_id, embedding, (CASE WHEN vec_id % 3 = 0 THEN 'no ' ELSE '' END) || vec_id AS text FROM embeddings), s AS (SELECT q.label AS encounter_id, q.vec_id AS claim_id, q.text AS claim, c.text AS sentence, c.vec_id AS idx, {_DOT} AS score FROM e q JOIN e c ON q.label = c.label AND c.vec_id % 10 != 0 WHERE q.vec_id % 10 = 0), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY encounter_id, claim_id ORDER BY score DESC, idx DESC) AS INTEGER) AS rank FROM s)"
+_LINKS = f"e AS (SELECT label, vec_id, embedding, (CASE WHEN vec_id % 3 = 0 THEN 'no ' ELSE '' END) || vec_id AS text FROM embeddings), s AS (SELECT q.label AS encounter_id, q.vec_id AS claim_id, q.text AS claim, c.text AS sentence, c.vec_id AS idx, {_DOT} AS score FROM e q JOIN e c ON q.label = c.label), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY encounter_id, claim_id ORDER BY score DESC, idx DESC) AS INTEGER) AS rank FROM s)"
 
 
 @query(f"WITH {_LINKS} SELECT encounter_id, claim_id, rank, idx, score FROM k WHERE rank <= 3 AND score >= 0.3")
@@ -455,7 +455,7 @@ def json_props(spark, sf_dir):
     return out.select("event_id", "parsed.k")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_repaired(spark, sf_dir):
     """Fenced replies with a stray comma."""
     reply = F.concat(F.lit("```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n``` that is all"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import reply_queries  # noqa: F401  registers its queries
 from .queries import QUERIES, SQL
 
 FLAGSHIP = "fact_counts"

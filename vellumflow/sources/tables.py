@@ -84,12 +84,53 @@ def write_chunks(df: DataFrame, path: str) -> None:
     that no corpus has to pass through one task. The counts are as many as tasks and corpora.
     """
     order = ["corpus", "doc_id", "position"]
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sorted_path = path.rstrip("/") + ".sorted"
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    # Written, as the numbers of tasks hold for one run of them only.
+    numbered.write.mode("overwrite").parquet(sorted_path)
+    rows = df.sparkSession.read.parquet(sorted_path)
     counts = rows.groupBy("corpus", "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("corpus").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(counts.withColumn("_before", before).select("corpus", "_task", "_first", "_before"))  # a row for each task and corpus
     out = rows.join(starts, ["corpus", "_task"]).withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before"))
     out.drop("_task", "_at", "_first", "_before").write.partitionBy("corpus").mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(sorted_path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def write_split(df: DataFrame, path: str, split: str) -> None:
+    """JSON lines of one split's results, which name it."""
+    write_json(df.withColumn("dataset_split", F.lit(split)), path)
+
+
+def write_texts(df: DataFrame, path: str, key: str = "encounter_id", text: str = "text") -> None:
+    """Texts, a folder for each key."""
+    df.select(key, text).write.partitionBy(key).mode("overwrite").text(path)
+
+
+def stream(df: DataFrame):
+    """Rows one after the other, of one task at a time: the driver holds two tasks' rows at most."""
+    return df.toLocalIterator(prefetchPartitions=True)
+
+
+CHUNK = "idx long, corpus string, doc_id string, position int, title string, heading_path string, text string, sha256 string"
+
+
+def chunk_lines(spark: SparkSession, path: str, schema: str = CHUNK) -> DataFrame:
+    """Chunks or their metadata from JSON lines; idx, the row's place, is a column of the lines. Blank and malformed lines are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_index(df: DataFrame, path: str, embed) -> None:
+    """The chunk table with a vector for each chunk, embed(text column); one table in place of separate files for vectors, metadata and chunks."""
+    write_chunks(df.withColumn("embedding", embed(F.substring("text", 1, 5000))), path)
+
+
+def read_index(spark: SparkSession, path: str, corpus: str | None = None) -> DataFrame:
+    """A written index; of one corpus only its files are read."""
+    df = spark.read.parquet(path)
+    return df if corpus is None else df.filter(F.col("corpus") == corpus)
 
 
 def report(df: DataFrame) -> DataFrame:
