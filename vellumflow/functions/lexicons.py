@@ -51,9 +51,24 @@ SYMPTOMS = (
 )
 
 # Drug names.
-DRUGS = tuple(
-    "ibuprofen|advil|motrin|naproxen|aleve|aspirin|tylenol|acetaminophen|excedrin|celebrex|meloxicam|lisinopril|losartan|amlodipine|metoprolol|atenolol|carvedilol|hydrochlorothiazide|hctz|furosemide|lasix|spironolactone|atorvastatin|lipitor|simvastatin|zocor|rosuvastatin|crestor|pravastatin|warfarin|coumadin|eliquis|apixaban|xarelto|rivaroxaban|plavix|clopidogrel|nitroglycerin|metformin|glucophage|glipizide|glyburide|glimepiride|insulin|lantus|humalog|novolog|ozempic|trulicity|jardiance|farxiga|invokana|albuterol|proventil|ventolin|advair|symbicort|breo|spiriva|singulair|montelukast|prednisone|fluticasone|flonase|cetirizine|zyrtec|loratadine|claritin|diphenhydramine|benadryl|fexofenadine|allegra|omeprazole|prilosec|pantoprazole|protonix|nexium|esomeprazole|famotidine|pepcid|ranitidine|zantac|sucralfate|carafate|ondansetron|zofran|metoclopramide|reglan|docusate|colace|miralax|polyethylene glycol|loperamide|imodium|sertraline|zoloft|fluoxetine|prozac|escitalopram|lexapro|citalopram|celexa|paroxetine|paxil|venlafaxine|effexor|duloxetine|cymbalta|bupropion|wellbutrin|trazodone|mirtazapine|remeron|alprazolam|xanax|lorazepam|ativan|clonazepam|klonopin|diazepam|valium|buspirone|buspar|quetiapine|seroquel|aripiprazole|abilify|risperidone|risperdal|olanzapine|zyprexa|lithium|levothyroxine|synthroid|armour thyroid|methimazole|tapazole|amoxicillin|augmentin|azithromycin|zithromax|z-pack|ciprofloxacin|cipro|levofloxacin|levaquin|doxycycline|metronidazole|flagyl|clindamycin|sulfamethoxazole|bactrim|nitrofurantoin|macrobid|cephalexin|keflex|zolpidem|ambien|eszopiclone|lunesta|melatonin|gabapentin|neurontin|pregabalin|lyrica|tramadol|cyclobenzaprine|flexeril|methocarbamol|robaxin|sumatriptan|imitrex|topiramate|topamax|finasteride|propecia|tamsulosin|flomax|sildenafil|viagra|tadalafil|cialis|vitamin d|vitamin b12|folic acid|iron|calcium|fish oil|omega-3|multivitamin|probiotics".split("|")
-)
+DRUGS = (
+    "ibuprofen", "advil", "motrin", "naproxen", "aleve", "aspirin", "tylenol", "acetaminophen", "excedrin", "celebrex", "meloxicam", "lisinopril", "losartan",
+    "amlodipine", "metoprolol", "atenolol", "carvedilol", "hydrochlorothiazide", "hctz", "furosemide", "lasix", "spironolactone", "atorvastatin", "lipitor",
+    "simvastatin", "zocor", "rosuvastatin", "crestor", "pravastatin", "warfarin", "coumadin", "eliquis", "apixaban", "xarelto", "rivaroxaban", "plavix", "clopidogrel",
+    "nitroglycerin", "metformin", "glucophage", "glipizide", "glyburide", "glimepiride", "insulin", "lantus", "humalog", "novolog", "ozempic", "trulicity", "jardiance",
+    "farxiga", "invokana", "albuterol", "proventil", "ventolin", "advair", "symbicort", "breo", "spiriva", "singulair", "montelukast", "prednisone", "fluticasone",
+    "flonase", "cetirizine", "zyrtec", "loratadine", "claritin", "diphenhydramine", "benadryl", "fexofenadine", "allegra", "omeprazole", "prilosec", "pantoprazole",
+    "protonix", "nexium", "esomeprazole", "famotidine", "pepcid", "ranitidine", "zantac", "sucralfate", "carafate", "ondansetron", "zofran", "metoclopramide", "reglan",
+    "docusate", "colace", "miralax", "polyethylene glycol", "loperamide", "imodium", "sertraline", "zoloft", "fluoxetine", "prozac", "escitalopram", "lexapro",
+    "citalopram", "celexa", "paroxetine", "paxil", "venlafaxine", "effexor", "duloxetine", "cymbalta", "bupropion", "wellbutrin", "trazodone", "mirtazapine", "remeron",
+    "alprazolam", "xanax", "lorazepam", "ativan", "clonazepam", "klonopin", "diazepam", "valium", "buspirone", "buspar", "quetiapine", "seroquel", "aripiprazole",
+    "abilify", "risperidone", "risperdal", "olanzapine", "zyprexa", "lithium", "levothyroxine", "synthroid", "armour thyroid", "methimazole", "tapazole", "amoxicillin",
+    "augmentin", "azithromycin", "zithromax", "z-pack", "ciprofloxacin", "cipro", "levofloxacin", "levaquin", "doxycycline", "metronidazole", "flagyl", "clindamycin",
+    "sulfamethoxazole", "bactrim", "nitrofurantoin", "macrobid", "cephalexin", "keflex", "zolpidem", "ambien", "eszopiclone", "lunesta", "melatonin", "gabapentin",
+    "neurontin", "pregabalin", "lyrica", "tramadol", "cyclobenzaprine", "flexeril", "methocarbamol", "robaxin", "sumatriptan", "imitrex", "topiramate", "topamax",
+    "finasteride", "propecia", "tamsulosin", "flomax", "sildenafil", "viagra", "tadalafil", "cialis", "vitamin d", "vitamin b12", "folic acid", "iron", "calcium",
+    "fish oil", "omega-3", "multivitamin", "probiotics",
+)
 DRUG_CONTEXT = (r"\b(?:tak(?:e|ing|en)|on|use|using|prescribed|started?|stopped?|quit)\b", r"\b(?:mg|milligram|mcg|microgram)\b", r"\b(?:daily|twice|once|every|morning|evening|night|bedtime)\b", r"\b(?:pill|tablet|capsule|medication|medicine|drug|prescription)\b")
 #: name, code, generic
 DRUG_ALIASES = (
@@ -102,9 +117,17 @@ SEXES = {"male": ("m", "male", "man", "boy"), "female": ("f", "female", "woman",
 RACES = {"african american": "african_american", "african-american": "african_american", "black": "african_american", "white": "caucasian", "caucasian": "caucasian", "hispanic": "hispanic", "latino": "hispanic", "latina": "hispanic", "asian": "asian", "pacific islander": "pacific_islander", "native american": "native_american", "american indian": "native_american", "mixed": "mixed", "multiracial": "mixed"}
 ORIENTATIONS = {"straight": "heterosexual", "heterosexual": "heterosexual", "gay": "homosexual", "lesbian": "homosexual", "homosexual": "homosexual", "bisexual": "bisexual", "bi": "bisexual", "queer": "queer", "pansexual": "pansexual", "asexual": "asexual"}
 NULL_WORDS = ("null", "none", "unknown", "not specified", "not stated", "")
-ALLERGENS = tuple(
-    "penicillin amoxicillin ampicillin penicillins sulfa sulfamethoxazole sulfasalazine sulfonamides erythromycin azithromycin clarithromycin macrolides tetracycline doxycycline minocycline cephalosporins cephalexin ceftriaxone cefdinir fluoroquinolones ciprofloxacin levofloxacin moxifloxacin vancomycin metronidazole trimethoprim nitrofurantoin clindamycin gentamicin aspirin nsaids ibuprofen naproxen celecoxib codeine morphine hydrocodone oxycodone tramadol fentanyl opioids acetaminophen tylenol ace_inhibitors lisinopril enalapril statins atorvastatin simvastatin contrast_dye iodine iodinated_contrast latex adhesive_tape bandage_adhesive lidocaine novocaine local_anesthetics general_anesthesia propofol insulin heparin warfarin shellfish shrimp crab lobster peanuts peanut tree_nuts almonds walnuts cashews pecans eggs egg milk dairy lactose soy soybean wheat gluten fish salmon tuna sesame pollen grass_pollen tree_pollen ragweed dust dust_mites mold mildew pet_dander cat_dander dog_dander cats dogs bee_stings wasp_stings insect_stings bee_venom nickel jewelry".split()
-)
+ALLERGENS = (
+    "penicillin", "amoxicillin", "ampicillin", "penicillins", "sulfa", "sulfamethoxazole", "sulfasalazine", "sulfonamides", "erythromycin", "azithromycin",
+    "clarithromycin", "macrolides", "tetracycline", "doxycycline", "minocycline", "cephalosporins", "cephalexin", "ceftriaxone", "cefdinir", "fluoroquinolones",
+    "ciprofloxacin", "levofloxacin", "moxifloxacin", "vancomycin", "metronidazole", "trimethoprim", "nitrofurantoin", "clindamycin", "gentamicin", "aspirin", "nsaids",
+    "ibuprofen", "naproxen", "celecoxib", "codeine", "morphine", "hydrocodone", "oxycodone", "tramadol", "fentanyl", "opioids", "acetaminophen", "tylenol",
+    "ace_inhibitors", "lisinopril", "enalapril", "statins", "atorvastatin", "simvastatin", "contrast_dye", "iodine", "iodinated_contrast", "latex", "adhesive_tape",
+    "bandage_adhesive", "lidocaine", "novocaine", "local_anesthetics", "general_anesthesia", "propofol", "insulin", "heparin", "warfarin", "shellfish", "shrimp", "crab",
+    "lobster", "peanuts", "peanut", "tree_nuts", "almonds", "walnuts", "cashews", "pecans", "eggs", "egg", "milk", "dairy", "lactose", "soy", "soybean", "wheat",
+    "gluten", "fish", "salmon", "tuna", "sesame", "pollen", "grass_pollen", "tree_pollen", "ragweed", "dust", "dust_mites", "mold", "mildew", "pet_dander", "cat_dander",
+    "dog_dander", "cats", "dogs", "bee_stings", "wasp_stings", "insect_stings", "bee_venom", "nickel", "jewelry",
+)
 ALLERGEN_ALIASES = {
     "pen": "penicillin", "pcn": "penicillin", "pen vk": "penicillin", "amox": "amoxicillin", "augmentin": "amoxicillin", "sulfa drugs": "sulfa", "sulfur": "sulfa", "bactrim": "sulfamethoxazole", "septra": "sulfamethoxazole", "advil": "ibuprofen", "motrin": "ibuprofen", "aleve": "naproxen", "celebrex": "celecoxib",
     "non-steroidal": "nsaids", "nonsteroidal": "nsaids", "vicodin": "hydrocodone", "norco": "hydrocodone", "percocet": "oxycodone", "oxycontin": "oxycodone", "ultram": "tramadol", "z-pack": "azithromycin", "zithromax": "azithromycin", "zpak": "azithromycin", "cipro": "ciprofloxacin", "levaquin": "levofloxacin",

@@ -142,6 +142,9 @@ def assertion_of(text: Column, span: Column | None = None) -> Column:
     return F.when(contains_any(scope, L.NEGATIONS), "absent").when(contains_any(scope, L.UNCERTAINTIES), "possible").otherwise("present")
 
 
+# The patterns of the functions from here to skips_heading are fixed values: results depend on them.
+
+
 def tidy_space(c: Column) -> Column:
     """Joins hyphenated line breaks, makes runs of spaces and tabs one space and three or more line feeds two, and strips."""
     out = F.regexp_replace(c, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")

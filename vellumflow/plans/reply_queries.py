@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from ..operators import dialogue as D
 from ..operators import documents as C
 from ..operators import entities as N
+from ..operators import extract as X
 from ..operators import evaluate as E
 from ..operators import notes as K
+from ..operators import render as Z
 from ..operators import replies as Y
 from ..operators import rubric as R
 from ..operators import stages as S
 from ..operators import vectors as V
-from .queries import _OUTCOMES, _TURNS, _outcomes, _turns, query, read
+from . import pipeline as P
+from .queries import _OUTCOMES, _TURNS, _list, _outcomes, _turns, query, read
 
 
 def _said(*parts: Column | str) -> Column:
@@ -226,3 +229,52 @@ def metrics_table(spark, sf_dir):
     found = _outcomes(spark, sf_dir).withColumn("category", F.lit("vital"))
     table = E.metrics_table(found.withColumn("attr", F.lit(None).cast("string")))
     return table.select(F.regexp_extract("text", r"(?m)^Vitals.*$", 0).alias("line"))
+
+
+@query("""SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN '🔴' ELSE '⚪' END) || ' CONFIDENCE: ' || (CASE WHEN c_acctbal < 0 THEN 'LOW' ELSE upper(c_mktsegment) END) AS badge, c_custkey % 2 = 0 AS urgent, 'About ' || c_name AS narrative, CAST(CASE WHEN c_custkey % 2 = 0 THEN 45 ELSE 40 END AS BIGINT) AS n_lines FROM customer""")
+def explanation_texts(spark, sf_dir):
+    """Explained differentials as text: badge, optional part, last line, number of lines."""
+    fields = dict.fromkeys(Y.DIAGNOSIS_FIELDS, F.lit("x")) | {"confidence_level": F.when(F.col("c_acctbal") < 0, "low").otherwise(F.col("c_mktsegment")), "full_narrative": _said("About ", F.col("c_name")), "alternative_diagnoses": F.lit("Not available.")}
+    fields["urgent_considerations"] = F.when(F.col("c_custkey") % 2 == 0, "now").otherwise("None identified.")
+    out = read(spark, sf_dir, "customer").withColumns(fields).withColumn("t", Z.diagnosis_text())
+    return out.select("c_custkey", F.regexp_extract("t", r"(?m)^.* CONFIDENCE: .*$", 0).alias("badge"), F.col("t").contains("URGENT CONSIDERATIONS:\n").alias("urgent"), F.regexp_extract("t", r"(?s)FULL SUMMARY:\n=+\n(.*)\n$", 1).alias("narrative"), F.size(F.split("t", "\n")).cast("long").alias("n_lines"))
+
+
+_ASKED = f"""{_TURNS}, s AS (SELECT encounter_id, utt_id, role, CASE role WHEN 'DOCTOR' THEN 'How are you? Since when?' WHEN 'PATIENT' THEN CASE WHEN (utt_id // 2) % 3 != 0 THEN 'okay' ELSE 'a' || text END ELSE text END AS text FROM t),
+b AS (SELECT *, sum(CASE WHEN role = 'PATIENT' AND text = 'okay' THEN 1 ELSE 0 END) OVER (PARTITION BY encounter_id ORDER BY utt_id) AS skips FROM s),
+p AS (SELECT q.encounter_id, q.utt_id, q.skips, min(a.utt_id) AS answer_utt FROM b q JOIN b a ON a.encounter_id = q.encounter_id AND a.utt_id > q.utt_id AND a.role = 'PATIENT' AND a.text != 'okay' WHERE q.role = 'DOCTOR' GROUP BY ALL)"""
+
+
+@query(f"WITH {_ASKED} SELECT p.encounter_id, p.utt_id AS question_utt, part, CASE part WHEN 0 THEN 'How are you?' ELSE 'Since when?' END AS question, answer_utt, b.text AS answer FROM p JOIN b ON b.encounter_id = p.encounter_id AND b.utt_id = answer_utt, (VALUES (0), (1)) v(part) WHERE b.skips - p.skips < 3")
+def qa_with_backchannels(spark, sf_dir):
+    """Turns of two questions each, with backchannels among the replies."""
+    said = F.when(F.col("role") == "DOCTOR", "How are you? Since when?").when(F.col("role") == "PATIENT", F.when(F.floor(F.col("utt_id") / 2) % 3 != 0, "okay").otherwise(_said("a", F.col("text")))).otherwise(F.col("text"))
+    return D.question_answers(_turns(spark, sf_dir).withColumn("text", said))
+
+
+@query("SELECT doc_id, 'A claim of doc ' || doc_id || ' it holds and at here.' AS text FROM documents")
+def citations_and_urls(spark, sf_dir):
+    """Superscripts, citations of both kinds and urls, taken out of a text."""
+    text = _said("A   claim¹ [1, 2-4] of (Smith et al., 2019; Lee 2020a) doc ", F.col("doc_id").cast("string"), " it^3,4 holds [7]\tand www.x.org/z at https://x.org/y?q=1 here.")
+    return read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(C.clean_text(text), r"\s+", " ").alias("text"))
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT p_name AS name FROM part WHERE p_size > 45 UNION ALL SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 45)) GROUP BY name")
+def enriched_names(spark, sf_dir):
+    """Found names, and those of a second source that they lack, once each and whatever their case."""
+    part = read(spark, sf_dir, "part")
+    out = X.enrich(part.filter("p_size > 45").select(F.col("p_name").alias("name")), part.select(F.upper("p_name").alias("name")), ["name"])
+    return out.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n"))
+
+
+_FACT_WORDS = ("der", "und", "les", "los", "that", "with")
+
+
+@query(f"""WITH {_TURNS}, u AS (SELECT encounter_id, unnest({_list(_FACT_WORDS)}) AS name, lower(regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g')) AS text FROM t WHERE role = 'PATIENT'),
+n AS (SELECT encounter_id, count(DISTINCT name) AS n FROM u WHERE regexp_matches(text, '\\b' || name || '\\b') GROUP BY encounter_id) SELECT encounter_id, n AS n_symptoms, n AS n_meds FROM n""")
+def encounter_facts(spark, sf_dir):
+    """The encounter pipeline as a whole: turns to merged symptoms and drugs, with words of this corpus as names."""
+    turns = _turns(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "~"))
+    aliases = spark.createDataFrame([], "name string, rxcui string, generic string")
+    out = P.facts(turns, aliases, [(rf"\b{w}\b", w) for w in _FACT_WORDS], _FACT_WORDS, ("zz",))
+    return out.select("encounter_id", F.size("symptoms").cast("long").alias("n_symptoms"), F.size("meds").cast("long").alias("n_meds")).filter("n_symptoms > 0 or n_meds > 0")
