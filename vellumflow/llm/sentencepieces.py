@@ -26,7 +26,7 @@ from .wordhash import as_list, kept_for, release_memory, slices
 class Cache:
     """What a worker has computed for words, in two generations: when the young one is full it becomes the old one, and what is used again moves over."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 80_000):
         self.young, self.old, self.most = {}, {}, most
 
     @classmethod
@@ -153,7 +153,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str = PIECES) -> DataFrame:
 
 
 def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: number of pieces, of byte pieces, a hash of the ids, and whether decoding them gives back the text."""
+    """Per document: number of pieces, of byte pieces, a hash of the ids, and whether decoding them gives back the text. The file is that of a merge model, so its log scores are not learned: they follow the ranks of the pieces by Zipf's law."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lowest, highest = int(vocabulary().byte_ids.min()), int(vocabulary().byte_ids.max())
     out = encode(docs, also_decoded=True)

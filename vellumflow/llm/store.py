@@ -26,7 +26,7 @@ def with_small_batches(df: DataFrame) -> DataFrame:
     """df, after bounding the Arrow batches of its session (for good, as plans read the settings when they run): texts may be long, and each worker and its JVM hold some batches outside the heap."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     return df
 
 
