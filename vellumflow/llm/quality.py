@@ -127,7 +127,8 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
     buckets = sampled.select("grade", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.avg("grade").alias("g")).filter(F.col("n") >= least)
     telling = buckets.filter(F.abs(F.col("g") - of["mean"]) * F.sqrt("n") >= strong * max(of["spread"], 1e-9))
     known = np.sort(np.array([r["b"] for r in telling.select("b").collect()], np.int64))
-    got = sampled.mapInArrow(_only(known), sampled.schema).orderBy("grade", F.xxhash64("buckets", "dense")).toArrow()
+    # Of the sample's size; in one order, so that every fit of it sums alike.
+    got = sampled.mapInArrow(_only(known), sampled.schema).withColumn("h", F.xxhash64("buckets", "dense")).toArrow().sort_by([("grade", "ascending"), ("h", "ascending")])
     y = got.column("grade").to_numpy().astype(np.int64)
     lists = got.column("buckets").combine_chunks()
     column, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
