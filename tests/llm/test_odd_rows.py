@@ -102,3 +102,10 @@ def test_quality(spark, docs, nothing):
     assert got[2] == got[3] == got[5] == 0.0 and got[1] > got[4]
     assert quality.train(docs, ratings.limit(0)) is None and quality.score(nothing, model).count() == 0
     assert {r["expected_grade"] for r in quality.score(docs, None).collect()} == {None}
+
+
+def test_text_ids(spark):
+    text = "one two three four five six " * 5
+    df = spark.createDataFrame([("7", text), ("x", text), ("9", text)], "doc_id string, text string")
+    assert sorted((r["doc_id"] or 0, r["n_removed"] > 0) for r in substring_dedup.substring_dedup(df, length=8).collect()) == [(0, False), (7, True), (9, True)]
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in minhash_dedup.minhash_groups(df).collect()) == [(0, 0), (7, 7), (9, 7)]

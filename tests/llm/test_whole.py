@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_entry import DIR, needs_data
 from test_methods import corpus, edited
 
-from vellumflow.llm import decontaminate, html_text, language_id, license_scan, quality, url_filter
+from vellumflow.llm import decontaminate, html_text, language_id, license_scan, quality, sentencepieces, url_filter
 from vellumflow.plans.registry import QUERIES
 
 
@@ -213,3 +213,61 @@ def test_quality_of_whole_texts_and_clashing_columns(spark):
         row, bucket, dense = quality.features(pa.array([text]))
         s = sum(weights[list(known).index(b)] for b in bucket if b in known) + float((((dense[0] - mean) / spread).clip(-6, 6) * own).sum())
         assert got[i]["tails"] == pytest.approx([1 / (1 + math.exp(c - s)) for c in cuts]) and got[i]["expected_grade"] == pytest.approx(sum(got[i]["tails"]))
+
+
+def segmentations(surface, score, word: bytes, unknown: float):
+    """Best path by a plain Viterbi over all pieces that fit, and the forward sums by language; bytes of unknown characters are one step."""
+    pieces = {s: i for i, s in enumerate(surface) if s and score[i] > -math.inf}
+    best: list = [(0.0, [])] + [None] * len(word)
+    opens = [i for i in range(len(word) + 1) if i == len(word) or word[i] & 0xC0 != 0x80]
+    for a, end in zip(opens, opens[1:]):
+        if best[a] is None:
+            continue
+        steps = [(z, pieces[word[a:z]]) for z in opens if a < z <= a + 64 and word[a:z] in pieces]
+        if word[a:end] not in pieces:
+            steps.append((end, None))
+        for z, piece in steps:
+            value = best[a][0] + (unknown if piece is None else score[piece])
+            # Of equal paths the one with the longer last piece.
+            if best[z] is None or value > best[z][0] + 1e-9:
+                best[z] = (value, [*best[a][1], *([("byte", b) for b in word[a:end]] if piece is None else [piece])])
+    return best[-1]
+
+
+def test_codes_and_languages_against_plain_sums(spark):
+    v = sentencepieces.vocabulary()
+    rng = random.Random(21)
+    words = ["the", "Étude", "größer", "x\u4e00y", "\U0001f600", "a▁b", "tokenization", "  two", "line\nfeed", "unbelievably", "12,345.67"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(60)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    byte = {int(i): b for b, i in enumerate(v.byte_ids)}
+    unknown = min(s for s in v.score if s > -math.inf) - 10
+    for r in sentencepieces.encode(df).collect():
+        value, want = segmentations(v.surface, v.score, (" " + r["text"]).encode(), unknown)
+        got = [("byte", byte[i]) if i in byte else i for i in r["ids"]]
+        # Equal values, since several paths may be best.
+        cost = lambda ids: sum(v.score[i] for i in ids if not isinstance(i, tuple))
+        assert [x for x in got if isinstance(x, tuple)] == [x for x in want if isinstance(x, tuple)] and abs(cost(got) - cost(want)) < 1e-6, r["text"]
+
+    rows = [(i, " ".join(rng.choice(ws) for _ in range(20)), lang) for i in range(30) for lang, ws in (("aa", ["the", "token", "able"]), ("bb", ["größer", "étude", "den"]))]
+    langs, p = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pieces = {s: i for i, s in enumerate(v.surface) if s and v.score[i] > -math.inf}
+
+    def forward(word: bytes, k: int) -> float:
+        total = [1.0] + [0.0] * len(word)
+        opens = [i for i in range(len(word) + 1) if i == len(word) or word[i] & 0xC0 != 0x80]
+        for a, end in zip(opens, opens[1:]):
+            for z in opens:
+                if a < z <= a + 64 and word[a:z] in pieces:
+                    total[z] += total[a] * p[pieces[word[a:z]], k]
+            if word[a:end] not in pieces:
+                total[end] += total[a] * p[-1, k]
+        return math.log(total[-1])
+
+    for r in language_id.predict(df, (langs, p)).collect():
+        sums = [sum(forward(b" " + w.encode(), k) for w in language_id.words_of(r["text"])) for k in range(len(langs))]
+        top = max(sums)
+        if not language_id.words_of(r["text"]):
+            assert (r["lang_pred"], r["lang_score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == langs[sums.index(top)] and r["lang_score"] == pytest.approx(1 / sum(math.exp(s - top) for s in sums))

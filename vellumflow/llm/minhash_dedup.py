@@ -14,7 +14,7 @@ With k = 48 and c = 25, a pair of similarity 0.8 is missed with probability 3.3e
 sets don't confirm.
 
 Results: null text, and text without words, has no shingles and is linked with nothing; a row without doc_id is linked with nothing and
-kept; rows that repeat a doc_id are judged by their own texts. Shingles are compared by 52-bit hashes, whole sets by 128 bits more.
+kept, and an id that is no integer counts as none; rows that repeat a doc_id are judged by their own texts. Shingles are compared by 52-bit hashes, whole sets by 128 bits more.
 """
 
 from __future__ import annotations
@@ -263,7 +263,7 @@ def _against_all(members: DataFrame, near: DataFrame, least: int, most: int) ->
 
 def minhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, k: int = 48, c: int = 25, block_rows: int = 128, most_rows: int = 4096, broadcast_rows: int = 250_000) -> DataFrame:
     """One row per row of docs: doc_id, row_hash (of the text), n_shingles, class_id (smallest doc_id with this shingle set), component_id (smallest doc_id of the group) and group_id (the group itself, as groups of rows that repeat an id may have one smallest; null for what is linked with nothing)."""
-    rows = with_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = with_small_batches(docs).select(F.col(doc_id).try_cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = write_table(rows.withColumn("row_hash", F.xxhash64("text")).mapInArrow(_signatures(size, k), "doc_id long, row_hash long, n long, s1 long, s2 long, sig binary"), "signed")
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")

@@ -16,7 +16,7 @@ every word, and whole texts move compressed.
 Blocks are known by 128 bits of hash of all their words: among 1e13 blocks any two different ones agree with probability below 1e-12.
 
 Results: null text has no words; a text of fewer than `length` (2 or more) words, and a row without doc_id, loses nothing and is no
-reference; of several rows with one doc_id none is earlier than another at the same place, and exact repeats lose the same.
+reference; an id that is no integer counts as none; of several rows with one doc_id none is earlier than another at the same place, and exact repeats lose the same.
 """
 
 from __future__ import annotations
@@ -208,7 +208,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Tells apart the texts that share an id; without these a constant, which costs nothing to shuffle.
     row = F.lit(0).cast("long") if unique else F.xxhash64(text)
     others = [F.col(c).alias(f"_also{n}") for n, c in enumerate(also)]
-    rows = with_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("_row"), F.col(text).cast("string").alias("text"), *others)
+    rows = with_small_batches(docs).select(F.col(doc_id).try_cast("long").alias("doc_id"), row.alias("_row"), F.col(text).cast("string").alias("text"), *others)
     kinds = "".join(f", _also{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(also))
     place, key = "doc_id long, _row long, pos int", ["doc_id", "_row"]
     anchors = rows.select(*key, "text").filter("doc_id is not null").mapInArrow(_anchors(length, k), f"gram long, {place}")

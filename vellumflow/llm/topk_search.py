@@ -28,8 +28,8 @@ from .wordhash import release_memory
 
 def integers(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", factor: int = 256) -> DataFrame:
     """(vec_id, ints, norm2) of the vectors that take part; each component becomes floor(factor * x)."""
-    ok = F.col(vec_id).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    out = df.filter(ok).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(factor * x.cast("double")).cast("long")).alias("ints"))
+    ok = F.col(vec_id).try_cast("long").isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    out = df.filter(ok).select(F.col(vec_id).try_cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(factor * x.cast("double")).cast("long")).alias("ints"))
     return out.withColumn("norm2", F.aggregate("ints", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
 
 
