@@ -1,6 +1,5 @@
 """Training-data operators against brute force, round trips and held-out rows."""
 
-import os
 import random
 import re
 
@@ -324,5 +323,16 @@ def readings(pattern: str) -> list[str]:
     return of(parser.parse(pattern))
 
 
-def test_vocabulary_files_are_parameters():
-    assert os.path.exists(sentencepieces.PIECES) and language_id.predict.__defaults__[-1] == sentencepieces.PIECES
+def test_vocabulary_files_are_parameters(spark, tmp_path):
+    """Another path gives the same codes and languages if it holds the same pieces, and is read for them."""
+    path = str(tmp_path / "pieces.model")
+    with open(path, "wb") as f, open(sentencepieces.PIECES, "rb") as g:
+        f.write(g.read())
+    df = spark.createDataFrame([(1, "some words of a text", "en"), (2, "quelques mots d'un texte", "fr")], "doc_id long, text string, lang string")
+    codes = lambda **more: [r["ids"] for r in sentencepieces.encode(df, **more).orderBy("doc_id").collect()]
+    assert codes(path=path) == codes()
+    assert [r["decoded"] for r in sentencepieces.decode(sentencepieces.encode(df, path=path), path=path).orderBy("doc_id").collect()] == [r["text"] for r in df.orderBy("doc_id").collect()]
+    model = language_id.train(df, path=path)
+    assert [r["lang_pred"] for r in language_id.predict(df, model, path=path).orderBy("doc_id").collect()] == ["en", "fr"]
+    with pytest.raises(Exception, match="missing"):
+        codes(path=str(tmp_path / "missing"))
