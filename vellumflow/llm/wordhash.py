@@ -100,7 +100,7 @@ class Words:
     def hashes(self, seed: int = 0) -> np.ndarray:
         """Hashes of the words; those of two seeds make 128 bits."""
         length = self.end - self.start
-        out = mix(length.astype(np.uint64) + _STEP * np.uint64(2 * seed + 1))
+        out = mix(length.astype(np.uint64) + np.uint64(int(_STEP) * (2 * seed + 1) % 2**64))
         wide = np.lib.stride_tricks.as_strided(self.data[:8].view(np.uint64), shape=(max(1, len(self.data) - 7),), strides=(1,)) if len(self.data) >= 8 else None
         left, at, todo = length, self.start, None
         while True:
