@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions.sizes import broadcast_if_small, size_of
 from vellumflow.operators import entities as N
+from vellumflow.operators import extract as X
 from vellumflow.operators import providers as Q
 from vellumflow.operators import replies as Y
 from vellumflow.operators import stages as S
 from vellumflow.operators import vectors as V
+from vellumflow.plans import pipeline as P
 from vellumflow.sources import tables as T
 
 
@@ -111,3 +113,32 @@ def test_broadcast_by_size(spark):
     assert 50_000 < size_of(df) < 60_000
     plans = [df.alias("a").join(broadcast_if_small(df, most).alias("b"), "s")._jdf.queryExecution().optimizedPlan().toString() for most in (1 << 20, 100)]
     assert "broadcast" in plans[0] and "broadcast" not in plans[1]
+
+
+def test_salvaged_notes(spark):
+    long = "S: " + "cough " * 9
+    cases = [
+        (f" {long}<|end|>", "prompt", long.strip()),
+        ("", f"p <|assistant|> {long}<|endoftext|>", long.strip()),
+        ("", "p SOAP Summary: brief", "brief"),
+        ("", "the prompt asks for S: and more words, answer is subjective x", "subjective x"),
+        ("ok", "no section here", "ok"),
+        (None, "nothing at all", "nothing at all"),
+        (None, "", ""),
+    ]
+    df = spark.createDataFrame([(i, r, w) for i, (r, w, _) in enumerate(cases)], "id int, reply string, whole string")
+    got = df.select("id", S.salvaged_note(F.col("reply"), F.col("whole")).alias("note")).orderBy("id").collect()
+    assert [r["note"] for r in got] == [want for _, _, want in cases]
+
+
+def test_evidence_map(spark):
+    kind = "encounter_id string, meds array<struct<name_norm:string,name_surface:string,utt_ids:array<int>>>, answers array<struct<concept:string,utt_ids:array<int>>>"
+    rows = [("a", [(None, "Aspirin", [3]), ("x", "y", [])], [("smoker", [1]), ("drinker", [2]), ("smoker", [5, 6])]), ("b", None, None)]
+    got = {r["encounter_id"]: r["evidence"] for r in P.evidence_map(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"a": {"med:Aspirin": [3], "qa:drinker": [2], "qa:smoker": [5, 6]}, "b": {}}
+
+
+def test_clinical_questions(spark):
+    said = {"Do you have any allergies?": True, "What is your name?": False, "Any pain, and is there anything else?": False, "Does it itch?": True, "Nice weather.": False, "": False}
+    df = spark.createDataFrame([(q,) for q in said], "q string").select("q", X.clinical_question(F.col("q")).alias("c"))
+    assert {r["q"]: r["c"] for r in df.collect()} == said

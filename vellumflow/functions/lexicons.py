@@ -16,6 +16,20 @@ DOCTOR_PHRASES = ("we'll", "let's", "i recommend")
 QUESTION_CUES = ("do you", "are you", "have you", "when", "where", "how", "why", "did you", "does it", "is there", "can you", "would you", "any ")
 BACKCHANNELS = ("uh", "uh-huh", "mm", "mm-hmm", "okay", "ok", "alright", "right", "got it", "yep", "yeah", "yup", "hmm", "huh", "mmm", "sure", "yes", "no")
 
+# Questions to leave out, questions that matter, and parts of the body and signs that make a question matter.
+SKIPPED_QUESTIONS = (
+    r"(?:how|what)\s+(?:is|are)\s+(?:your\s+)?(?:name|age|address|phone|insurance)", r"(?:can|could)\s+(?:you|I)\s+(?:see|have|get)\s+(?:your|an|a)\s+(?:id|card|insurance)", r"(?:date\s+of\s+birth|birthday|dob)",
+    r"(?:emergency\s+contact|next\s+of\s+kin)", r"(?:pharmacy|pharmacist)", r"(?:appointment|schedule|follow.?up)", r"(?:questions?\s+for\s+me|anything\s+else)",
+)
+CLINICAL_QUESTIONS = (
+    r"(?:do|does|are|is|have|has)\s+(?:you|it|the)\s+(?:have|had|having|feel|felt|feeling|experience|experienced)", r"(?:how|what)\s+(?:long|often|much|many|severe)", r"(?:when|where)\s+(?:did|does|do)\s+(?:it|you|the|this)",
+    r"(?:any|some)\s+(?:pain|symptoms?|problems?|issues?|trouble|difficulty)", r"(?:does|do)\s+(?:anything|it)\s+(?:make|help|worsen|improve)", r"(?:what|which)\s+(?:makes?|triggers?|causes?|helps?)",
+    r"(?:have|has)\s+(?:you|anyone)\s+(?:ever|been|had)", r"(?:any|family)\s+(?:history|medical)", r"(?:previous|past|prior)\s+(?:surgery|surgeries|procedures?|hospitalizations?)", r"(?:diagnosed|told)\s+(?:you\s+)?(?:have|had|with)",
+    r"(?:what|which)\s+(?:medications?|medicines?|drugs?|pills?)", r"(?:are|were)\s+(?:you|they)\s+(?:taking|on|prescribed)", r"(?:any|some)\s+(?:medications?|allergies)", r"(?:do|did)\s+(?:you|it)\s+(?:take|try|use)",
+    r"(?:do|did)\s+you\s+(?:smoke|drink|exercise|use)", r"(?:how\s+)?(?:much|many|often)\s+(?:do|did)\s+you", r"(?:can|could|able)\s+(?:you|to)\s+(?:walk|sleep|eat|work|function)", r"(?:affect|impact|interfere)\s+(?:your|with|daily)",
+)
+QUESTION_PARTS = ("chest", "head", "stomach", "back", "leg", "arm", "heart", "lung", "kidney", "liver", "pain", "ache", "swell", "numb", "tingle", "bleed", "burn", "itch")
+
 # Greetings and chief complaints.
 GREETINGS = (
     r"^(?:hi|hello|hey|good (?:morning|afternoon|evening))[\s,\.!]*", r"^(?:nice|good|great) to (?:see|meet) you", r"^how(?:'re| are) you", r"^i(?:'m| am) (?:doing )?(?:good|well|fine|okay|ok)",

@@ -109,7 +109,7 @@ def chief_complaint(turns: DataFrame, cues: Sequence[str] = L.COMPLAINT_CUES, si
     return best.select(key, F.col("c.tier").alias("tier"), F.substring("c.text", 1, 160).alias("chief_complaint"))
 
 
-def clinical_question(c: Column, skip: Sequence[str], accept: Sequence[str], parts: Sequence[str]) -> Column:
+def clinical_question(c: Column, skip: Sequence[str] = L.SKIPPED_QUESTIONS, accept: Sequence[str] = L.CLINICAL_QUESTIONS, parts: Sequence[str] = L.QUESTION_PARTS) -> Column:
     """A question that matters: not on the skip list, and on the accept list or about a body part."""
     return ~c.rlike(T.any_of(skip)) & (c.rlike(T.any_of(accept)) | c.rlike(T.any_of([r"\b(?:" + "|".join(parts) + r")\b"])))
 

@@ -108,14 +108,24 @@ def near_aliases(df: DataFrame, aliases: DataFrame, name: str = "name", cutoff:
 
 @F.pandas_udf(DoubleType())
 def indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 * 2 * LCS / (summed length)."""
+    """100 * 2 * LCS / (summed length). The LCS is counted over whole rows at once, as bits of one number: a zero bit is a character of x that a common subsequence has used."""
+    places: dict[str, dict[str, int]] = {}
+
+    def places_of(x: str) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for i, c in enumerate(x):
+            out[c] = out.get(c, 0) | 1 << i
+        return out
+
     def one(x: str, y: str) -> float:
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for j, d in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-        return 200.0 * row[-1] / max(1, len(x) + len(y))
+        if x not in places:
+            places[x] = places_of(x)
+        at, full = places[x], (1 << len(x)) - 1
+        free = full
+        for c in y:
+            hit = free & at.get(c, 0)
+            free = (free + hit | free - hit) & full
+        return 200.0 * (len(x) - free.bit_count()) / max(1, len(x) + len(y))
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

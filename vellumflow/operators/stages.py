@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import jsonout as J
 from . import providers as P
 from . import replies as Y
@@ -62,6 +64,29 @@ def note_prompt(note: Column) -> Column:
     return F.concat(F.lit("CLINICAL NOTE:\n\n"), note, F.lit("\n\nExtract all clinical information from this note as JSON:"))
 
 
+# What ends a generated note, and what stands before one; an ending of 50 characters or more is a note, after a marker 20 do.
+NOTE_ENDS = ("<|end|>", "<|assistant|>", "<|endoftext|>")
+NOTE_STARTS = ("<|assistant|>", "### Your SOAP Summary:", "SOAP Summary:")
+NOTE_SECTIONS = ("S:", "SUBJECTIVE")
+
+
+def salvaged_note(reply: Column, whole: Column) -> Column:
+    """A SOAP note from what a model generated, or else from the whole of prompt and answer: after a marker, or from a first section in its second half; if there is none either, what is left."""
+    def bare(c: Column, ends: tuple[str, ...]) -> Column:
+        return T.strip(functools.reduce(lambda s, end: F.replace(s, F.lit(end), F.lit("")), ends, T.strip(c)))
+
+    def following(start: str) -> Column:
+        at = F.instr(whole, start)
+        return F.when(at > 0, bare(F.substr(whole, at + len(start)), tuple(e for e in NOTE_ENDS if e not in NOTE_STARTS)))
+
+    first = bare(F.coalesce(reply, F.lit("")), NOTE_ENDS)
+    after = [following(start) for start in NOTE_STARTS]
+    half = F.substr(whole, (F.length(whole) / 2).cast("int") + 1)
+    sections = [F.when(F.instr(F.upper(half), s) > 0, T.strip(F.substr(half, F.instr(F.upper(half), s)))) for s in NOTE_SECTIONS]
+    left = T.blank_to_null(F.coalesce(*reversed(after), first))
+    return F.when(F.length(first) >= 50, first).otherwise(F.coalesce(*[F.when(F.length(a) >= 20, a) for a in after], *sections, left, whole))
+
+
 def is_json(reply: str) -> bool:
     """Whether a reply holds an object (or null) that can be read."""
     try:

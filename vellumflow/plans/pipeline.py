@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions import text as T
 from ..operators import extract as X
 from ..operators import merge as M
 
@@ -44,10 +45,20 @@ def prefer(first: DataFrame, second: DataFrame, good: Column, key: str = "encoun
     return best.unionByName(second.join(best.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def evidence_map(merged: DataFrame, prefix: str, name: str, key: str = "encounter_id") -> DataFrame:
-    """(key, evidence): a map from `prefix:name` to the places of its evidence."""
-    rows = merged.filter(F.size("utt_ids") > 0).groupBy(key, F.concat(F.lit(prefix + ":"), F.lower(name)).alias("_k")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("utt_ids")))).alias("_u"))
-    return rows.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_u")))).alias("evidence"))
+#: Arrays of facts, with the kind and the columns that make up an entry's name; the first of a pair that is filled is used.
+EVIDENCE = (("symptoms", "symptom", (("name_norm", "name_surface"),)), ("meds", "med", (("name_norm", "name_surface"),)), ("allergies", "allergy", (("substance_norm", "substance_surface"),)), ("vitals", "vital", (("kind",), ("value",))), ("answers", "qa", (("concept",),)))
+
+
+def evidence_map(facts: DataFrame, families: Sequence[tuple[str, str, Sequence[Sequence[str]]]] = EVIDENCE, key: str = "encounter_id") -> DataFrame:
+    """(key, evidence): a map from `kind:name` to the places of its evidence, of the arrays that a row of facts has. Entries without places are left out; of entries with one name the last holds."""
+    def entries(column: str, kind: str, names: Sequence[Sequence[str]]) -> Column:
+        name = lambda x: F.concat_ws(":", F.lit(kind), *[F.coalesce(*[T.blank_to_null(x[f]) for f in pair], F.lit("")) for pair in names])
+        found = F.transform(F.filter(column, lambda x: F.size(x["utt_ids"]) > 0), lambda x: F.struct(name(x).alias("k"), x["utt_ids"].alias("v")))
+        return F.coalesce(found, F.array().cast("array<struct<k:string,v:array<int>>>"))
+
+    rows = facts.select(key, F.concat(*[entries(*family) for family in families if family[0] in facts.columns]).alias("_e"))
+    last = F.filter("_e", lambda x, i: ~F.exists(F.slice("_e", i + 2, F.size("_e")), lambda y: y["k"] == x["k"]))
+    return rows.select(key, F.map_from_entries(last).alias("evidence"))
 
 
 def document_lines(docs: DataFrame, page_size: int = 20) -> DataFrame:

@@ -278,3 +278,31 @@ def encounter_facts(spark, sf_dir):
     aliases = spark.createDataFrame([], "name string, rxcui string, generic string")
     out = P.facts(turns, aliases, [(rf"\b{w}\b", w) for w in _FACT_WORDS], _FACT_WORDS, ("zz",))
     return out.select("encounter_id", F.size("symptoms").cast("long").alias("n_symptoms"), F.size("meds").cast("long").alias("n_meds")).filter("n_symptoms > 0 or n_meds > 0")
+
+
+@query(f"""WITH {_TURNS}, u AS (SELECT encounter_id, utt_id, unnest({_list(_FACT_WORDS)}) AS name, lower(regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g')) AS text FROM t WHERE role = 'PATIENT'),
+n AS (SELECT encounter_id, name, list_sort(list(DISTINCT utt_id)) AS utt_ids FROM u WHERE regexp_matches(text, '\\b' || name || '\\b') GROUP BY ALL) SELECT encounter_id, kind || name AS name, array_to_string(utt_ids, ',') AS utt_ids FROM n, (VALUES ('symptom:'), ('med:')) v(kind)""")
+def evidence_places(spark, sf_dir):
+    """The encounter pipeline's facts as a map from names to turns, a row for each name."""
+    turns = _turns(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "~"))
+    aliases = spark.createDataFrame([], "name string, rxcui string, generic string")
+    found = P.evidence_map(P.facts(turns, aliases, [(rf"\b{w}\b", w) for w in _FACT_WORDS], _FACT_WORDS, ("zz",)))
+    return found.select("encounter_id", F.explode("evidence").alias("name", "utt_ids")).select("encounter_id", "name", F.array_join("utt_ids", ",").alias("utt_ids"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'S: ' || doc_id || ' is the number of a note that is long enough to be one.' WHEN 1 THEN 'S: note ' || doc_id || ' after its marker.' WHEN 2 THEN 'S: ' || doc_id || ' O: -' ELSE 'short' END AS note FROM documents""")
+def salvaged_notes(spark, sf_dir):
+    """SOAP notes of generated texts: as they are, after a marker, from a section in the second half, and what is left."""
+    n = F.col("doc_id").cast("string")
+    kind = lambda *cases: F.when(F.col("doc_id") % 4 == 0, cases[0]).when(F.col("doc_id") % 4 == 1, cases[1]).when(F.col("doc_id") % 4 == 2, cases[2]).otherwise(cases[3])
+    reply = kind(_said(" S: ", n, " is the number of a note that is long enough to be one.<|end|>"), F.lit("<|end|>"), F.lit(" "), F.lit("short"))
+    whole = kind(F.lit("-"), _said("A talk. S: no SOAP Summary: S: note ", n, " after its marker.<|endoftext|> "), _said("A talk of some length, longer than what comes after it: S: ", n, " O: -"), F.lit("a talk"))
+    return read(spark, sf_dir, "documents").select("doc_id", S.salvaged_note(reply, whole).alias("note"))
+
+
+@query("""SELECT p_partkey, p_size % 5 != 0 AND (p_size % 5 = 1 OR p_size % 5 = 2) AS matters FROM part""")
+def clinical_questions(spark, sf_dir):
+    """Which questions matter: one to skip, two that do, two of no kind."""
+    asked = ("What is your name, and how long did you have the pain of ", "How long is the ", "Is it your BACK with the ", "Backwards is how the word is read of ", "Tell me about ")
+    said = F.element_at(F.array(*map(F.lit, asked)), F.col("p_size") % 5 + 1)
+    return read(spark, sf_dir, "part").select("p_partkey", X.clinical_question(_said(said, F.col("p_brand"))).alias("matters"))
