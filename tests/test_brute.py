@@ -1,10 +1,13 @@
 """Queries that SQL does not express, against plain versions on the smallest tables."""
 
+import random
 import re
 from html.parser import HTMLParser
 
+import pytest
 from test_entry import DIR, needs_data
 
+from vellumflow.operators import vectors
 from vellumflow.plans.registry import QUERIES
 
 
@@ -104,3 +107,20 @@ def test_chunk_fold(spark):
         many += len(chunks) > 2
         assert [c.strip() for c in got.get(r["doc_id"], [])] == [c.strip() for c in chunks], r["doc_id"]
     assert many > 5
+
+
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_top_k_of_blocks(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(vectors, "MOST_BROADCAST", broadcast)
+    plain, blocks = random.Random(3), vectors._in_blocks
+    monkeypatch.setattr(vectors, "_in_blocks", lambda rows, numbers: blocks(7, 20))
+    rows = [(f"{i:03}", [plain.randint(-2, 2) / 4 for _ in range(3)]) for i in range(150)]
+    odd = [("n", None), ("m", [None, 1.0, 1.0]), ("x", [float("nan"), 1.0, 1.0]), ("y", [float("inf"), 1.0, 1.0]), ("z", [9.0, 9.0])]
+    chunks = spark.createDataFrame(rows + odd, "idx string, embedding array<float>")
+    queries = chunks.filter("idx like '%3' or idx in ('n', 'z')").withColumnRenamed("idx", "query_id")
+    want = set()
+    for name, q in [*[r for r in rows if r[0][-1] == "3"], odd[-1]]:
+        hits = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in [*rows, odd[-1]] if len(v) == len(q))
+        want |= {(name, n, i, -s + 0.0) for n, (s, i) in enumerate(hits[:4], 1)}
+    assert {tuple(r) for r in vectors.top_k(queries, chunks, 4).collect()} == want and len(want) > 50
+    assert vectors.top_k(queries.limit(0), chunks).count() == 0 and vectors.top_k(queries, chunks.limit(0)).count() == 0

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.sizes import broadcast_if_small
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -24,19 +25,71 @@ def hashed_embedding(c: Column, dim: int = 64) -> Column:
     return F.transform(counts, lambda x: x / F.greatest(length, F.lit(1e-12)))
 
 
+#: Bytes of queries that are broadcast; beyond it their blocks are shuffled.
+MOST_BROADCAST = 64 << 20
+
+
+def _in_blocks(rows: int, numbers: int):
+    """Rows: id, vector, others. Packs vectors of one length into blocks of at most so many rows and numbers, in order of id."""
+
+    def run(batches):
+        for b in batches:
+            b = b.sort_by(b.schema.names[0])
+            lengths = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths):
+                some, step = b.filter(pa.array(lengths == d)), max(1, min(rows, numbers // max(1, d)))
+                for i in range(0, some.num_rows, step):
+                    part = some.slice(i, step)
+                    values = [part.column(0), part.column(1).flatten(), *part.columns[2:]]
+                    yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values], b.schema.names)
+
+    return run
+
+
+def _best_of_pairs(k: int, digits: int):
+    """Rows: query ids, their vectors, ids, their vectors, others. The k best hits of each query in each pair of blocks."""
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                queries, q, ids, m, keep = (b.column(c)[r].values for c in range(5))
+                if len(q) * len(ids) != len(m) * len(queries):
+                    continue
+                q, m = (x.to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if len(x) else np.zeros((n, 0)) for x, n in ((q, len(queries)), (m, len(ids))))
+                score = np.round(q @ m.T, digits) + 0.0
+                top = min(k, len(ids))
+                floor = -np.partition(-score, top - 1, axis=1)[:, top - 1]
+                row, at = np.nonzero(score >= floor[:, None])
+                order = np.lexsort((at, -score[row, at], row))
+                row, at = row[order], at[order]
+                use = np.arange(len(row)) - np.searchsorted(row, row) < top
+                row, at = row[use], at[use]
+                yield pa.record_batch([queries.take(pa.array(row)), ids.take(pa.array(at)), pa.array(score[row, at]), keep.take(pa.array(at))], ["query_id", "idx", "score", "_keep"])
+
+    return run
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, fetch: int | None = None, keep: Column | None = None, digits: int = 6) -> DataFrame:
     """(query_id, rank, idx, score): the k best inner products of each query (query_id, embedding), ties to the smaller idx.
 
     keep filters after `fetch` candidates were ranked, so fewer than k may be left; without fetch it filters before. Queries are a given
-    set, held against all chunks in a nested loop; Spark limits the window to k rows of each partition before it shuffles.
+    set, held against all chunks as blocks of vectors, of which each pair gives k hits a query. A vector that is null or holds a null or
+    non-finite number, and one of another length than the query's, is no hit.
     """
     rows = chunks if keep is None or fetch else chunks.filter(keep)
-    small = broadcast_if_small(queries.select("query_id", F.col("embedding").alias("_q")), 64 << 20)
-    scored = rows.join(small).withColumn("score", F.round(dot("_q", "embedding"), digits)).drop("_q", "embedding")
+    whole = F.forall("embedding", lambda x: F.abs(x) < float("inf"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    asked = queries.filter(whole).select("query_id", F.col("embedding").alias("_q"))
+    numbers = asked.agg(F.sum(F.size("_q"))).first()[0] or 0
+    asked = asked.mapInArrow(_in_blocks(512, 1 << 18), f"query_id array<{kind(asked, 'query_id')}>, _q {kind(asked, '_q')}")
+    held = rows.filter(whole).select("idx", "embedding", F.coalesce(keep if fetch and keep is not None else F.lit(True), F.lit(False)).alias("_keep"))
+    held = held.mapInArrow(_in_blocks(2048, 1 << 20), f"idx array<{kind(held, 'idx')}>, embedding {kind(held, 'embedding')}, _keep array<boolean>")
+    pairs = held.crossJoin(F.broadcast(asked) if numbers * 8 <= MOST_BROADCAST else asked).select("query_id", "_q", "idx", "embedding", "_keep")
+    scored = pairs.mapInArrow(_best_of_pairs(fetch or k, digits), f"query_id {kind(queries, 'query_id')}, idx {kind(chunks, 'idx')}, score double, _keep boolean")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "idx")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (fetch or k))
     if fetch and keep is not None:
-        ranked = ranked.filter(keep).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked = ranked.filter("_keep").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "idx", "score")
 
 
@@ -79,8 +132,6 @@ def nli_verdicts(links: DataFrame, make_model: Callable[[], Callable[[str, str],
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema)
 
     def run(batches):
-        import pyarrow as pa
-
         model = make_model()
         for b in batches:
             said = []
