@@ -142,3 +142,16 @@ def test_clinical_questions(spark):
     said = {"Do you have any allergies?": True, "What is your name?": False, "Any pain, and is there anything else?": False, "Does it itch?": True, "Nice weather.": False, "": False}
     df = spark.createDataFrame([(q,) for q in said], "q string").select("q", X.clinical_question(F.col("q")).alias("c"))
     assert {r["q"]: r["c"] for r in df.collect()} == said
+
+
+def test_facts_of_patterns_and_entities(spark):
+    said = ["I have had a severe cough for 3 days.", "I take aspirin 81 mg daily and ibuprofen."]
+    turns = spark.createDataFrame([("e", 30_000 + i, "PATIENT", t) for i, t in enumerate(said)], "encounter_id string, utt_id int, role string, text string")
+    aliases = spark.createDataFrame([("aspirin", "1191", "aspirin")], "name string, rxcui string, generic string")
+    found = N.by_dictionary(turns, {"DISEASE": ["cough", "days"], "CHEMICAL": ["aspirin"]})
+    # Both entries of cough have the same points (a name; a duration and a severity), so the entity holds.
+    facts = P.facts(turns, aliases, [(r"\bcough\b", "cough")], ("aspirin", "ibuprofen"), ("zz",), entities=found)
+    r = facts.first()
+    assert [(s["name_surface"], s["name_norm"], s["duration"], s["utt_ids"]) for s in r["symptoms"]] == [("cough", None, "3 days", [30_000]), ("days", None, "3 days", [30_000])]
+    assert {(m["name_surface"], m["name_norm"], m["rxcui"], m["dose"]) for m in r["meds"]} == {("aspirin", "aspirin", "1191", "81 mg"), ("ibuprofen", "ibuprofen", None, None)}
+    assert P.evidence_map(facts).first()["evidence"]["med:aspirin"] == [30_001]

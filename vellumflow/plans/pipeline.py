@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import entities as N
 from ..operators import extract as X
 from ..operators import merge as M
 
 
-def facts(turns: DataFrame, aliases: DataFrame, patterns: Sequence[tuple[str, str]] = L.SYMPTOMS, terms: Sequence[str] = L.DRUGS, risks: Sequence[str] = L.RISK_FACTORS, key: str = "encounter_id") -> DataFrame:
-    """One row per encounter that has a fact: chief_complaint, and arrays of symptoms, meds, allergies, vitals and risk factors, merged."""
+def _placed(found: DataFrame, before: bool = False) -> DataFrame:
+    """found with ord, its place by turn and start, instead of start and end; with before, ahead of all that is without."""
+    place = F.col("utt_id").cast("long") * F.lit(1 << 30) + F.col("start")
+    return found.withColumn("ord", place - F.lit((1 << 61) + 1) if before else place).drop("start", "end")
+
+
+def facts(turns: DataFrame, aliases: DataFrame, patterns: Sequence[tuple[str, str]] = L.SYMPTOMS, terms: Sequence[str] = L.DRUGS, risks: Sequence[str] = L.RISK_FACTORS, key: str = "encounter_id", entities: DataFrame | None = None) -> DataFrame:
+    """One row per encounter that has a fact: chief_complaint, and arrays of symptoms, meds, allergies, vitals and risk factors, merged. With entities (what a model found in the patient's turns) symptoms and meds are theirs and those of patterns; of equally full entries a model's comes first."""
     patient = X.patient_turns(turns)
+    symptoms, drugs = _placed(X.symptoms(patient, patterns, key)), _placed(X.drugs(patient, aliases, terms, key))
+    if entities is not None:
+        symptoms = symptoms.unionByName(_placed(N.symptoms(entities, key=key), before=True), allowMissingColumns=True)
+        coded = M.exact_aliases(N.drugs(entities, key=key), aliases, "name_surface").withColumnRenamed("generic", "name_norm")
+        drugs = drugs.unionByName(_placed(coded, before=True), allowMissingColumns=True)
     found_allergies = M.merge_allergies(X.allergies(patient, key).withColumn("substance_norm", F.lit(None).cast("string")).withColumn("ord", F.col("utt_id")), key)
     found = {
-        "symptoms": M.merge_symptoms(X.symptoms(patient, patterns, key).withColumn("ord", F.col("utt_id") * 100_000 + F.col("start")).drop("start", "end").filter(F.length(F.coalesce("name_norm", "name_surface")) >= 3), key),
-        "meds": M.without_allergens(M.merge_drugs(X.drugs(patient, aliases, terms, key).withColumn("ord", F.col("utt_id") * 100_000 + F.col("start")).drop("start"), key), found_allergies, key),
+        "symptoms": M.merge_symptoms(symptoms.filter(F.length(F.coalesce("name_norm", "name_surface")) >= 3), key),
+        "meds": M.without_allergens(M.merge_drugs(drugs, key), found_allergies, key),
         "allergies": found_allergies,
         "vitals": M.merge_vitals(X.vitals(patient, key).withColumn("ord", F.col("utt_id")), key),
     }
