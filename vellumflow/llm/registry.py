@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, license_scan, minhash_dedup, quality, sentencepieces, substring_dedup, topk_search, url_filter
+from . import decontaminate, html_text, language_id, lexical_search, license_scan, minhash_dedup, quality, sentencepieces, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_sentencepieces": sentencepieces.op9_sentencepieces,
     "op10_quality": quality.op10_quality,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_minhash_dedup": minhash_dedup.OP7_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
 }
