@@ -14,7 +14,8 @@ With k = 48 and c = 25, a pair of similarity 0.8 is missed with probability 3.3e
 sets don't confirm.
 
 Results: null text, and text without words, has no shingles and is linked with nothing; a row without doc_id is linked with nothing and
-kept, and an id that is no integer counts as none; rows that repeat a doc_id are judged by their own texts. Shingles are compared by 52-bit hashes, whole sets by 128 bits more.
+kept; rows that repeat a doc_id are judged by their own texts. Ids keep their type and order. Shingles are compared by 52-bit hashes, whole
+sets by 128 bits more.
 """
 
 from __future__ import annotations
@@ -169,6 +170,24 @@ def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return sets.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), sets.value_lengths().to_numpy(zero_copy_only=False)
 
 
+class Overlaps:
+    """Sizes of intersections of the rows' sets, by an inverted list of their values."""
+
+    def __init__(self, flat: np.ndarray, n: np.ndarray):
+        self.rows = len(n)
+        _, self.word = np.unique(flat, return_inverse=True)
+        self.holders = np.repeat(np.arange(len(n)), n)[np.argsort(self.word, kind="stable")]
+        self.edge = np.concatenate([[0], np.cumsum(np.bincount(self.word))])
+        self.at = np.concatenate([[0], np.cumsum(n)])
+
+    def of(self, i: int) -> np.ndarray:
+        """Of row i with each row."""
+        ws = self.word[self.at[i] : self.at[i + 1]]
+        size = self.edge[ws + 1] - self.edge[ws]
+        pick = np.repeat(self.edge[ws] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.holders[pick], minlength=self.rows)
+
+
 def _near_first(percent: int):
     """Rows: node, component, set, first_set. Whether a member is linked with its cluster's first."""
 
@@ -187,26 +206,21 @@ def _near_first(percent: int):
 
 
 def _confirmed(percent: int):
-    """Rows: component, a, b, node, part, seeks, set. Links of the seeking rows with the others."""
+    """Rows: component, a, b, node, part, seeks, set. Links of the seeking rows with the others; two rows that both seek are compared where the smaller one does."""
 
     def run(batches):
         for t in _groups(batches, 3):
             flat, n = _flat(t.column(6).combine_chunks())
-            _, word = np.unique(flat, return_inverse=True)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.argsort(word, kind="stable")
-            holders, edge = row[order], np.concatenate([[0], np.cumsum(np.bincount(word))])
-            at = np.concatenate([[0], np.cumsum(n)])
+            overlaps = Overlaps(flat, n)
+            ids, part = t.column(3).to_numpy(), t.column(4).to_numpy()
             seeks = t.column(5).to_numpy(zero_copy_only=False).astype(bool)
+            apart = part != t.column(0)[0].as_py()
 
-            def linked(i, other, word=word, holders=holders, edge=edge, at=at, n=n, seeks=seeks):
-                ws = word[at[i] : at[i + 1]]
-                size = edge[ws + 1] - edge[ws]
-                pick = np.repeat(edge[ws] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                shared = np.bincount(holders[pick], minlength=len(n))
-                return other & ~seeks & (100 * shared >= percent * (n + n[i] - shared))
+            def linked(i, other, overlaps=overlaps, n=n, ids=ids, seeks=seeks, apart=apart):
+                shared = overlaps.of(i)
+                return other & ~seeks & ~(apart & (ids < ids[i])) & (100 * shared >= percent * (n + n[i] - shared))
 
-            yield _edges(_spanning(t.column(3).to_numpy(), t.column(4).to_numpy(), seeks, linked))
+            yield _edges(_spanning(ids, part, seeks, linked))
         release_memory()
 
     return run
@@ -261,10 +275,41 @@ def _against_all(members: DataFrame, near: DataFrame, least: int, most: int) ->
     return sought.select(*columns).union(seeking.select(*columns))
 
 
+def cluster_members(rows: DataFrame, classes: DataFrame, candidates: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """component, node and set of the classes that candidates (u, v) connect with others; a written table."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    clusters = write_table(connected_components(candidates).join(classes.select("node", "rep", "s1"), "node"), "clusters")
+    wanted = clusters.select(F.col("rep").alias("doc_id")).distinct()
+    held = rows.join(F.broadcast(wanted) if clusters.count() <= broadcast_rows else wanted, "doc_id", "left_semi")
+    sets = held.mapInArrow(_sets(size), f"doc_id {kind}, s1 long, set array<long>").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "s1"])
+    return write_table(clusters.join(sets, ["rep", "s1"]).select("component", "node", "set"), "members")
+
+
+def confirmed_groups(rows: DataFrame, signed: DataFrame, classes: DataFrame, candidates: DataFrame, size: int, percent: int, block_rows: int, most_rows: int, broadcast_rows: int) -> DataFrame:
+    """The groups of classes (node, rep, n, s1, s2) by links of full sets, sought among what candidates (u, v) connect; a row for each of signed (doc_id, row_hash, n, s1, s2). rows: doc_id and text."""
+    members = cluster_members(rows, classes, candidates, size, broadcast_rows)
+    firsts = members.filter("node = component").select("component", F.col("set").alias("first_set"))
+    near = members.filter("node != component").join(firsts, "component").select("node", "component", "set", "first_set")
+    near = write_table(near.mapInArrow(_near_first(percent), "node long, component long, near boolean"), "near")
+    apart = _against_all(members, near, block_rows, most_rows)
+    links = apart.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(_confirmed(percent), "u long, v long")
+    links = near.filter("near").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)
+
+    groups = write_table(connected_components(links).join(classes.select("node", "rep"), "node"), "groups")
+    least = write_table(groups.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    named = groups.select("node", "component").join(least, "component")
+    named = classes.select("s1", "s2", "n", "rep", "node").join(named, "node", "left")
+    named = named.select("s1", "s2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "node").alias("group_id"), F.coalesce("least", "rep").alias("component_id"))
+    out = signed.select("doc_id", "row_hash", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    return out.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), *[F.when(alone, F.col("doc_id")).otherwise(F.col(x)).alias(x) for x in ("class_id", "component_id")], F.when(~alone, F.col("group_id")).alias("group_id"))
+
+
 def minhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, k: int = 48, c: int = 25, block_rows: int = 128, most_rows: int = 4096, broadcast_rows: int = 250_000) -> DataFrame:
     """One row per row of docs: doc_id, row_hash (of the text), n_shingles, class_id (smallest doc_id with this shingle set), component_id (smallest doc_id of the group) and group_id (the group itself, as groups of rows that repeat an id may have one smallest; null for what is linked with nothing)."""
-    rows = with_small_batches(docs).select(F.col(doc_id).try_cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = write_table(rows.withColumn("row_hash", F.xxhash64("text")).mapInArrow(_signatures(size, k), "doc_id long, row_hash long, n long, s1 long, s2 long, sig binary"), "signed")
+    rows = with_small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    signed = write_table(rows.withColumn("row_hash", F.xxhash64("text")).mapInArrow(_signatures(size, k), f"doc_id {kind}, row_hash long, n long, s1 long, s2 long, sig binary"), "signed")
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     coordinates = classes.select("node", "sig").mapInArrow(_coordinates(k), "key long, node long")
@@ -283,27 +328,7 @@ def minhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     split = write_table(labelled.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("z")).filter("a != z").select("key"), "split")
     rest = _in_block_pairs(labelled.join(split, "key").join(sigs, "node"), "key", "node", block_rows, most_rows).select("key", "bi", "bj", "node", "block", "part", "sig")
     more = rest.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_counted(k, c), "u long, v long")
-    clusters = write_table(connected_components(star.union(more)).join(classes.select("node", "rep", "s1"), "node"), "clusters")
-
-    wanted = clusters.select(F.col("rep").alias("doc_id")).distinct()
-    held = rows.join(F.broadcast(wanted) if clusters.count() <= broadcast_rows else wanted, "doc_id", "left_semi")
-    sets = held.mapInArrow(_sets(size), "doc_id long, s1 long, set array<long>").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "s1"])
-    members = write_table(clusters.join(sets, ["rep", "s1"]).select("component", "node", "set"), "members")
-    firsts = members.filter("node = component").select("component", F.col("set").alias("first_set"))
-    near = members.filter("node != component").join(firsts, "component").select("node", "component", "set", "first_set")
-    near = write_table(near.mapInArrow(_near_first(percent), "node long, component long, near boolean"), "near")
-    apart = _against_all(members, near, block_rows, most_rows)
-    links = apart.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b").mapInArrow(_confirmed(percent), "u long, v long")
-    links = near.filter("near").select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)
-
-    groups = write_table(connected_components(links).join(classes.select("node", "rep"), "node"), "groups")
-    least = write_table(groups.groupBy("component").agg(F.min("rep").alias("least")), "least")
-    named = groups.select("node", "component").join(least, "component")
-    named = classes.select("s1", "s2", "n", "rep", "node").join(named, "node", "left")
-    named = named.select("s1", "s2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "node").alias("group_id"), F.coalesce("least", "rep").alias("component_id"))
-    out = signed.drop("sig").join(named, ["s1", "s2", "n"], "left")
-    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return out.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), *[F.when(alone, F.col("doc_id")).otherwise(F.col(x)).alias(x) for x in ("class_id", "component_id")], F.when(~alone, F.col("group_id")).alias("group_id"))
+    return confirmed_groups(rows, signed, classes, star.union(more), size, percent, block_rows, most_rows, broadcast_rows)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, lexical_search, license_scan, minhash_dedup, quality, sentencepieces, substring_dedup, token_alignment, topk_search, url_filter
+from . import decontaminate, html_text, language_id, lexical_search, license_scan, minhash_dedup, ngram_join, quality, sentencepieces, substring_dedup, token_alignment, topk_search, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepieces": sentencepieces.op9_sentencepieces,
     "op10_quality": quality.op10_quality,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
@@ -28,4 +29,5 @@ SQL = {
     "op7_minhash_dedup": minhash_dedup.OP7_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op11_lexical_search": lexical_search.OP11_SQL,
+    "op12_ngram_join": ngram_join.OP12_SQL,
 }
