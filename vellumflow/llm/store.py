@@ -30,11 +30,11 @@ def with_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def write_table(df: DataFrame, hint: str = "t") -> DataFrame:
+def write_table(df: DataFrame, hint: str = "t", codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later stages then no longer depend on executors' shuffle files."""
     path = f"{shared_dir(df.sparkSession)}/vf-{hint}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._vf_path = path
     return out

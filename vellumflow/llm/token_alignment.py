@@ -6,10 +6,6 @@ both sides are united, dealt out by document and sorted by byte within the parti
 both sides have an end, and links the two tokens that end there. Between events it holds the tokens of the one group that is open; what a
 document's row returns is gathered until the document is over.
 
-Texts are cut before a space between two visible characters: no token of either vocabulary goes on over such a space, so each part can be
-encoded alone, and a worker encodes a part that it has seen lately once. Parts that come out with other bytes (a literal marker character
-in B) make their text be held against its tokens as a whole.
-
 Counts of linked id pairs are taken over all documents: summed up within tasks, then by pair. Up to `broadcast_pairs` different pairs, all
 tasks get the counts; beyond, links are joined with them.
 
@@ -23,7 +19,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,26 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sentencepieces import Cache
 from .store import table, with_small_batches, write_table
 from .vocabulary import PIECES, vocabulary
 from .wordhash import as_list, release_memory, slices
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
-#: A character that every tokenizer's pattern counts as visible.
-_SEEN = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
-_PARTS = re.compile(rf" {_SEEN}(?:[^ ]*{_SEEN})?(?= {_SEEN}|\Z)|.+?(?:(?<={_SEEN})(?= {_SEEN})|\Z)", re.DOTALL)
-
-#: Parts of more characters are not kept for later texts.
-_LONG = 200
-
-
-def parts(text: str) -> list[str]:
-    """A space and the text, cut before each space that stands between two visible characters."""
-    return _PARTS.findall(" " + text)
-
-
 @dataclass(frozen=True)
 class Side:
     """A vocabulary: each id's bytes (None if no plain text gives it) and their number."""
@@ -88,73 +69,70 @@ def byte_level(path: str = BYTE_BPE) -> Side:
 @functools.lru_cache(maxsize=2)
 def piece_level(path: str = PIECES) -> Side:
     """The vocabulary of a piece model; the marker character is a space."""
-    surface = vocabulary(path).surface
-    if any(b" " in s.lstrip(b" ") or (b"\n" in s and len(s) > 1) for s in surface):
-        raise ValueError("a piece goes on over a space or a line feed")
-    return _side([s or None for s in surface])
+    return _side([s or None for s in vocabulary(path).surface])
 
 
 @functools.lru_cache(maxsize=1)
 def _coders(a_path: str, b_path: str):
+    """Encoders of A and of B, and a faster one of A if its file allows: ids in the order of merges, cut by the usual pattern."""
+    import public_tokenizers
     import sentencepiece
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     a = Tokenizer.from_file(a_path)
     a.encode_special_tokens = True
-    return a, sentencepiece.SentencePieceProcessor(model_file=b_path)
-
-
-def encode_parts(words: list[str], a_path: str, b_path: str) -> list[tuple[bytes, bytes, bool]]:
-    """Of each part: A's ids, B's ids (int32), and whether the bytes of both are the part's. B puts a space before what it encodes, so parts are given to it after a line feed, which no piece reaches over."""
-    if not words:
-        return []
-    a, b = _coders(a_path, b_path)
-    left, right = byte_level(a_path).surface, piece_level(b_path).surface
-    out = []
-    for word, x, y in zip(words, a.encode_batch(words, add_special_tokens=False), b.encode(["\n" + w for w in words], num_threads=1), strict=True):
-        x, y, raw = x.ids, y[2:], word.encode()
-        out.append((np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes(), _bytes_of(left, x) == raw == _bytes_of(right, y)))
+    with open(a_path, encoding="utf-8") as f:
+        found = json.load(f)
+    cut, vocab = found.get("pre_tokenizer") or {}, found["model"]["vocab"]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in found["model"]["merges"]]
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not found.get("normalizer")
+    fast = None
+    if usual and sorted(vocab[c] for c in _byte_of()) == list(range(256)) and [vocab[m] for m in merged] == list(range(256, 256 + len(merged))):
+        ranks = {s: i for i, s in enumerate(byte_level(a_path).surface) if s is not None}
+        fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return a, sentencepiece.SentencePieceProcessor(model_file=b_path), fast
+
+
+def encode_texts(texts: list[str], a_path: str = BYTE_BPE, b_path: str = PIECES) -> list[list[np.ndarray]]:
+    """Ids of A and of B of each text, a space and the text being encoded (B puts the space there itself); none if the bytes of either are others."""
+    a, b, fast = _coders(a_path, b_path)
+    sides, out = (byte_level(a_path), piece_level(b_path)), []
+    for text, right in zip(texts, b.encode(texts, num_threads=1), strict=True):
+        whole = " " + text
+        left = fast.encode_ordinary(whole) if fast else a.encode(whole, add_special_tokens=False).ids
+        fine = text != "" and all(_bytes_of(side.surface, ids) == whole.encode() for side, ids in zip(sides, (left, right), strict=True))
+        out.append([np.array(ids if fine else (), np.int64) for ids in (left, right)])
     return out
 
 
 def _bytes_of(surface: list[bytes | None], ids) -> bytes | None:
-    found = [surface[i] for i in ids]
-    return None if None in found else b"".join(found)
+    try:
+        return b"".join(map(surface.__getitem__, ids))
+    except TypeError:  # an id that no plain text gives
+        return None
 
 
 def _events(a_path: str, b_path: str, run_length: int):
     """Rows: _row, doc_id, text. Events: _row, begin (byte), side, doc_id, packed ids; a document without tokens has one of side -1."""
 
     def run(batches):
-        left, right = byte_level(a_path), piece_level(b_path)
-        sides, cache, z = (left, right), Cache.of(("align", a_path, b_path)), zstandard.ZstdCompressor(level=1)
+        sides, z = (byte_level(a_path), piece_level(b_path)), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i, j in slices(batch.column(2)):
                 part = batch.slice(i, j - i)
-                texts = part.column(2).to_pylist()
-                found = [parts(t) if t else [] for t in texts]
-                words = set().union(*found)
-                long = [w for w in words if len(w) > _LONG]
-                known = cache.look(words.difference(long), lambda new: encode_parts(new, a_path, b_path))
-                if long:
-                    known = known | dict(zip(long, encode_parts(long, a_path, b_path), strict=True))
                 at, begin, side, packed = [], [], [], []
-                for k, words in enumerate(found):
-                    a, b, fine = zip(*map(known.__getitem__, words), strict=True) if words else ((), (), (False,))
-                    ids = [np.frombuffer(b"".join(x), np.int32) for x in (a, b)]
-                    if words and not all(fine):
-                        fine = (all(_bytes_of(s.surface, x.tolist()) == (" " + texts[k]).encode() for s, x in zip(sides, ids, strict=True)),)
-                    if not all(fine):
+                for k, ids in enumerate(encode_texts([t or "" for t in part.column(2).to_pylist()], a_path, b_path)):
+                    if not len(ids[0]):
                         at.append(k), begin.append(0), side.append(-1), packed.append(b"")
-                        continue
                     for which, (vocab, x) in enumerate(zip(sides, ids, strict=True)):
-                        starts = np.cumsum(vocab.lengths[x[:-1]])[run_length - 1 :: run_length] if len(x) > run_length else ()
-                        for c, first in zip(range(0, len(x), run_length), [0, *starts], strict=True):
-                            at.append(k), begin.append(int(first)), side.append(which), packed.append(z.compress(_narrow(x[c : c + run_length])))
+                        starts = np.concatenate([[0], np.cumsum(vocab.lengths[x])])[: len(x) : run_length]
+                        for c, first in enumerate(starts.tolist()):
+                            at.append(k), begin.append(first), side.append(which), packed.append(z.compress(_narrow(x[c * run_length : (c + 1) * run_length])))
                 rows = pa.array(at, pa.int64())
                 yield pa.record_batch([part.column(0).take(rows), pa.array(begin, pa.int64()), pa.array(side, pa.int8()), part.column(1).take(rows), pa.array(packed, pa.binary())], ["_row", "begin", "side", "doc_id", "packed"])
-        release_memory(("align", a_path, b_path))
+        release_memory()
 
     return run
 
@@ -396,5 +374,5 @@ def with_counts(aligned: DataFrame, broadcast_pairs: int = 2_000_000) -> DataFra
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align(table(spark, sf_dir, "documents"))
     digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))
-    aligned = write_table(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "links"), "aligned")
+    aligned = write_table(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "links"), "aligned", "zstd")
     return with_counts(aligned)
