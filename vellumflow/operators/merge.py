@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..functions.sizes import broadcast_if_small
+from . import fuzzy
 
 #: Points for each filled field.
 SYMPTOM_POINTS = {"name_norm": 2, "cui": 2, "duration": 1, "severity": 1, "onset": 1}
@@ -86,24 +86,18 @@ def exact_aliases(df: DataFrame, aliases: DataFrame, name: str = "name") -> Data
 
 
 def near_aliases(df: DataFrame, aliases: DataFrame, name: str = "name", cutoff: float = 92.0, exact: bool = False) -> DataFrame:
-    """Distinct names with their best alias of similarity `cutoff` or more: (name, alias, rxcui, generic, score).
+    """Distinct names with their best alias of similarity `cutoff` or more: (name, alias, rxcui, generic, score); equally near aliases by name.
 
-    Similarity is that of the sorted words: 100 * (1 - Indel distance / summed length), which pandas works out for pairs that a bound lets
-    through (lengths, and an equal first or last letter count is not needed). With exact=True it is 100 * (1 - levenshtein / longer
-    length), in the JVM. Aliases are a dimension table, so the pairs are distinct names times a fixed number.
+    Similarity is that of the sorted words: 100 * (1 - Indel distance / summed length). With exact=True it is 100 * (1 - levenshtein /
+    longer length), in the JVM. Pairs come from an index of q-grams (see fuzzy), so names and aliases may both be many.
     """
     words = lambda c: F.array_join(F.array_sort(F.split(T.strip(F.lower(c)), r"\s+")), " ")
-    names = df.select(F.col(name).alias("name")).distinct().withColumn("_a", words(F.col("name")))
-    known = broadcast_if_small(aliases.select(F.col("name").alias("alias"), "rxcui", "generic").withColumn("_b", words(F.col("alias"))))
-    a, b = F.length("_a"), F.length("_b")
-    if exact:
-        score = 100 * (1 - F.levenshtein("_a", "_b") / F.greatest(a, b))
-        bound = 100 * (F.least(a, b) / F.greatest(a, b)) >= cutoff
-    else:
-        score, bound = indel_similarity("_a", "_b"), 200 * F.least(a, b) / (a + b) >= cutoff
-    pairs = names.join(known, bound & (F.col("_a") != "")).withColumn("score", score).filter(F.col("score") >= cutoff)
-    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "alias"))
-    return pairs.withColumn("_r", best).filter("_r = 1").select("name", "alias", "rxcui", "generic", F.floor("score").cast("int").alias("score"))
+    names = df.select(F.col(name).alias("name")).distinct().withColumn("a", words(F.col("name")))
+    known = aliases.select(words(F.col("name")).alias("b"), F.struct(F.col("name").alias("alias"), "rxcui", "generic").alias("of")).groupBy("b").agg(F.min("of").alias("of"))
+    measure = fuzzy.levenshtein(cutoff) if exact else fuzzy.indel(cutoff, indel_similarity)
+    pairs = fuzzy.fuzzy_pairs(names, known, measure).join(known, "b")
+    best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("back"), "of")).alias("best"))
+    return names.join(best, "a").select("name", "best.of.alias", "best.of.rxcui", "best.of.generic", F.floor(-F.col("best.back")).cast("int").alias("score"))
 
 
 @F.pandas_udf(DoubleType())

@@ -176,12 +176,25 @@ def alias_levenshtein_join(spark, sf_dir):
     return M.near_aliases(read(spark, sf_dir, "part"), names.withColumn("rxcui", F.lit("")).withColumn("generic", F.lit("")), "p_name", 20.0, exact=True).select("name", "alias", "score")
 
 
-@query()
+_NAMES = "w AS (SELECT DISTINCT p_name AS name, array_to_string(list_sort(string_split_regex(lower(p_name), '\\s+')), ' ') AS a FROM part), k AS (SELECT n_name AS alias, array_to_string(list_sort(string_split_regex(lower(n_name), '\\s+')), ' ') AS b FROM nation UNION SELECT r_name, array_to_string(list_sort(string_split_regex(lower(r_name), '\\s+')), ' ') FROM region)"
+# The longest common subsequence by bits: a zero bit of f is a character of b that it uses; a character of a meets the bits m where b has it.
+_LCS = "length(b) - bit_count(list_reduce(list_transform(string_split(a, ''), lambda c: CAST(list_sum(list_transform(range(0, length(b)), lambda i: CASE WHEN substr(b, i + 1, 1) = c THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT)), lambda f, m: ((f + (f & m)) | (f - (f & m))) & ((CAST(1 AS BIGINT) << length(b)) - 1), (CAST(1 AS BIGINT) << length(b)) - 1))"
+
+
+@query(f"WITH {_NAMES}, s AS (SELECT name, alias, 200.0 * ({_LCS}) / (length(a) + length(b)) AS score FROM w, k), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, alias) AS n FROM s WHERE score >= 30) SELECT name, alias, CAST(floor(score) AS INTEGER) AS score FROM r WHERE n = 1")
 def alias_indel_join(spark, sf_dir):
     names = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(read(spark, sf_dir, "region").select("r_name")).distinct()
     return M.near_aliases(read(spark, sf_dir, "part"), names.withColumn("rxcui", F.lit("")).withColumn("generic", F.lit("")), "p_name", 30.0).select("name", "alias", "score")
 
 
+@query()
+def near_words(spark, sf_dir):
+    """Each distinct word of the conversations with its nearest word of the documents, at Indel similarity 85 or more; rxcui tells in how many documents that stands."""
+    split = lambda name: F.explode(F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}]+"), ""))).alias("name")
+    known = read(spark, sf_dir, "documents").select("doc_id", split("text")).groupBy("name").agg(F.count("*").cast("string").alias("rxcui")).withColumn("generic", F.col("name"))
+    return M.near_aliases(read(spark, sf_dir, "conversations").select(split("text")), known, cutoff=85.0).select("name", "alias", "rxcui", "score")
+
+
 @query(r"""SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(c_name || ' / ' || c_mktsegment)), '[\s\-/]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS name FROM customer""")
 def name_snake(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", T.snake(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("name"))
