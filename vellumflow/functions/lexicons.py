@@ -156,3 +156,6 @@ BOILERPLATE = (
 )
 SKIPPED_HEADINGS = ("references", "bibliography", "works cited", "acknowledgments", "acknowledgements", "about the authors", "author information", "conflicts of interest", "disclosures", "funding", "abbreviations", "table of contents", "contents", "index", "appendix", "supplementary", "supplemental", "author contributions")
 JOURNAL_SIGNS = (r"\d{4}\s*;\s*\d+", r"\d+\s*\(\s*\d+\s*\)\s*:\s*\d+", r"\d+\s*:\s*\d+\s*[-–]\s*\d+", r"[A-Z][a-z]+\s+[A-Z][A-Z]?\s*[,;]", r"et al\.", r"pp?\.\s*\d+")
+
+# What is no fact in an answer.
+NOISE_CONCEPTS = ("greeting", "acknowledgment", "confirmation", "response", "question", "answer", "statement", "conversation", "thanks", "thank_you", "okay", "yes", "no", "understanding", "agreement", "compliance")

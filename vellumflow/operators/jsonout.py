@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import lexicons as L
 from ..functions import text as T
 
 
@@ -117,5 +118,7 @@ def facts_of(df: DataFrame, parsed: str = "parsed") -> DataFrame:
     )
 
 
-def valid_answer(concept: Column, assertion: Column, noise: tuple[str, ...] = ("null", "none", "unknown", "n/a", "other")) -> Column:
-    return (F.length(T.strip(concept)) >= 3) & ~F.lower(concept).isin(*noise) & assertion.isin("present", "absent", "possible")
+def valid_answer(concept: Column, assertion: Column, noise: tuple[str, ...] = L.NOISE_CONCEPTS) -> Column:
+    """Whether an answer names a concept of three letters or more that is no talk, and one of the three assertions."""
+    plain = F.regexp_replace(F.lower(concept), r"^[_\- ]+|[_\- ]+$", "")
+    return F.coalesce((F.length(concept) >= 3) & ~plain.isin(*noise) & assertion.isin("present", "absent", "possible"), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -50,6 +51,26 @@ class Settings:
     def client(self):
         return Echo() if self.mode == "mock" else Http(self.url, openai=self.mode != "ollama")
 
+    def model_of(self, stage: str) -> str:
+        """The model of a stage: what the environment names for it, else that of all."""
+        return os.environ.get(f"LLM_MODEL_{stage.upper()}") or self.model
+
+
+def ask(client, model: str, text: str | None, retries: int = 2, accept: Callable[[str], bool] = bool, system: str | None = None, stricter: str = "", temperature: float = 0.0, pause: float = 0.0) -> tuple[str | None, int, str | None]:
+    """(reply, attempts, error) of one request; after a failure, not a refusal, it waits `pause` seconds, twice as long each time, a minute at most."""
+    reply, error, tried, failed = None, None, 0, 0
+    while tried <= retries and (reply is None or not accept(reply)):
+        tried += 1
+        try:
+            messages = [{"role": "user", "content": (text or "") + (stricter if tried > 1 else "")}]
+            reply, error = client.chat(model, [{"role": "system", "content": system}, *messages] if system else messages, temperature), None
+        except Exception as e:  # a failed call is a row's error, not the job's
+            error = str(e)
+            if tried <= retries and pause:
+                time.sleep(min(pause * 2**failed, 60.0))
+            failed += 1
+    return reply, tried, error
+
 
 def call(df: DataFrame, make_client: Callable[[], object], model: str, prompt: str = "prompt", retries: int = 2, accept: Callable[[str], bool] = bool, system: str | None = None, stricter: str = "", temperature: float = 0.0) -> DataFrame:
     """df with reply, attempts and error. One client per task; a reply that accept() refuses is asked for again, up to `retries` times, with the text `stricter` after the prompt. Write the result before using it twice, so that no call is made again."""
@@ -59,17 +80,7 @@ def call(df: DataFrame, make_client: Callable[[], object], model: str, prompt: s
     def run(frames):
         client = make_client()
         for frame in frames:
-            made = []
-            for text in frame[prompt]:
-                reply, error, tried = None, None, 0
-                while tried <= retries and (reply is None or not accept(reply)):
-                    tried += 1
-                    try:
-                        messages = [{"role": "user", "content": (text or "") + (stricter if tried > 1 else "")}]
-                        reply, error = client.chat(model, [{"role": "system", "content": system}, *messages] if system else messages, temperature), None
-                    except Exception as e:  # a failed call is a row's error, not the job's
-                        error = str(e)
-                made.append((reply, tried, error))
+            made = [ask(client, model, text, retries, accept, system, stricter, temperature) for text in frame[prompt]]
             frame = frame[others].copy()
             frame["reply"], frame["attempts"], frame["error"] = ([m[k] for m in made] for k in range(3))
             yield frame

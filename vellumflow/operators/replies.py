@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import jsonout as J
 from . import rubric as R
 
 # Names of vitals, words for nothing, and answers that stand for no drug use.
@@ -310,6 +311,17 @@ def plan_quality(df: DataFrame, chunks: DataFrame, key: str = "encounter_id", re
     return scores, checks.drop("ids"), safety, cited(checks, chunks, key)
 
 
+def answer_of(df: DataFrame, reply: str = "parsed") -> DataFrame:
+    """df with the fact of an answer: concept, value, assertion and utt_ids (those of the reply, else the columns question_utt and answer_utt, if there are any); nulls if the reply has no fact."""
+    v = F.col(reply)
+    concept, assertion = at(v, "concept", "string"), at(v, "assertion", "string")
+    fine = J.valid_answer(concept, assertion)
+    turns = [F.col(c).cast("int") for c in ("question_utt", "answer_utt") if c in df.columns]
+    named = F.try_variant_get(v, "$.evidence.utt_ids", "array<int>")
+    made = {"concept": concept, "value": at(v, "value", "string"), "assertion": assertion, "utt_ids": F.coalesce(named, F.array(*turns).cast("array<int>"))}
+    return df.withColumns({name: F.when(fine, c) for name, c in made.items()})
+
+
 def as_text(v: Column) -> Column:
     """A variant as text: lists as bullets (of objects their point or text), null as nothing."""
     bullet = lambda x: F.coalesce(string_at(x, "point"), string_at(x, "text"), x.cast("string"), F.lit("None"))

@@ -14,6 +14,7 @@ from ..functions import text as T
 from . import jsonout as J
 from . import providers as P
 from . import replies as Y
+from .calls import call_once
 
 _ONLY_JSON = "\n\nAnswer with valid JSON and nothing else."
 _ITEMS = "For each list give objects; leave out what is not said. Assertions are present, absent or possible."
@@ -118,8 +119,9 @@ STAGES = {
     "explain_critique": Stage("explain_critique", Y.explanation_of, temperature=0.3),
     "explain_diagnosis": Stage("explain_diagnosis", lambda df: Y.explanation_of(df, Y.DIAGNOSIS_FIELDS), temperature=0.3),
 }
-for _name, _warmth in (("answer", 0.0), ("diagnose", 0.0), ("revise", 0.1), ("assessment", 0.0), ("plan", 0.0)):
-    STAGES[_name] = Stage(_name, lambda df: df, retries=1 if _name == "answer" else 2, temperature=_warmth)
+STAGES["answer"] = Stage("answer", Y.answer_of, retries=1)
+for _name, _warmth in (("diagnose", 0.0), ("revise", 0.1), ("assessment", 0.0), ("plan", 0.0)):
+    STAGES[_name] = Stage(_name, lambda df: df, temperature=_warmth)
 
 
 def asked(df: DataFrame, stage: str, make_client: Callable[[], object], model: str, prompt: str = "prompt") -> DataFrame:
@@ -128,6 +130,12 @@ def asked(df: DataFrame, stage: str, make_client: Callable[[], object], model: s
     return P.call(df, make_client, model, prompt, s.retries, is_json, SYSTEM[s.system], _ONLY_JSON, s.temperature)
 
 
+def asked_once(df: DataFrame, stage: str, store: str, make_client: Callable[[], object], model: str, prompt: str = "prompt", **options) -> DataFrame:
+    """asked(), with replies kept in the folder store: what was asked before isn't asked again. options as those of call_once."""
+    s = STAGES[stage]
+    return call_once(df, store, make_client, model, prompt, s.retries, is_json, SYSTEM[s.system], _ONLY_JSON, s.temperature, **options)
+
+
 def read_replies(df: DataFrame, stage: str) -> DataFrame:
-    """A stage's replies as facts, critique or explanation; of a reply that could not be read, the empty form of these. For plans and scores parsed is left to plan_of(), assessment_quality() and plan_quality()."""
+    """A stage's replies as facts, an answer, critique or explanation; of a reply that could not be read, the empty form of these. For plans and scores parsed is left to plan_of(), assessment_quality() and plan_quality()."""
     return STAGES[stage].parse(parsed(df))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reply_queries  # noqa: F401  registers its queries
+from . import reply_queries, stored_queries  # noqa: F401  these register their queries
 from .queries import QUERIES, SQL
 
 FLAGSHIP = "fact_counts"
