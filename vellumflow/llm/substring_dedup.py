@@ -16,7 +16,7 @@ every word, and whole texts move compressed.
 Blocks are known by 128 bits of hash of all their words: among 1e13 blocks any two different ones agree with probability below 1e-12.
 
 Results: null text has no words; a text of fewer than `length` (2 or more) words, and a row without doc_id, loses nothing and is no
-reference; an id that is no integer counts as none; of several rows with one doc_id none is earlier than another at the same place, and exact repeats lose the same.
+reference; ids keep their type, and earlier is what is smaller in its order; of several rows with one doc_id none is earlier than another at the same place, and exact repeats lose the same.
 """
 
 from __future__ import annotations
@@ -148,11 +148,12 @@ def _laid_out(length: int, k: int):
     return run
 
 
-def _factors(lists: pa.Array, length: int) -> tuple[np.ndarray, ...]:
+def _factors(lists: pa.Array, length: int) -> tuple:
     """(row, start, end, source, source_start) of the factors, from each row's blocks (pos, source, at) with an earlier place."""
     counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = lists.flatten()
-    pos, source, at = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "source", "at"))
+    ids = flat.field("source").dictionary_encode()
+    pos, source, at = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (flat.field("pos"), ids.indices, flat.field("at")))
     row = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((pos, row))
     row, pos, source, at = row[order], pos[order], source[order], at[order]
@@ -163,7 +164,7 @@ def _factors(lists: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     start = pos[opens]
     before = np.concatenate([[0], np.where(row[opens[1:]] == row[opens[:-1]], end[:-1], 0)])[: len(opens)]
     late = np.maximum(start, before)
-    return row[opens], late, end, source[opens], at[opens] + late - start
+    return row[opens], late, end, ids.dictionary.take(pa.array(source[opens])), at[opens] + late - start
 
 
 def _cut(length: int, as_is: bool):
@@ -179,7 +180,7 @@ def _cut(length: int, as_is: bool):
                 np.add.at(step, w.first[row] + end, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 fields = {"start": start.astype(np.int32), "end": end.astype(np.int32), "source": source, "source_start": source_start.astype(np.int32)}
-                spans = pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields))
+                spans = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in fields.values()], list(fields))
                 spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]), pa.int32()), spans)
                 kept = np.flatnonzero(~gone)
                 use = np.zeros(len(w.data) + 1, np.int32)
@@ -208,14 +209,15 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Tells apart the texts that share an id; without these a constant, which costs nothing to shuffle.
     row = F.lit(0).cast("long") if unique else F.xxhash64(text)
     others = [F.col(c).alias(f"_also{n}") for n, c in enumerate(also)]
-    rows = with_small_batches(docs).select(F.col(doc_id).try_cast("long").alias("doc_id"), row.alias("_row"), F.col(text).cast("string").alias("text"), *others)
+    rows = with_small_batches(docs).select(F.col(doc_id).alias("doc_id"), row.alias("_row"), F.col(text).cast("string").alias("text"), *others)
     kinds = "".join(f", _also{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(also))
-    place, key = "doc_id long, _row long, pos int", ["doc_id", "_row"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    place, key = f"doc_id {kind}, _row long, pos int", ["doc_id", "_row"]
     anchors = rows.select(*key, "text").filter("doc_id is not null").mapInArrow(_anchors(length, k), f"gram long, {place}")
     # Written, so that both sides of the join have exchanges of their own and AQE can split a very common gram.
     again = write_table(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "again")
     places = write_table(anchors.join(again, "gram").groupBy(*key).agg(F.collect_set("pos").alias("anchors")), "anchors")
-    packed = rows.mapInArrow(_packed, f"doc_id long, _row long, packed binary{kinds}")
+    packed = rows.mapInArrow(_packed, f"doc_id {kind}, _row long, packed binary{kinds}")
     held = packed.join(places, key, "left")
     blocks = held.select(*key, "packed", "anchors").mapInArrow(_blocks(length, k), f"b1 long, b2 long, {place}")
     index = write_table(blocks.groupBy("b1", "b2").agg(F.min(F.struct("doc_id", "pos", "_row")).alias("first")).select("b1", "b2", "first.*"), "index")
@@ -229,7 +231,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sources = index.select("b1", "b2", F.col("doc_id").alias("source"), F.col("pos").alias("at"))
     found = found.join(sources, ["b1", "b2"]).groupBy(*key).agg(F.collect_set(F.struct("pos", "source", "at")).alias("found"))
     whole = packed.join(found, key, "left").select(*key, "packed", "found", *packed.columns[3:])
-    out = whole.mapInArrow(_cut(length, as_is), f"doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int,source:long,source_start:int>>{kinds}")
+    out = whole.mapInArrow(_cut(length, as_is), f"doc_id {kind}, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int,source:{kind},source_start:int>>{kinds}")
     return out.select("doc_id", "n_words", "n_removed", "kept_text", "spans", *[F.col(f"_also{n}").alias(c) for n, c in enumerate(also)])
 
 
