@@ -24,10 +24,18 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows, rows.columns, "left_anti")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until docs has no such column."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose most probable language has a posterior below 0.6; a missing lang is filled in."""
-    out = predict(docs, train(docs), names=("_lang", "_score")).filter("_lang != 'und' and _score >= 0.6")
-    return out.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    lang, score = _free(docs, "_lang"), _free(docs, "_score")
+    out = predict(docs, train(docs), names=(lang, score)).filter((F.col(lang) != "und") & (F.col(score) >= 0.6))
+    return out.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = write_table(minhash_groups(docs, size=5, percent=80).select("doc_id", "row_hash", "group_id"), "groups")
     least = write_table(groups.filter("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc_id", "row_hash")).alias("least")), "least")
     copies = groups.join(least, "group_id").filter("doc_id != least.doc_id or row_hash != least.row_hash").select("doc_id", "row_hash").distinct()
-    kept = _without(docs.withColumn("_row_hash", F.xxhash64("text")), write_table(copies.withColumnRenamed("row_hash", "_row_hash"), "copies"))
+    mark = _free(docs, "_row_hash")
+    kept = _without(docs.withColumn(mark, F.xxhash64("text")), write_table(copies.withColumnRenamed("row_hash", mark), "copies"))
     ids = groups.filter("doc_id is not null").agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] != ids["d"]:
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "_row_hash"]).union(kept.filter("doc_id is null"))
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id", mark]).union(kept.filter("doc_id is null"))
     return kept.select(*docs.columns)
 
 
