@@ -84,9 +84,11 @@ def test_indexed_ngrams_of_linked_sets():
                 place = {n: np.sort(rng.choice(n, least, replace=False)), m: np.sort(rng.choice(m, least, replace=False))}
                 if rng.random() < 0.5:
                     place = {x: np.arange(x - least, x) for x in (n, m)}
-                length = {x: x - ngram_join.least_shared(x, percent) + int(ngram_join.indexed_shared(x, percent)) for x in (n, m)}
-                shared = int(((place[n] < length[n]) & (place[m] < length[m])).sum())
-                assert shared >= ngram_join.indexed_shared(min(n, m), percent) >= max(ngram_join.indexed_shared(ngram_join.least_shared(x, percent), percent) for x in (n, m))
+                for one_in in (ngram_join._WIDE, ngram_join._CLOSE):
+                    l = lambda x, one_in=one_in: int(ngram_join.indexed_shared(x, percent, one_in))  # noqa: E731, E741
+                    length = {x: x - ngram_join.least_shared(x, percent) + l(x) for x in (n, m)}
+                    shared = int(((place[n] < length[n]) & (place[m] < length[m])).sum())
+                    assert shared >= l(min(n, m)) >= max(l(ngram_join.least_shared(x, percent)) for x in (n, m))
                 assert n + m - 2 * least <= ngram_join._most_apart(n, m, percent)
 
 

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .store import drop_table, write_table
 
+#: Edges that a task contracts at a time.
+_EDGES = 200_000
+
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star forest (node, smallest node of its component) with the components of the given edges."""
@@ -37,10 +40,21 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches):
+    held, size = [], 0
+
+    def spanning():
+        u, v = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
     for b in batches:
         if b.num_rows:
-            u, v = forest(b.column(0).to_numpy(), b.column(1).to_numpy())
-            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size >= _EDGES:
+                yield spanning()
+                held, size = [], 0
+    if held:
+        yield spanning()
 
 
 def _with_least(edges: DataFrame, least: DataFrame, salts: int) -> DataFrame:
