@@ -5,12 +5,10 @@ import random
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 from test_entry import DIR, needs_data
 from test_methods import corpus, edited
 
 from vellumflow.llm import decontaminate, html_text, language_id, license_scan, quality, sentencepieces, url_filter
-from vellumflow.plans.registry import QUERIES
 
 
 def test_decontamination_of_reordered_passages(spark):
@@ -41,13 +39,6 @@ def test_decontamination_of_reordered_passages(spark):
     assert swapped > 5
 
 
-@needs_data
-def test_every_event_is_repaired(spark):
-    got = QUERIES["json_repaired"](spark, DIR)
-    events = spark.read.parquet(f"{DIR}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    assert got.exceptAll(events).isEmpty() and events.exceptAll(got).isEmpty()
-
-
 def test_links_in_mixed_case(spark):
     pages = [("http://a/1", '<LINK Rel="Canonical" HREF="http://b/1">'), ("http://a/2", '<meta http-equiv="Refresh" content="0; URL=http://b/2">'), ("http://a/3", '<meta HTTP-EQUIV=reFresh content="0;url=http://b/3">'), ("http://a/4", "<p>none</p>"), ("http://a/5", None)]
     got = url_filter.html_links(spark.createDataFrame(pages, "url string, html string"))
