@@ -5,7 +5,7 @@ o(n) = ceil(percent n / 100) n-grams with it. Two prefixes come out of this:
 
 * By hash, the first n - o(n) + l(n) n-grams of a set are indexed, where l grows with n. Two linked sets share at least l(min(n, m)) of
   them, so each has d(n) = l(o(n)) or more that other sets have indexed too; sets with fewer are skipped. This is done twice: with a
-  short index (l = 1 + n / 20) of all sets, which leaves a small part of a corpus, and with a long one (1 + n / 2) of that part.
+  short index (l = 1 + n / 20) of all sets, which leaves a small part of a corpus, and with a longer one (1 + n / 4) of that part.
 * What is left of a set's indexed n-grams is ordered rare-first, by the number of sets that have it indexed. Two linked sets share d or more
   of them, so they share one of the first |left| - d(n) + 1. These prefix n-grams are posted and joined on.
 
@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, forest
 from .minhash_dedup import Overlaps, _edges, _flat, _groups, _in_block_pairs, _set_hash, _small_slices, _spanning, cluster_members, confirmed_groups, shingle_sets
-from .store import table, with_small_batches, write_table
+from .store import drop_table, table, with_small_batches, write_table
 from .wordhash import as_list, release_memory
 
 _PIVOTS = 256
 _PIVOT_SHIFT = np.uint64(52 - 8)
 _CHUNK = 1024
 #: One in so many of a set's n-grams are asked for in common: of all sets, and of those that this leaves.
-_WIDE, _CLOSE = 20, 2
+_WIDE, _CLOSE = 20, 4
 _SMALL = 256
 
 
@@ -236,10 +236,14 @@ def _candidates(docs: DataFrame, doc_id: str, text: str, size: int, percent: int
     """rows, signed and classes as confirmed_groups takes them, and edges (u, v) that connect all classes that are linked."""
     rows = with_small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row_hash", F.xxhash64("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_hash long, n long, s1 long, s2 long, head array<long>"
-    signed = write_table(rows.mapInArrow(_heads(size, percent, _WIDE, False), schema), "signed")
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
-    classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    some = write_table(_shared_by_others(classes, percent, _WIDE).select("node").join(classes.drop("head"), "node"), "some")
+    heads = write_table(rows.mapInArrow(_heads(size, percent, _WIDE, False), schema), "heads")
+    signed = write_table(heads.drop("head"), "signed")
+    wide = heads.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
+    wide = write_table(wide.withColumn("node", F.monotonically_increasing_id()), "wide")
+    drop_table(heads)
+    classes = write_table(wide.drop("head"), "classes")
+    some = write_table(_shared_by_others(wide, percent, _WIDE).select("node").join(classes, "node"), "some")
+    drop_table(wide)
     wanted = some.select(F.col("rep").alias("doc_id")).distinct()
     held = rows.join(F.broadcast(wanted) if some.count() <= broadcast_rows else wanted, "doc_id", "left_semi")
     close = held.mapInArrow(_heads(size, percent, _CLOSE, True), schema + ", parts binary").select(F.col("doc_id").alias("rep"), "s1", "head", "parts").dropDuplicates(["rep", "s1"])
