@@ -66,9 +66,9 @@ def test_no_pair_without_a_common_token(spark):
 
 def test_near_words_of_small_tables(spark, tmp_path):
     rng = random.Random(1)
-    word = lambda: "".join(rng.choice(["th", "er", "on", "ti", "ed", "a"]) for _ in range(rng.randrange(1, 6)))
-    docs = [(i, " ".join(word() for _ in range(12)) + ". Été!") for i in range(20)] + [(90, None), (91, "")]
-    said = [(i, " ".join(word() for _ in range(8)) + ", été?") for i in range(10)] + [(11, None)]
+    word = lambda: "".join(rng.choice(["th", "er", "on", "ti", "ed", "a"]) for _ in range(rng.randrange(1, 8)))
+    docs = [(i, " ".join(word() for _ in range(20)) + ". Été!") for i in range(40)] + [(90, None), (91, "")]
+    said = [(i, " ".join(word() for _ in range(20)) + ", été?") for i in range(20)] + [(11, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(said, "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     split = lambda t: {w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()}
@@ -77,6 +77,6 @@ def test_near_words_of_small_tables(spark, tmp_path):
     for name in names:
         near = [(-200 * lcs(name, w) / (len(name) + len(w)), w) for w in known]
         score, alias = min(near)
-        if -score >= 85:
+        if -score >= 92:
             want.add((name, alias, str(sum(alias in split(t) for _, t in docs)), int(-score)))
-    assert {tuple(r) for r in QUERIES["near_words"](spark, str(tmp_path)).collect()} == want and len(want) > 20
+    assert {tuple(r) for r in QUERIES["near_words"](spark, str(tmp_path)).collect()} == want and len(want) > 15 and any(r[3] < 100 for r in want)

@@ -95,9 +95,13 @@ def near_aliases(df: DataFrame, aliases: DataFrame, name: str = "name", cutoff:
     names = df.select(F.col(name).alias("name")).distinct().withColumn("a", words(F.col("name")))
     known = aliases.select(words(F.col("name")).alias("b"), F.struct(F.col("name").alias("alias"), "rxcui", "generic").alias("of")).groupBy("b").agg(F.min("of").alias("of"))
     measure = fuzzy.levenshtein(cutoff) if exact else fuzzy.indel(cutoff, indel_similarity)
-    pairs = fuzzy.fuzzy_pairs(names, known, measure).join(known, "b")
+    # Equal words are at 100, which nothing exceeds; only the other names have to be sought.
+    equal = names.filter("a != ''").join(known.withColumnRenamed("b", "a"), "a").select("name", "of", F.lit(100).alias("score"))
+    others = names.join(known.select(F.col("b").alias("a")), "a", "left_anti")
+    pairs = fuzzy.fuzzy_pairs(others, known, measure).join(known, "b")
     best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("back"), "of")).alias("best"))
-    return names.join(best, "a").select("name", "best.of.alias", "best.of.rxcui", "best.of.generic", F.floor(-F.col("best.back")).cast("int").alias("score"))
+    near = others.join(best, "a").select("name", "best.of", F.floor(-F.col("best.back")).cast("int").alias("score"))
+    return equal.union(near).select("name", "of.alias", "of.rxcui", "of.generic", "score")
 
 
 @F.pandas_udf(DoubleType())
