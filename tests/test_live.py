@@ -75,8 +75,7 @@ def test_live_rows_equal_batch_rows(spark, tmp_path):
 
 
 def test_settled_by_the_watermark_and_restarted(spark, tmp_path):
-    rng = random.Random(3)
-    rows = conversation(rng, "x", 40)
+    rows = [("x", i, f"s{i % 2}", ("DOCTOR", "PATIENT")[i % 2], ("Any fever?", "No, none at all")[i % 2], START + dt.timedelta(minutes=i), False) for i in range(40)]
     first, second = rows[:20], rows[20:]
     later = [("other", 0, "s", "DOCTOR", "", START + dt.timedelta(days=2), False)]
     late_turn = ("x", 5, "s1", "PATIENT", "Too late to answer", START + dt.timedelta(minutes=5), False)
@@ -102,7 +101,7 @@ def test_roles_corrected_after_the_end_and_closed_when_idle(spark, tmp_path):
     # Without an end, an idle conversation is closed by the time of others.
     quiet = [("q", 0, "a", "", "hello", START, False)]
     files = [quiet, [("r", 0, "z", "", "x", START + dt.timedelta(days=1), False)], [("r", 1, "z", "", "x", START + dt.timedelta(days=1, minutes=1), False)]]
-    made = run(spark, tmp_path, written(spark, tmp_path / "idle", files), live.live_roles, "idle", idle=60.0)
+    made = run(spark, tmp_path, written(spark, tmp_path / "idle", files), live.live_roles, "quiet", idle=60.0)
     assert [tuple(r)[:3] for r in made.filter("encounter_id = 'q' and final").collect()] == [("q", "a", "DOCTOR")]
 
 
