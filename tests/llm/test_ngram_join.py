@@ -55,7 +55,7 @@ def near_copies(rng):
     return [" ".join(d) for d in docs]
 
 
-@pytest.mark.parametrize(("size", "percent", "block_rows"), [(4, 85, 128), (1, 60, 3)])
+@pytest.mark.parametrize(("size", "percent", "block_rows"), [(4, 85, 128), (1, 60, 16)])
 def test_groups_and_pairs_against_all_pairs(spark, size, percent, block_rows):
     rng = random.Random(block_rows + size)
     rows = list(enumerate(near_copies(rng))) + [(10_000 + i, t) for i, t in enumerate(ODD * 2)]
