@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components, forest
+from .components import _contract, connected_components, forest
 from .minhash_dedup import Overlaps, _edges, _flat, _groups, _in_block_pairs, _set_hash, _small_slices, _spanning, cluster_members, confirmed_groups, shingle_sets
 from .store import drop_table, table, with_small_batches, write_table
 from .wordhash import as_list, release_memory
@@ -193,12 +193,16 @@ def _compared(percent: int):
 
         return _edges(_spanning(ids, part, np.ones(len(ids), bool), linked))
 
-    def run(batches):
+    def found(batches):
         for t, cuts in _whole_groups(batches, 3):
             small = np.diff(cuts) <= _SMALL
             yield from by_pairs(t, cuts, small)
             for g in np.flatnonzero(~small).tolist():
                 yield by_rows(t.slice(int(cuts[g]), int(cuts[g + 1] - cuts[g])))
+
+    def run(batches):
+        # Lists of one group find the same links again and again; a task gives each part's spanning edges once.
+        yield from _contract(found(batches))
         release_memory()
 
     return run
