@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellumflow.operators import dialogue as D
 from vellumflow.streaming import live
@@ -109,3 +110,20 @@ def test_roles_corrected_after_the_end_and_closed_when_idle(spark, tmp_path):
 def test_rows_without_key_or_time(spark, tmp_path, what):
     path = written(spark, tmp_path, [[(None, 1, "a", "DOCTOR", "Any pain?", START, False), ("x", 1, "a", "DOCTOR", "Any pain?", None, False)]])
     assert run(spark, tmp_path, path, what, "none").count() == 0
+
+
+@pytest.mark.parametrize("what", [live.live_roles, live.live_answers])
+def test_registered_streams_of_conversations_over_days(spark, what):
+    """More files than a trigger takes, and a conversation whose turns span more than a day."""
+    from vellumflow.plans.stored_queries import _streamed
+
+    said = F.when(F.col("utt_id") % 2 == 0, "Any fever? I prescribe 5 mg").otherwise("No, none at all")
+    turns = spark.range(3000).select(F.when(F.col("id") < 2900, "long").otherwise("short").alias("encounter_id"), (F.col("id") % 2900).alias("utt_id"))
+    turns = turns.select("*", F.when(F.col("utt_id") % 2 == 0, "DOCTOR").otherwise("PATIENT").alias("role"), F.concat(F.lit("s"), (F.col("utt_id") % 2).cast("string")).alias("speaker"), said.alias("text"))
+    rows = _streamed(spark, turns.repartitionByRange(70, F.desc("utt_id")), what, "update" if what is live.live_roles else "append")
+    assert rows.schema["trigger"].dataType.simpleString() == "int"
+    if what is live.live_roles:
+        last = rows.groupBy("encounter_id", "speaker").agg(F.max_by(F.struct("role", "turns"), "trigger").alias("r"))
+        assert sorted((r["encounter_id"], r["speaker"], *r["r"]) for r in last.collect()) == [("long", "s0", "DOCTOR", 1450), ("long", "s1", "PATIENT", 1450), ("short", "s0", "DOCTOR", 50), ("short", "s1", "PATIENT", 50)]
+    else:
+        assert answers(rows) == answers(D.question_answers(turns)) and rows.count() == 1500

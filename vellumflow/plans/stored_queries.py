@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.calls import call_once
 from ..operators.providers import Echo
@@ -25,9 +26,11 @@ def _streamed(spark: SparkSession, turns: DataFrame, what, mode: str) -> DataFra
     rows.write.parquet(path)
     ends.write.mode("append").parquet(path)
     out = new_path(spark, "live")
-    stream = what(read_stream(spark, path, live.TURN, per_trigger=64), late="1 day")
+    # As late as any turn may come: files of a long conversation are read in any order.
+    span = spark.read.schema(rows.schema).parquet(path).agg(F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).first()[0] or 0
+    stream = what(read_stream(spark, path, live.TURN, per_trigger=64), late=f"{span + 60} seconds")
     live.run(stream, f"{out}/rows", f"{out}/checkpoint", mode)
-    schema = stream.schema.add("trigger", "int")
+    schema = StructType([*stream.schema.fields, StructField("trigger", IntegerType())])
     return spark.read.schema(schema).parquet(f"{out}/rows") if names_in(spark, f"{out}/rows") else spark.createDataFrame([], schema)
 
 
