@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellumflow.operators import dialogue as D
@@ -279,3 +280,28 @@ def test_facts_pipeline(spark):
     r = P.facts(t, M.alias_table(spark)).first()
     assert r["chief_complaint"].startswith("I've been having a cough")
     assert {s["name_norm"] for s in r["symptoms"]} >= {"cough", "fever"} and r["meds"][0]["name_norm"] == "ibuprofen" and r["allergies"][0]["substance_surface"] == "penicillin"
+
+
+def test_links_in_blocks_equal_all_pairs(spark, monkeypatch):
+    """Groups over several blocks and places, copies whose ties go to the higher idx, claims that share an id, vectors of no use, and no pair of rows in the plan."""
+    import random
+
+    rng = random.Random(5)
+    vectors = [[rng.uniform(-1, 1) for _ in range(3)] for _ in range(40)]
+    rows = [("big" if i % 7 else "small", i, f"t{i % 300}", vectors[i % 40] if i % 11 else rng.choice([None, [], [1.0], [None, 1.0, 0.0], [float("nan"), 0.0, 1.0]])) for i in range(700)]
+    said = rows + [(None, 5000, "x", vectors[0])]
+    asked = [(g, i // 2 * 2 if i < 20 else i, t, v) for g, i, t, v in rows] + [(None, 900, "t", vectors[1]), ("alone", 901, "t", vectors[1])]
+    schema = "encounter_id string, {} int, text string, embedding array<float>"
+    claims, sentences = spark.createDataFrame(asked, schema.format("claim_id")), spark.createDataFrame(said, schema.format("idx"))
+    monkeypatch.setattr(V, "_CLAIMS", 100)
+    monkeypatch.setattr(V._in_group_blocks, "__defaults__", (32, 1 << 20))
+    got = V.link_claims(claims, sentences)
+    c = claims.select("encounter_id", "claim_id", F.col("text").alias("claim"), F.col("embedding").alias("_c"))
+    pairs = c.join(sentences.select("encounter_id", "idx", F.col("text").alias("sentence"), F.col("embedding").alias("_s")), "encounter_id").withColumn("score", F.round(V.dot("_c", "_s"), 6)).filter("score is not null")
+    best = Window.partitionBy("encounter_id", "claim_id").orderBy(F.desc("score"), F.desc("idx"))
+    want = pairs.withColumn("rank", F.row_number().over(best)).filter("rank <= 3 and score >= 0.3").select("encounter_id", "claim_id", "rank", "idx", F.col("score").cast("string"))
+    made = got.select("encounter_id", "claim_id", F.explode("evidence").alias("e")).select("encounter_id", "claim_id", "e.rank", "e.idx", F.col("e.score").cast("string"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())) and made.count() > 1800
+    assert got.count() == claims.select("encounter_id", "claim_id", "text").distinct().count()
+    assert {r["claim_id"] for r in got.filter("not has_sentences").collect()} == {900, 901}
+    assert "MapInArrow" in got._jdf.queryExecution().toString()

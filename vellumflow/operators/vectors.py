@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,15 +94,126 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, fetch: int | None =
     return ranked.select("query_id", "rank", "idx", "score")
 
 
+#: Claims of a group that go to one place, and places of a group at most.
+_CLAIMS, _PLACES = 2048, 16
+
+
+def _in_group_blocks(rows: int = 1024, size: int = 1 << 20):
+    """Rows: group, place, id, text, vector. Packs vectors of one group, place and length into blocks of at most so many rows and about so many bytes, in order of id."""
+
+    def run(batches):
+        for b in batches:
+            names = b.schema.names
+            b = b.append_column("_n", pc.list_value_length(b.column(4))).sort_by([(names[0], "ascending"), (names[1], "ascending"), ("_n", "ascending"), (names[2], "ascending")])
+            new = np.zeros(b.num_rows, bool)
+            new[:1] = True
+            for c in (0, 1, 5):
+                new[1:] |= pc.not_equal(b.column(c).slice(1), b.column(c).slice(0, max(0, b.num_rows - 1))).to_numpy(zero_copy_only=False)
+            ends = [*np.flatnonzero(new), b.num_rows]
+            step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+            for start, end in zip(ends, ends[1:], strict=False):
+                for i in range(start, end, step):
+                    part = b.slice(i, min(step, end - i))
+                    values = [part.column(2), part.column(3), part.column(4).flatten()]
+                    yield pa.record_batch([part.column(0).slice(0, 1), part.column(1).slice(0, 1), *[pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]], names[:5])
+
+    return run
+
+
+def _best_of_groups(k: int, digits: int):
+    """Rows: group, ids of claims, their texts and vectors, ids of sentences, their texts and vectors. The k best sentences of each claim of a block in the blocks that follow each other in rows with it."""
+    names = ["group", "claim_id", "claim", "idx", "sentence", "score"]
+
+    def rounded(x):
+        with np.errstate(invalid="ignore", over="ignore"):
+            return np.trunc(x * 10.0**digits + np.copysign(0.5, x)) / 10.0**digits + 0.0
+
+    def best(row, score, later):
+        """The places of the k best of each row, ties to the later; NaN is above all, as in Spark."""
+        nan = np.isnan(score)
+        order = np.lexsort((-later, -np.where(nan, np.inf, score), ~nan, row))
+        row = row[order]
+        return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+
+    def found(q, m):
+        """(row, place, score) of the k best of each row of q among m, by strips of rows."""
+        for i in range(0, len(q), 256):
+            score = q[i : i + 256] @ m.T
+            if score.shape[1] > k:
+                # The k-th best of the maxima of parts is not above the k-th best of all; rounding moves it by a unit at most.
+                n = min(score.shape[1], max(k, 64))
+                most = np.fmax.reduceat(score, np.linspace(0, score.shape[1], n, endpoint=False).astype(int), axis=1)
+                floor = np.partition(np.where(np.isnan(most), -np.inf, most), n - k, axis=1)[:, n - k] - 2 * 10.0**-digits
+                row, at = np.nonzero(~(score < floor[:, None]))
+            else:
+                row, at = (x.ravel() for x in np.indices(score.shape))
+            value = rounded(score[row, at])
+            use = best(row, value, at)
+            yield row[use] + i, at[use], value[use]
+
+    def run(batches):
+        # The block of claims at hand, as columns and as vectors, and its best: row, score, idx, sentence.
+        block, q, held = None, None, None
+
+        def given():
+            row, score, idx, sentence = held
+            group, ids, texts, _ = block
+            return pa.record_batch([pa.array([group.as_py()] * len(row), group.type), ids.take(pa.array(row)), texts.take(pa.array(row)), idx, sentence, pa.array(score)], names)
+
+        for b in batches:
+            for r in range(b.num_rows):
+                now = (b.column(0)[r], *(b.column(c)[r].values for c in (1, 2, 3)))
+                ids, texts, m = (b.column(c)[r].values for c in (4, 5, 6))
+                if block is None or not all(x.equals(y) for x, y in zip(block, now, strict=True)):
+                    if held is not None:
+                        yield given()
+                    block, held = now, None
+                    q = now[3].to_numpy(zero_copy_only=False).astype(float).reshape(len(now[1]), -1) if len(now[3]) else np.zeros((len(now[1]), 0))
+                m = m.to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1) if len(m) else np.zeros((len(ids), 0))
+                if q.shape[1] != m.shape[1]:
+                    continue
+                row, at, score = (np.concatenate(x) for x in zip(*found(q, m), strict=True))
+                idx, sentence = ids.take(pa.array(at)), texts.take(pa.array(at))
+                if held is not None:
+                    row, score = np.concatenate([held[0], row]), np.concatenate([held[1], score])
+                    idx, sentence = pa.concat_arrays([held[2], idx]), pa.concat_arrays([held[3], sentence])
+                    use = best(row, score, pc.rank(idx, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64))
+                    row, score, idx, sentence = row[use], score[use], idx.take(pa.array(use)), sentence.take(pa.array(use))
+                held = (row, score, idx, sentence)
+        if held is not None:
+            yield given()
+
+    return run
+
+
 def link_claims(claims: DataFrame, sentences: DataFrame, group: str = "encounter_id", k: int = 3, least: float = 0.3, digits: int = 6) -> DataFrame:
-    """(group, claim_id, evidence): each claim's up to k most similar sentences of its group, ties to the higher idx; claims without any stay."""
-    pairs = claims.select(group, "claim_id", F.col("text").alias("claim"), F.col("embedding").alias("_c")).join(sentences.select(group, "idx", F.col("text").alias("sentence"), F.col("embedding").alias("_s")), group, "left")
-    scored = pairs.withColumn("score", F.round(dot("_c", "_s"), digits)).drop("_c", "_s")
-    order = Window.partitionBy(group, "claim_id").orderBy(F.desc("score"), F.desc("idx"))
-    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    hit = F.when(F.col("score") >= least, F.struct("rank", "idx", "score", "sentence"))
-    out = top.groupBy(group, "claim_id", "claim").agg(F.array_sort(F.collect_list(hit)).alias("evidence"), F.max("idx").isNotNull().alias("has_sentences"))
-    return out
+    """(group, claim_id, claim, evidence, has_sentences): each claim's up to k most similar sentences of its group, ties to the higher idx; claims without any stay.
+
+    Vectors go in blocks, each block of claims against all blocks of its group's sentences; claims of a large group are dealt to several
+    places, to which its sentences are copied. Vectors that are null or hold nulls, and pairs of other lengths, have no similarity.
+    """
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    whole = F.forall("embedding", lambda x: x.isNotNull()) & F.col(group).isNotNull()
+    places = claims.filter(whole).groupBy(group).agg(F.least(F.lit(_PLACES), F.ceil(F.count("*") / _CLAIMS)).cast("int").alias("_places"))
+    asked = claims.filter(whole).join(places, group).select(F.col(group).alias("group"), F.pmod(F.xxhash64("claim_id"), "_places").cast("int").alias("place"), "claim_id", F.col("text").alias("claim"), F.col("embedding").alias("_c"))
+    told = sentences.filter(whole).join(places, group).select(F.col(group).alias("group"), F.explode(F.sequence(F.lit(0), F.col("_places") - 1)).alias("place"), "idx", F.col("text").alias("sentence"), F.col("embedding").alias("_s"))
+
+    def blocks(df: DataFrame) -> DataFrame:
+        a, b, c = df.columns[2:]
+        rows = df.repartition("group", "place").sortWithinPartitions("group", "place")
+        return rows.mapInArrow(_in_group_blocks(), f"group {kind(df, 'group')}, place int, {a} array<{kind(df, a)}>, {b} array<{kind(df, b)}>, {c} {kind(df, c)}")
+
+    pairs = blocks(asked).join(blocks(told).hint("shuffle_merge"), ["group", "place"]).select("group", "claim_id", "claim", "_c", "idx", "sentence", "_s")
+    hits = pairs.mapInArrow(_best_of_groups(k, digits), f"group {kind(claims, group)}, claim_id {kind(claims, 'claim_id')}, claim {kind(claims, 'text')}, idx {kind(sentences, 'idx')}, sentence {kind(sentences, 'text')}, score double")
+    order = Window.partitionBy("group", "claim_id").orderBy(F.desc("score"), F.desc("idx"))
+    top = hits.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.col("score") >= least))
+    top = top.groupBy(F.col("group").alias("_g"), F.col("claim_id").alias("_i"), F.col("claim").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "score", "sentence"))).alias("evidence"))
+    all_claims = claims.select(group, "claim_id", F.col("text").alias("claim")).distinct()
+    some = sentences.filter("idx is not null").select(F.col(group).alias("_g")).distinct().withColumn("has", F.lit(True))
+    out = all_claims.join(top, F.col(group).eqNullSafe(F.col("_g")) & F.col("claim_id").eqNullSafe(F.col("_i")) & F.col("claim").eqNullSafe(F.col("_t")), "left").drop("_g", "_i", "_t")
+    none = F.array().cast(top.schema["evidence"].dataType)
+    out = out.join(some, F.col(group) == F.col("_g"), "left")
+    return out.select(group, "claim_id", "claim", F.coalesce("evidence", none).alias("evidence"), F.coalesce("has", F.lit(False)).alias("has_sentences"))
 
 
 # Words that negate.
