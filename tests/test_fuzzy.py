@@ -80,3 +80,17 @@ def test_near_words_of_small_tables(spark, tmp_path):
         if -score >= 92:
             want.add((name, alias, str(sum(alias in split(t) for _, t in docs)), int(-score)))
     assert {tuple(r) for r in QUERIES["near_words"](spark, str(tmp_path)).collect()} == want and len(want) > 15 and any(r[3] < 100 for r in want)
+
+
+def test_short_words_meet_only_near_ones(spark):
+    """Words of the same few syllables share most of their tokens; by deletions hardly a pair is compared that isn't near enough."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice(("lor", "mis", "tan", "ver", "quo", "be", "di")) for _ in range(rng.randrange(2, 8))) for _ in range(300)})
+    measure = fuzzy.indel(92.0, M.indel_similarity)
+    assert measure.short == 20 and fuzzy.indel(30.0, M.indel_similarity).short == 0 and fuzzy.indel(100.0, M.indel_similarity).short == 64
+    left = sorted({w[:i] + rng.choice(("", "x", "lo")) + w[i + 1 :] for w in words[::3] for i in (rng.randrange(len(w)),)})
+    a, b = (spark.createDataFrame([(w,) for w in ws], "s string") for ws in (left, words))
+    want = {(x, y) for x in left for y in words if abs(len(x) - len(y)) < 5 and 200 * lcs(x, y) >= 92 * (len(x) + len(y)) - 1e-9}
+    short = {p for p in want if max(map(len, p)) <= 20}
+    pairs = sorted(tuple(r) for r in fuzzy._by_deletions(*[df.filter("length(s) <= 20") for df in (a, b)], measure).collect())
+    assert pairs == sorted(short) and len(short) > 20

@@ -21,6 +21,7 @@ from ..operators import merge as M
 from ..operators import notes as N
 from ..operators import rubric as R
 from ..operators import vectors as V
+from ..sources.shared import write_table
 from ..streaming import events as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,7 +193,9 @@ def near_words(spark, sf_dir):
     """Each distinct word of the conversations with its nearest word of the documents, at Indel similarity 92 or more; rxcui tells in how many documents that stands."""
     split = lambda name: F.explode(F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}]+"), ""))).alias("name")
     known = read(spark, sf_dir, "documents").select("doc_id", split("text")).groupBy("name").agg(F.count("*").cast("string").alias("rxcui")).withColumn("generic", F.col("name"))
-    return M.near_aliases(read(spark, sf_dir, "conversations").select(split("text")), known).select("name", "alias", "rxcui", "score")
+    # Each is used several times.
+    known, names = write_table(known, "words"), write_table(read(spark, sf_dir, "conversations").select(split("text")).distinct(), "words")
+    return M.near_aliases(names, known).select("name", "alias", "rxcui", "score")
 
 
 @query(r"""SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(c_name || ' / ' || c_mktsegment)), '[\s\-/]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS name FROM customer""")
