@@ -29,10 +29,8 @@ def lookup(c: Column, table: Mapping[str, str]) -> Column:
 
 def by_group(c: Column, groups: Mapping[str, Sequence[str]], default: Column) -> Column:
     """The name of the group that holds the value."""
-    out = default
-    for name, values in reversed(list(groups.items())):
-        out = F.when(c.isin(*values), F.lit(name)).otherwise(out)
-    return out
+    # A map, so that c is worked out once; of groups that share a value the first holds.
+    return F.coalesce(lookup(c, {value: name for name, values in reversed(list(groups.items())) for value in values}), default)
 
 
 def contains_any(c: Column, words: Sequence[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,22 +22,23 @@ def first_balanced(text: str | None, opening: str = "{", closing: str = "}") ->
     t = t[4:].lstrip() if t.startswith("json") else t
     start = t.find(opening)
     depth = 0
-    for i in range(start, len(t)) if start >= 0 else ():
-        depth += (t[i] == opening) - (t[i] == closing)
+    # From bracket to bracket, not by characters.
+    for m in re.finditer(f"[{re.escape(opening + closing)}]", t[start:]) if start >= 0 else ():
+        depth += 1 if m[0] == opening else -1
         if depth == 0:
-            return t[start : i + 1]
+            return t[start : start + m.end()]
     return None
 
 
 def repaired(text: str | None) -> str | None:
     """Drops commas before closing brackets and escapes control characters inside strings."""
-    import re
-
     if text is None:
         return None
     names = {"\t": "\\t", "\n": "\\n", "\r": "\\r"}
     inside = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S)
     bare = re.sub(r",\s*([}\]])", r"\1", text)
+    if not re.search(r"[\x00-\x1f]", bare):
+        return bare
     return inside.sub(lambda m: re.sub(r"[\x00-\x1f]", lambda c: names.get(c[0], f"\\u{ord(c[0]):04x}"), m[0]), bare)
 
 
@@ -61,9 +64,11 @@ def outermost(c: Column) -> Column:
 
 def reply_content(c: Column) -> Column:
     """The text of a reply that is text itself or JSON of one of the usual shapes."""
-    v = F.try_parse_json(c)
+    # Only what begins as an object or array is parsed, and once: a text that is no JSON costs an exception each time.
+    v = F.array(F.try_parse_json(F.when(c.rlike(r"^\s*[{\[]"), c)))
     paths = ("$.message.content", "$.choices[0].message.content", "$.content", "$.response", "$.text", "$[0].content")
-    return F.coalesce(*[F.try_variant_get(v, p, "string") for p in paths], c)
+    named = F.transform(v, lambda x: F.coalesce(*[F.try_variant_get(x, p, "string") for p in paths]))
+    return F.coalesce(F.get(named, F.lit(0)), c)
 
 
 PLAN = """differential array<struct<condition:string,likelihood:string,rationale:string,evidence_ids:array<string>>>, red_flags array<struct<description:string,risk_level:string,evidence_ids:array<string>>>,

@@ -99,8 +99,9 @@ def is_json(reply: str) -> bool:
 
 def parsed(df: DataFrame, reply: str = "reply", name: str = "parsed") -> DataFrame:
     """df with the reply's object as a variant; null if there is none."""
-    text = J.reply_content(F.col(reply))
-    return df.withColumn(name, Y.first_object(J.json_repair(F.coalesce(J.json_block(text), Y.unfenced(text)))))
+    text = F.col("_text")
+    rows = df.withColumn("_text", J.reply_content(F.col(reply)))
+    return rows.withColumn(name, Y.first_object(J.json_repair(F.coalesce(J.json_block(text), Y.unfenced(text))))).drop("_text")
 
 
 @dataclass(frozen=True)

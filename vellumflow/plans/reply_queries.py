@@ -46,7 +46,9 @@ def note_replies(spark, sf_dir):
         '"diagnoses": ["', brand, '", {"condition": "', name, ' of a rather long kind", "status": "ruled_out"}, {"condition": ""}, ""],',
         '"plan_items": ["", "', name, '", {"category": "test", "description": "', kind, '"}, {"description": "rest"}], "exam_findings": [{"system": "Left Lung", "finding": "clear"}, {"system": "x"}],}\n```',
     )
-    out = Y.note_facts(S.parsed(read(spark, sf_dir, "part").select("p_partkey", reply.alias("reply"))))
+    # Replies are many times as long as the rows that they are put together from, which fill few splits.
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size").repartition("p_partkey")
+    out = Y.note_facts(S.parsed(rows.select("p_partkey", reply.alias("reply"))))
     return out.select(
         "p_partkey", "chief_complaint", _flat("symptoms", "name_surface", "name_norm", "assertion", "duration").alias("symptoms"), _flat("meds", "name_surface", "dose", "freq", "assertion").alias("meds"), _flat("allergies", "substance_surface", "substance_norm", "assertion").alias("allergies"),
         _flat("vitals", "kind", "value").alias("vitals"), F.array_join("risk_factors", ";").alias("risk_factors"), _flat("qa", "concept", "value", "assertion").alias("qa"),
