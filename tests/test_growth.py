@@ -1,5 +1,7 @@
 """Work that has to be done once for each row, whatever it is used for."""
 
+from pyspark.sql import functions as F
+
 from vellumflow.operators import replies as Y
 from vellumflow.operators import stages as S
 
@@ -14,3 +16,10 @@ def test_note_replies_are_parsed_once(spark):
     assert plan(df).count("parseJson") == 2  # that of a reply's shape and that of its object
     facts = {r["chief_complaint"]: [tuple(q) for q in r["qa"]] for r in Y.note_facts(df).collect()}
     assert facts == {None: [("diagnosis_a", "a", "present"), ("diagnosis_b", "b (ruled_out)", "absent")], "x": []}
+
+
+def test_extraction_replies_are_parsed_once(spark):
+    df = spark.createDataFrame([('[[{"demographics": {"sex": "Woman", "age": 30}}]]',), ("[[[[{}]]]]",), ("[]",)], "reply string").select(Y.first_object(F.col("reply")).alias("parsed"))
+    assert plan(df).count("parseJson") == 1
+    facts = Y.extraction_facts(df)
+    assert plan(facts).count("schemaOfVariant") < 40 and [r["demographics"] for r in facts.collect()] == [{"age": "30", "sex": "female"}, {}, {}]

@@ -68,8 +68,8 @@ def extraction_replies(spark, sf_dir):
         '"symptoms": [{"name": "Pain", "character": "sharp", "location": "left", "relieving_factors": ""}], "review_of_systems": {"a": ["denies_chest_tightness", "pain", ""], "b": "none", "c": ["fever", "chest tightness", 4]},',
         '"social_history": {"smoking": {"status": "former", "details": "', F.col("c_nationkey").cast("string"), ' years"}, "alcohol": {"status": "current"}, "drugs": "', F.col("c_name"), '"}, "past_medical_history": ["Type 2", ""], "family_history": ["', F.col("c_mktsegment"), '", {}]}]]',
     )
-    out = read(spark, sf_dir, "customer").select("c_custkey", Y.first_object(reply).alias("parsed"))
-    out = Y.extraction_facts(out)
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").repartition("c_custkey")
+    out = Y.extraction_facts(rows.select("c_custkey", Y.first_object(reply).alias("parsed")))
     symptoms = F.transform("symptoms", lambda x: F.struct(F.lower(x["name_surface"]).alias("a"), x["name_norm"].alias("b"), x["assertion"].alias("c"), F.array_join(x["modifiers"], ",").alias("d")))
     return out.withColumn("symptoms", symptoms).select(
         "c_custkey", "chief_complaint", F.col("demographics.age").alias("age"), F.col("demographics.sex").alias("sex"), F.col("demographics.race_ethnicity").alias("race"), _flat("symptoms", "a", "b", "c", "d").alias("symptoms"), F.array_join("risk_factors", ";").alias("risk_factors"), _flat("qa", "concept", "value").alias("qa")
