@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vellumflow.functions import text as T
 from vellumflow.operators import replies as Y
 from vellumflow.operators import stages as S
 
@@ -23,3 +24,10 @@ def test_extraction_replies_are_parsed_once(spark):
     assert plan(df).count("parseJson") == 1
     facts = Y.extraction_facts(df)
     assert plan(facts).count("schemaOfVariant") < 40 and [r["demographics"] for r in facts.collect()] == [{"age": "30", "sex": "female"}, {}, {}]
+
+
+def test_sentence_is_split_once(spark):
+    words = [str(i) for i in range(2000)]
+    df = spark.createDataFrame([(" " + " ".join(words) + " ",)], "s string").repartition(1).select(T.pieces(F.col("s"), 12).alias("p"))
+    assert plan(df).count("split(") == 1
+    assert df.first()["p"] == [" ".join(words[i : i + 12]) for i in range(0, 2000, 12)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ def any_of(patterns: Sequence[str]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """of(c), with c worked out once however often `of` uses it: as a column it would be put in each time."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Removes white space at both ends (all of it, not only spaces)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -209,5 +214,5 @@ def sentences(c: Column) -> Column:
 
 def pieces(c: Column, most: int = 120) -> Column:
     """A sentence cut into runs of at most `most` words."""
-    words = F.split(strip(c), r"\s+")
-    return F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(most)), lambda i: F.array_join(F.slice(words, i + 1, F.lit(most)), " "))
+    cut = lambda words: F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(most)), lambda i: F.array_join(F.slice(words, i + 1, F.lit(most)), " "))
+    return once(F.split(strip(c), r"\s+"), cut)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import once
 from . import jsonout as J
 from . import rubric as R
 
@@ -56,11 +57,6 @@ def unfenced(c: Column) -> Column:
     return F.when(t.startswith("```"), F.regexp_replace(F.regexp_replace(t, r"^[^\n]*\n?", ""), r"\n?[ \t]*```[ \t]*$", "")).otherwise(t)
 
 
-def once(c: Column, of: Callable[[Column], Column]) -> Column:
-    """of(c), with c worked out once however often `of` uses it: as a column it would be put in each time."""
-    return F.get(F.transform(F.array(c), of), F.lit(0))
-
-
 def kind(v: Column) -> Column:
     """STRING, OBJECT<...>, ARRAY<...>, ... of a variant. It reads all of it, so objects are told by is_object()."""
     return F.schema_of_variant(v)
