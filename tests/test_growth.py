@@ -1,8 +1,12 @@
 """Work that has to be done once for each row, whatever it is used for."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as T
+from vellumflow.operators import documents as C
 from vellumflow.operators import replies as Y
 from vellumflow.operators import stages as S
 
@@ -31,3 +35,19 @@ def test_sentence_is_split_once(spark):
     df = spark.createDataFrame([(" " + " ".join(words) + " ",)], "s string").repartition(1).select(T.pieces(F.col("s"), 12).alias("p"))
     assert plan(df).count("split(") == 1
     assert df.first()["p"] == [" ".join(words[i : i + 12]) for i in range(0, 2000, 12)]
+
+
+@pytest.mark.parametrize("keep_short", [False, True])
+def test_fold_gets_numbers_only(spark, keep_short):
+    """The texts of a document don't pass through Python workers, and chunks are as by the fold over texts."""
+    plain = random.Random(5)
+    rows = [(d, p, plain.choice(["A", "A", "B", "", None]), " ".join(plain.choice(["a", "b.", " ", " c", "d!"]) for _ in range(plain.randint(0, 40)))) for d in range(30) for p in range(6)]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, heading_path string, text string")
+    got = C.chunks(df, most=12, least=5, piece_words=4, keep_short=keep_short, untitled="none")
+    cut = df.select("doc_id", "pos", "heading_path", F.flatten(F.transform(T.sentences(F.col("text")), lambda s: T.pieces(s, 4))).alias("ps")).select("doc_id", "pos", "heading_path", F.posexplode("ps").alias("n", "p"))
+    items = {}
+    for r in cut.select("*", T.n_words(F.col("p")).alias("words")).orderBy("doc_id", "pos", "n").collect():
+        items.setdefault(r["doc_id"], []).append((r["heading_path"], r["p"], r["words"]))
+    want = {(d, n, path or "none", text) for d, held in items.items() for n, (path, text) in enumerate(C.fold_chunks(held, 12, 5, True, keep_short))}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 60
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()

@@ -24,6 +24,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def strip_unicode(c: Column) -> Column:
+    """strip(), of all that Unicode has for white space."""
+    blank = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
+    return F.regexp_replace(c, rf"^{blank}|{blank}\z", "")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(strip(c) != "", c)
 

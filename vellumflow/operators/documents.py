@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,59 +113,72 @@ def filter_items(items: DataFrame, key: str = "doc_id", pos: str = "pos") -> Dat
     return rows.withColumn("_e", early).filter(~F.col("_e") & ~(F.col("_b") & (F.col("_n") < 100)) & (T.letter_share(F.col("text")) >= 0.4)).drop("_n", "_b", "_e")
 
 
-def fold_chunks(items, most: int, least: int, overlap: bool, keep_short: bool):
-    """Chunks of (heading, piece, words) in order. A chunk closes at `most` words or a new heading and hands its last piece on; one of under `least` words joins the chunk before. keep_short: it then also stays in hand, so its text comes again."""
-    out: list[list] = []
-    held: list[str] = []
-    size, heading = 0, None
+def fold_places(sizes, turns, most: int, least: int, overlap: bool, keep_short: bool):
+    """Chunks of pieces in order, by their words (sizes) and whether their heading differs from that before (turns): lists of [place whose heading holds] and runs of places. A chunk closes at `most` words or a new heading and hands its last piece on; one of under `least` words joins the chunk before. keep_short: it then also stays in hand, so its text comes again."""
+    out: list[list[list[int]]] = []
+    held: list[int] = []
+    size = 0
 
-    def close() -> None:
+    def close(last: int) -> None:
         nonlocal held, size
         if not held:
             return
-        text = " ".join(held).strip()
         if size < least and out:
-            out[-1][1] = f"{out[-1][1]} {text}".strip()
+            out[-1].append(list(held))
             if keep_short:
                 return
         else:
-            out.append([heading, text])
+            out.append([[last], held])
         held, size = [], 0
 
-    for path, piece, n in items:
-        if path != heading:
-            close()
-        heading = path
-        held.append(piece)
+    i = -1
+    for i, (n, turn) in enumerate(zip(sizes, turns, strict=True)):
+        if turn:
+            close(i - 1)
+        held.append(i)
         size += n
         if size >= most:
-            close()
+            close(i)
             if overlap:
-                held.append(piece)
+                held.append(i)
                 size += n
-    close()
+    close(i)
     return out
 
 
+def fold_chunks(items, most: int, least: int, overlap: bool, keep_short: bool):
+    """(heading, text) of fold_places() for (heading, piece, words) in order."""
+    items = list(items)
+    turns = [i > 0 and path != items[i - 1][0] for i, (path, _, _) in enumerate(items)]
+    made = fold_places([n for _, _, n in items], turns, most, least, overlap, keep_short)
+    texts = [[" ".join(items[i][1] for i in run).strip() for run in runs] for _, *runs in made]
+    return [[items[at][0], " ".join(t for t in ts if t)] for ((at,), *_), ts in zip(made, texts, strict=True)]
+
+
 def chunks(items: DataFrame, key: str = "doc_id", pos: str = "pos", most: int = 500, least: int = 180, overlap: bool = True, piece_words: int | None = 120, keep_short: bool = False, untitled: str | None = None) -> DataFrame:
-    """(key, position, heading_path, text): chunks of each document's items (heading_path, text) in order. Sentences are pieces, cut at piece_words. Each document is one row to the fold, which needs its own pieces only."""
+    """(key, position, heading_path, text): chunks of each document's items (heading_path, text) in order. Sentences are pieces, cut at piece_words. Each document is one row; the fold gets the numbers of its pieces' words, the texts stay in the JVM."""
     cut = F.flatten(F.transform(T.sentences(F.col("text")), lambda s: T.pieces(s, piece_words))) if piece_words else T.sentences(F.col("text"))
     path = F.col("heading_path") if "heading_path" in items.columns else F.lit(None).cast("string")
-    rows = items.select(key, F.struct(F.col(pos).alias("pos"), path.alias("path"), F.transform(cut, lambda p: F.struct(p.alias("piece"), T.n_words(p).alias("n"))).alias("pieces")).alias("i"))
+    rows = items.select(key, F.struct(F.col(pos).alias("pos"), path.alias("path"), cut.alias("pieces")).alias("i"))
     docs = rows.groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("items"))
-    kind = items.schema[key].dataType.simpleString()
+    flat = F.flatten(F.transform("items", lambda i: F.transform(i["pieces"], lambda p: F.struct(i["path"].alias("path"), p.alias("piece")))))
+    docs = docs.select(key, flat.alias("flat"))
+
+    @F.pandas_udf("array<array<array<int>>>")
+    def folded(sizes: pd.Series, turns: pd.Series) -> pd.Series:
+        return pd.Series([fold_places(n.tolist(), t.tolist(), most, least, overlap, keep_short) for n, t in zip(sizes, turns, strict=True)])
 
-    def run(frames):
-        import pandas as pd
+    heading = lambda x, i: (i > 0) & ~x["path"].eqNullSafe(F.get(F.col("flat"), i - 1)["path"])
+    made = docs.withColumn("made", folded(F.transform("flat", lambda x: F.size(F.split(x["piece"], r"\s+"))), F.transform("flat", heading)))
+    joined = lambda run: T.strip_unicode(F.array_join(F.transform(run, lambda i: F.get(F.col("flat"), i)["piece"]), " "))
 
-        for frame in frames:
-            made = []
-            for k, parts in zip(frame[key], frame["items"], strict=True):
-                flat = [(i["path"], p["piece"], p["n"]) for i in parts for p in i["pieces"]]
-                made += [(k, n, path or untitled, text) for n, (path, text) in enumerate(fold_chunks(flat, most, least, overlap, keep_short))]
-            yield pd.DataFrame(made, columns=[key, "position", "heading_path", "text"])
+    def chunk(c: Column) -> Column:
+        texts = F.filter(F.transform(F.slice(c, F.lit(2), F.size(c) - 1), joined), lambda t: t != "")
+        return F.struct(F.coalesce(F.nullif(F.get(F.col("flat"), F.get(F.get(c, F.lit(0)), F.lit(0)))["path"], F.lit("")), F.lit(untitled)).alias("heading_path"), F.array_join(texts, " ").alias("text"))
 
-    return docs.mapInPandas(run, f"{key} {kind}, position int, heading_path string, text string")
+    # The texts are made before rows are, so that no row takes the whole document along.
+    out = made.select(key, F.transform("made", chunk).alias("c")).select(key, F.posexplode("c").alias("position", "c"))
+    return out.select(key, "position", "c.heading_path", "c.text")
 
 
 def keeps_chunk(c: Column) -> Column:
