@@ -1,6 +1,7 @@
 """Work that has to be done once for each row, whatever it is used for."""
 
 import random
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from vellumflow.functions import text as T
 from vellumflow.operators import documents as C
 from vellumflow.operators import replies as Y
 from vellumflow.operators import stages as S
+from vellumflow.sources import ingest as I
 
 
 def plan(df):
@@ -51,3 +53,21 @@ def test_fold_gets_numbers_only(spark, keep_short):
     want = {(d, n, path or "none", text) for d, held in items.items() for n, (path, text) in enumerate(C.fold_chunks(held, 12, 5, True, keep_short))}
     assert {tuple(r) for r in got.collect()} == want and len(want) > 60
     assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ingest_shuffles_no_contents(spark, tmp_path, monkeypatch):
+    """Chunks are read without their texts where these aren't asked for; a first ingest parses its sources as they are."""
+    df = spark.createDataFrame([("a", 1, "x\ny"), ("b", 1, "z")], "path string, stamp int, content string")
+    plans = []
+
+    def lines(rows):
+        plans.append(plan(rows))
+        return rows.select("path", F.posexplode(F.split("content", "\n")).alias("position", "text"))
+
+    store = str(tmp_path / "store")
+    I.ingest(df, store, lines)
+    I.ingest(df.filter("path = 'b'").withColumn("stamp", F.lit(2)).withColumn("content", F.lit("new")).union(df.filter("path = 'a'")), store, lines)
+    assert "Join" not in plans[0] and "rightHint=(strategy=broadcast)" in plans[1]
+    got = I.read_chunks(spark, store, columns=("position", F.md5("text").alias("digest")))
+    assert "md5" in plan(got).split("Join")[1] and got.columns == ["path", "position", "digest", "sha256"]
+    assert sorted(r["digest"] for r in got.collect()) == sorted(md5(t.encode()).hexdigest() for t in ("x", "y", "new"))

@@ -63,7 +63,8 @@ def incremental_chunks(spark, sf_dir):
     held = I.ingest(now, store, lines)
     if I.ingest(now, store, lines) != held:
         raise AssertionError("an ingest of what is there has written something")
-    return I.read_chunks(spark, store).select(F.col("path").cast("long").alias("doc_id"), "position", F.md5("text").alias("digest"))
+    rows = I.read_chunks(spark, store, columns=("position", F.md5("text").alias("digest")))
+    return rows.select(F.col("path").cast("long").alias("doc_id"), "position", "digest")
 
 
 @query("SELECT conv_id, turn, '[m] ' || substr('Say: ' || text, 1, 100) AS reply, CAST(1 AS INTEGER) AS attempts FROM conversations")

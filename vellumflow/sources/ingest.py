@@ -19,16 +19,20 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sizes import broadcast_if_small
 from .shared import create_file, delete, names_in, read_file
 
 MANIFEST = "path string, stamp string, sha256 string, data string, n_chunks long"
 
+# Bytes of the paths of changed sources that are sent to all tasks.
+MOST_BROADCAST = 64 << 20
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -60,15 +64,17 @@ def manifest(spark: SparkSession, store: str, of: Snapshot | None) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{store}/manifests/{of.manifest}")
 
 
-def read_chunks(spark: SparkSession, store: str, number: int | None = None) -> DataFrame:
-    """A snapshot's chunks: path and what the parser gave, and sha256 of the source. Data folders that it doesn't refer to are not read."""
+def read_chunks(spark: SparkSession, store: str, number: int | None = None, columns: Sequence[Column | str] = ("*",)) -> DataFrame:
+    """A snapshot's chunks: path and what the parser gave (or columns of that), and sha256 of the source. Data folders that it doesn't refer to are not read. Columns are worked out before the chunks meet the manifest, so texts that aren't asked for aren't shuffled."""
     at = snapshot(spark, store, number)
     if at is None:
         raise ValueError(f"no such snapshot in {store}")
     rows = manifest(spark, store, at).select("path", "sha256", "data")
     folders = [f"{store}/chunks/data={d}" for d in at.data]
     chunks = spark.read.option("basePath", f"{store}/chunks").option("mergeSchema", len(folders) > 1).parquet(*folders)
-    return chunks.withColumn("data", F.col("data").cast("string")).join(rows, ["path", "data"]).drop("data")
+    held = chunks.withColumn("data", F.col("data").cast("string"))
+    held = held if tuple(columns) == ("*",) else held.select("path", "data", *columns)
+    return held.join(rows, ["path", "data"]).drop("data")
 
 
 def _commit(spark: SparkSession, store: str, after: Snapshot | None, rows: DataFrame) -> Snapshot:
@@ -111,7 +117,9 @@ def ingest(sources: DataFrame, store: str, parse: Callable[[DataFrame], DataFram
         same = hashed.filter("known and sha256 = old_sha256").select("path", "stamp").join(known.drop("stamp"), "path")
         rows = rows.unionByName(same)
         if n_new:
-            found = parse(sources.join(changed.select("path"), "path", "left_semi"))
+            # Contents are shuffled only if some sources, but too many to be broadcast, have changed.
+            every = n_new == listed.count()
+            found = parse(sources if every else sources.join(broadcast_if_small(changed.select("path"), MOST_BROADCAST), "path", "left_semi"))
             found.write.parquet(f"{store}/chunks/data={data}")
             counts = spark.read.schema(found.schema).parquet(f"{store}/chunks/data={data}").groupBy("path").agg(F.count("*").alias("n_chunks"))
             fresh = changed.select("path", "stamp", "sha256", F.lit(data).alias("data")).join(counts, "path", "left")
