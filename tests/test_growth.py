@@ -71,3 +71,23 @@ def test_ingest_shuffles_no_contents(spark, tmp_path, monkeypatch):
     got = I.read_chunks(spark, store, columns=("position", F.md5("text").alias("digest")))
     assert "md5" in plan(got).split("Join")[1] and got.columns == ["path", "position", "digest", "sha256"]
     assert sorted(r["digest"] for r in got.collect()) == sorted(md5(t.encode()).hexdigest() for t in ("x", "y", "new"))
+
+
+def test_citations_parse_a_reply_once(spark):
+    """Items and citations of a reply come from one reading of it; chunks that were retrieved twice are cited once, and citations name what they are for."""
+    good = '{"verdict": "good", "diagnosis_evaluations": [7, {"diagnosis": "x", "coherence_with_evidence": 0.2, "guideline_support": ["a", 5, "none", "b"], "concerns": ["c", 1]}, {"diagnosis": {}, "reasoning": 3}], "missed_differentials": [{"condition": "y", "is_red_flag": true, "guideline_evidence": ["b"]}, null]}'
+    checks = '{"verdict": "safe", "guideline_checks": [[], {"plan_item": "p", "item_type": "referral", "guideline_citations": ["a", 1]}], "safety_checks": [{"status": "fail", "related_items": ["q", 2]}, 5]}'
+    rows = [(1, good), (2, good.replace("good", "great")), (3, None), (4, checks), (5, '{"diagnosis_evaluations": {"diagnosis": "z"}, "missed_differentials": 3}')]
+    df = spark.createDataFrame(rows, "encounter_id int, t string").select("encounter_id", F.try_parse_json("t").alias("parsed"))
+    told = [(e, i, "T" + i, "h", "text", 0.5) for e in (1, 1, 2, 4) for i in ("a", "b", "5")]
+    chunks = spark.createDataFrame(told, "encounter_id int, evidence_id string, title string, heading_path string, text string, score double")
+    _, items, cited = Y.assessment_quality(df.filter("encounter_id != 4"), chunks)
+    assert plan(items).count("parseJson") == plan(cited).count("parseJson") == 1
+    assert cited._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2  # of the chunks and of what asks for them
+    assert sorted(tuple(r)[1:] for r in items.collect()) == [("diagnosis", 0, "x", 0.2, "", False, ["c"]), ("diagnosis", 1, "{}", 0.5, "3", False, []), ("missed", 0, "y", None, "", True, [])]
+    assert sorted((r["encounter_id"], r["part"], r["n"], r["k"], r["evidence_id"], r["guideline_name"], r["name"]) for r in cited.collect()) == [(1, "diagnosis", 0, 0, "a", "Ta", "x"), (1, "diagnosis", 0, 2, "b", "Tb", "x"), (1, "missed", 0, 0, "b", "Tb", "y")]
+    _, made, safety, cited = Y.plan_quality(df, chunks)
+    assert [plan(x).count("parseJson") for x in (made, safety, cited)] == [1, 1, 1]
+    assert [tuple(r)[2:] for r in made.collect()] == [(0, "p", "referral", "uncertain", None)]
+    assert [tuple(r)[1:] for r in safety.collect()] == [(0, "other", "fail", "", ["q"], "moderate")]
+    assert [(r["evidence_id"], r["plan_item"]) for r in cited.collect()] == [("a", "p")]

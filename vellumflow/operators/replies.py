@@ -125,8 +125,20 @@ def entries_at(v: Column, name: str, *fields: str) -> Column:
     return F.coalesce(F.filter(at(v, name, entries), lambda x: x.isNotNull()), F.array().cast(entries))
 
 
+def typed_at(v: Column, name: str, fields: Mapping[str, str]) -> Column:
+    """The objects of a list as structs of these fields, each of its type, or null if it's of the wrong kind."""
+    entries = f"array<struct<{','.join(f'{c}:{t}' for c, t in fields.items())}>>"
+    return F.coalesce(F.filter(at(v, name, entries), lambda x: x.isNotNull()), F.array().cast(entries))
+
+
+def strings_of(xs: Column) -> Column:
+    """The strings of an array of variants; of a missing one none."""
+    xs = F.coalesce(xs, F.array().cast("array<variant>"))
+    return F.transform(F.filter(xs, lambda x: kind(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+
+
 def strings_at(v: Column, name: str) -> Column:
-    return F.transform(F.filter(list_at(v, name), lambda x: kind(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return strings_of(at(v, name, "array<variant>"))
 
 
 def _snake(c: Column) -> Column:
@@ -315,51 +327,79 @@ def _share(v: Column, name: str) -> Column:
     return F.coalesce(at(v, name, "double"), F.lit(0.5))
 
 
-def cited(items: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """items (key, part, n, ..., ids) by their ids: (key, part, n, k, evidence_id, guideline_name, section, snippet, relevance_score) of those that were retrieved for the key; unknown ids go. An equi-join, whatever the number of ids."""
-    asked = items.select(key, "part", "n", F.posexplode("ids").alias("k", "evidence_id"))
+def cited(items: DataFrame, chunks: DataFrame, key: str, name: str) -> DataFrame:
+    """items (key, part, n, name, ids) by their ids: (key, part, n, k, evidence_id, guideline_name, section, snippet, relevance_score, name) of those that were retrieved for the key; unknown ids go. An equi-join, whatever the number of ids."""
+    asked = items.select(key, "part", "n", name, F.posexplode("ids").alias("k", "evidence_id"))
     known = chunks.select(key, "evidence_id", F.col("title").alias("guideline_name"), F.col("heading_path").alias("section"), F.substring("text", 1, 200).alias("snippet"), F.col("score").alias("relevance_score"))
-    return asked.join(known.dropDuplicates([key, "evidence_id"]), [key, "evidence_id"]).select(key, "part", "n", "k", "evidence_id", "guideline_name", "section", "snippet", "relevance_score")
+    # Dealt before they are compared, chunks are sorted once, for this and for the join.
+    known = known.repartition(key, "evidence_id").dropDuplicates([key, "evidence_id"])
+    return asked.join(known, [key, "evidence_id"]).select(key, "part", "n", "k", "evidence_id", "guideline_name", "section", "snippet", "relevance_score", name)
+
+
+def _each(df: DataFrame, key: str, reply: str, of: Callable[[Column], Column]) -> DataFrame:
+    """key and the structs that of gives for a reply (none for null). A filter, or an explode for each list, would parse the reply again."""
+    return df.select(key, F.inline(once(F.col(reply), of)))
 
 
 def assessment_quality(df: DataFrame, chunks: DataFrame, key: str = "encounter_id", reply: str = "parsed") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores, items, citations) of assessment replies. A verdict that is none of the three makes the whole reply count as failed: 0.5 and borderline."""
     v = F.col(reply)
-    said = F.coalesce(at(v, "verdict", "string"), F.lit("borderline"))
-    ok = v.isNotNull() & said.isin("good", "borderline", "poor")
+    verdict = lambda v: F.coalesce(at(v, "verdict", "string"), F.lit("borderline"))
+    fine = lambda v: v.isNotNull() & verdict(v).isin("good", "borderline", "poor")
     red = F.size(F.filter(objects_at(v, "missed_differentials"), lambda x: F.coalesce(at(x, "is_red_flag", "boolean"), F.lit(False))))
-    of = lambda c, other: F.when(ok, c).otherwise(other)
-    scores = df.select(key, of(_share(v, "dx_coherence_score"), 0.5).alias("dx_coherence_score"), of(_share(v, "differential_breadth_score"), 0.5).alias("differential_breadth_score"), of(said, "borderline").alias("verdict"), of(red, 0).alias("red_flag_misses"))
+    of = lambda c, other: F.when(fine(v), c).otherwise(other)
+    scores = df.select(key, of(_share(v, "dx_coherence_score"), 0.5).alias("dx_coherence_score"), of(_share(v, "differential_breadth_score"), 0.5).alias("differential_breadth_score"), of(verdict(v), "borderline").alias("verdict"), of(red, 0).alias("red_flag_misses"))
+
+    def part(v: Column, name: str, field: str, label: str, ids: str, whole: bool) -> Column:
+        more = {"coherence_with_evidence": "double", "reasoning": "string", "is_red_flag": "boolean", "concerns": "array<variant>"} if whole else {}
 
-    def part(name: str, field: str, label: str, ids: str) -> DataFrame:
-        rows = df.filter(ok).select(key, F.lit(name).alias("part"), F.posexplode(objects_at(v, field)).alias("n", "x"))
-        x = F.col("x")
-        return rows.select(key, "part", "n", F.coalesce(at(x, label, "string"), F.lit("")).alias("name"), F.when(F.lit(name == "diagnosis"), _share(x, "coherence_with_evidence")).alias("coherence"), F.coalesce(at(x, "reasoning", "string"), F.lit("")).alias("reasoning"), F.coalesce(at(x, "is_red_flag", "boolean"), F.lit(False)).alias("is_red_flag"), strings_at(x, "concerns").alias("concerns"), strings_at(x, ids).alias("ids"))
+        def item(x: Column, n: Column) -> Column:
+            told = []
+            if whole:
+                coherence = F.coalesce(x["coherence_with_evidence"], F.lit(0.5)) if name == "diagnosis" else F.lit(None).cast("double")
+                told = [coherence.alias("coherence"), F.coalesce(x["reasoning"], F.lit("")).alias("reasoning"), F.coalesce(x["is_red_flag"], F.lit(False)).alias("is_red_flag"), strings_of(x["concerns"]).alias("concerns")]
+            return F.struct(F.lit(name).alias("part"), n.alias("n"), F.coalesce(x[label], F.lit("")).alias("name"), *told, *([] if whole else [strings_of(x[ids]).alias("ids")]))
 
-    items = part("diagnosis", "diagnosis_evaluations", "diagnosis", "guideline_support").union(part("missed", "missed_differentials", "condition", "guideline_evidence"))
-    return scores, items.drop("ids"), cited(items, chunks, key)
+        return F.transform(typed_at(v, field, {label: "string", **(more or {ids: "array<variant>"})}), item)
+
+    def parts(whole: bool) -> DataFrame:
+        both = lambda v: F.concat(part(v, "diagnosis", "diagnosis_evaluations", "diagnosis", "guideline_support", whole), part(v, "missed", "missed_differentials", "condition", "guideline_evidence", whole))
+        return _each(df, key, reply, lambda v: F.when(fine(v), both(v)))
+
+    return scores, parts(True), cited(parts(False), chunks, key, "name")
 
 
 def plan_quality(df: DataFrame, chunks: DataFrame, key: str = "encounter_id", reply: str = "parsed") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(scores, guideline checks, safety checks, citations) of plan replies. Unknown types and states get the usual one; failures are counted by what the reply says itself."""
     v = F.col(reply)
-    said = F.coalesce(at(v, "verdict", "string"), F.lit("needs_review"))
-    ok = v.isNotNull() & said.isin("safe", "needs_review", "unsafe")
-    of = lambda c, other: F.when(ok, c).otherwise(other)
-    known = lambda x, name, values, other: F.when(at(x, name, "string").isin(*values), at(x, name, "string")).otherwise(other)
+    verdict = lambda v: F.coalesce(at(v, "verdict", "string"), F.lit("needs_review"))
+    fine = lambda v: v.isNotNull() & verdict(v).isin("safe", "needs_review", "unsafe")
+    of = lambda c, other: F.when(fine(v), c).otherwise(other)
+    of_known = lambda c, values, other: F.when(c.isin(*values), c).otherwise(other)
     failed = F.filter(objects_at(v, "safety_checks"), lambda x: F.coalesce(at(x, "status", "string") == "fail", F.lit(False)))
     deviations = F.size(F.filter(objects_at(v, "guideline_checks"), lambda x: F.coalesce(at(x, "guideline_adherence", "string") == "deviation", F.lit(False))))
     critical = F.size(F.filter(failed, lambda x: F.coalesce(at(x, "severity", "string") == "critical", F.lit(False))))
     flags = [of(F.coalesce(at(v, c, "boolean"), F.lit(False)), False).alias(c) for c in ("missing_return_precautions", "missing_follow_up")]
     shares = [of(_share(v, c), 0.5).alias(c) for c in ("guideline_adherence_score", "safety_score")]
     counts = [of(c, 0).alias(n) for n, c in (("guideline_deviations", deviations), ("safety_failures", F.size(failed)), ("critical_safety_issues", critical))]
-    scores = df.select(key, *shares, of(said, "needs_review").alias("verdict"), *flags, *counts)
-    x = F.col("x")
-    checks = df.filter(ok).select(key, F.lit("plan").alias("part"), F.posexplode(objects_at(v, "guideline_checks")).alias("n", "x"))
-    checks = checks.select(key, "part", "n", F.coalesce(at(x, "plan_item", "string"), F.lit("")).alias("plan_item"), known(x, "item_type", ITEM_TYPES, "other").alias("item_type"), known(x, "guideline_adherence", ADHERENCE, "uncertain").alias("guideline_adherence"), at(x, "deviation_explanation", "string").alias("deviation_explanation"), strings_at(x, "guideline_citations").alias("ids"))
-    safety = df.filter(ok).select(key, F.posexplode(objects_at(v, "safety_checks")).alias("n", "x"))
-    safety = safety.select(key, "n", known(x, "check_type", CHECK_TYPES, "other").alias("check_type"), known(x, "status", STATUSES, "pass").alias("status"), F.coalesce(at(x, "description", "string"), F.lit("")).alias("description"), strings_at(x, "related_items").alias("related_items"), known(x, "severity", SEVERITIES, "moderate").alias("severity"))
-    return scores, checks.drop("ids"), safety, cited(checks, chunks, key)
+    scores = df.select(key, *shares, of(verdict(v), "needs_review").alias("verdict"), *flags, *counts)
+
+    def check(x: Column, n: Column) -> Column:
+        return F.struct(F.lit("plan").alias("part"), n.alias("n"), F.coalesce(x["plan_item"], F.lit("")).alias("plan_item"), of_known(x["item_type"], ITEM_TYPES, "other").alias("item_type"), of_known(x["guideline_adherence"], ADHERENCE, "uncertain").alias("guideline_adherence"), x["deviation_explanation"].alias("deviation_explanation"))
+
+    def asked(x: Column, n: Column) -> Column:
+        return F.struct(F.lit("plan").alias("part"), n.alias("n"), F.coalesce(x["plan_item"], F.lit("")).alias("plan_item"), strings_of(x["guideline_citations"]).alias("ids"))
+
+    def safe(x: Column, n: Column) -> Column:
+        return F.struct(n.alias("n"), of_known(x["check_type"], CHECK_TYPES, "other").alias("check_type"), of_known(x["status"], STATUSES, "pass").alias("status"), F.coalesce(x["description"], F.lit("")).alias("description"), strings_of(x["related_items"]).alias("related_items"), of_known(x["severity"], SEVERITIES, "moderate").alias("severity"))
+
+    def listed(name: str, fields: Mapping[str, str], of: Callable[[Column, Column], Column]) -> DataFrame:
+        return _each(df, key, reply, lambda v: F.when(fine(v), F.transform(typed_at(v, name, fields), of)))
+
+    checks = listed("guideline_checks", dict.fromkeys(("plan_item", "item_type", "guideline_adherence", "deviation_explanation"), "string"), check)
+    safety = listed("safety_checks", dict.fromkeys(("check_type", "status", "description", "severity"), "string") | {"related_items": "array<variant>"}, safe)
+    cites = listed("guideline_checks", {"plan_item": "string", "guideline_citations": "array<variant>"}, asked)
+    return scores, checks, safety, cited(cites, chunks, key, "plan_item")
 
 
 def answer_of(df: DataFrame, reply: str = "parsed") -> DataFrame:

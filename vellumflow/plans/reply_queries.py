@@ -112,9 +112,8 @@ def quality_citations(spark, sf_dir):
     replies = told.select("encounter_id", F.try_parse_json(_said('{"verdict": "', verdict, '", "diagnosis_evaluations": [', entry, "]}")).alias("parsed"))
     found = lines.join(read(spark, sf_dir, "part").filter("p_size > 10"), F.col("p") == F.col("p_partkey"))
     chunks = found.select("encounter_id", F.col("p").cast("string").alias("evidence_id"), F.col("p_brand").alias("title"), F.lit("h").alias("heading_path"), F.col("p_name").alias("text"), F.lit(1.0).alias("score"))
-    _, items, citations = Y.assessment_quality(replies, chunks)
-    named = items.filter("part = 'diagnosis'").select("encounter_id", "part", F.col("n").alias("place"), "name")
-    return citations.withColumnRenamed("n", "place").join(named, ["encounter_id", "part", "place"]).select("encounter_id", F.col("name").cast("int").alias("n"), "evidence_id", "guideline_name", "snippet")
+    citations = Y.assessment_quality(replies, chunks)[2].filter("part = 'diagnosis'")
+    return citations.select("encounter_id", F.col("name").cast("int").alias("n"), "evidence_id", "guideline_name", "snippet")
 
 
 def _spoken(spark, sf_dir):
