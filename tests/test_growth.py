@@ -91,3 +91,26 @@ def test_citations_parse_a_reply_once(spark):
     assert [tuple(r)[2:] for r in made.collect()] == [(0, "p", "referral", "uncertain", None)]
     assert [tuple(r)[1:] for r in safety.collect()] == [(0, "other", "fail", "", ["q"], "moderate")]
     assert [(r["evidence_id"], r["plan_item"]) for r in cited.collect()] == [("a", "p")]
+
+
+def test_prompts_are_put_together_after_the_shuffle(spark):
+    """Chunks go through shuffle and sort as their columns and the length of their entry; texts that are made of these give the same prompts as whole ones."""
+    plain = random.Random(3)
+    rows = [(k, n, str(n), plain.choice(["T", "Title", None]), "h", plain.choice(["ab", "cde", None, "f" * 400])) for k in range(20) for n in range(plain.randint(1, 9))] + [(20, 0, "0", "T" * 1600, "h", "a")]
+    chunks = spark.createDataFrame(rows, "encounter_id int, rank int, evidence_id string, title string, heading_path string, text string")
+    made = S.guideline_text(chunks, most=1500, said=lambda text: F.repeat(text, F.lit(200)))
+    below = plan(made).split("Window")[1]
+    assert below.count("repeat(") == below.count("length(concat([") == 1
+    got = {r["encounter_id"]: r["guidelines"] for r in made.collect()}
+    whole = S.guideline_text(chunks.withColumn("text", F.repeat("text", F.lit(200))), most=1500)
+    assert got == {r["encounter_id"]: r["guidelines"] for r in whole.collect()}
+    want = {}
+    for k in range(21):
+        held, so_far = [], 0
+        for _, n, e, title, path, text in sorted(r for r in rows if r[0] == k):
+            if title is not None and text is not None:
+                entry = f"[{e}] {title} - {path}\n{(text * 200)[:500]}"
+                so_far += len(entry)
+                held += [entry] if so_far <= 1500 else []
+        want[k] = "\n\n".join(held) or "No relevant guidelines found."
+    assert got == want and got[20] == "No relevant guidelines found." and len(set(got.values())) > 15

@@ -51,14 +51,23 @@ def patient_facts(chief_complaint: Column, symptoms: Column, vitals: Column, med
     return F.when(lines == "", "No patient facts available.").otherwise(lines)
 
 
-def guideline_text(chunks: DataFrame, key: str = "encounter_id", order: str = "rank", most: int = 4000) -> DataFrame:
-    """(key, guidelines): each key's chunks (evidence_id, title, heading_path, text) in order as long as their entries have at most `most` characters together. A key whose first entry is too long has a row that says there are none."""
-    entry = F.concat(F.lit("["), F.col("evidence_id"), F.lit("] "), F.col("title"), F.lit(" - "), F.col("heading_path"), F.lit("\n"), F.substring("text", 1, 500))
-    so_far = F.sum(F.length("_e")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = chunks.withColumn("_e", entry).withColumn("_n", so_far)
-    used = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct(order, "_e"))))
-    text = F.array_join(F.transform(used, lambda x: x["_e"]), "\n\n")
-    return rows.groupBy(key).agg(F.when(F.size(used) > 0, text).otherwise("No relevant guidelines found.").alias("guidelines"))
+def guideline_text(chunks: DataFrame, key: str = "encounter_id", order: str = "rank", most: int = 4000, said: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, guidelines): each key's chunks (evidence_id, title, heading_path, text) in order as long as their entries have at most `most` characters together. A key whose first entry is too long has a row that says there are none.
+
+    said makes a chunk's text of its column text, if that is shorter: only columns and lengths are shuffled and sorted, and entries are put together of those that are used.
+    """
+    names = ("evidence_id", "title", "heading_path", "text")
+    of = said or (lambda text: text)
+
+    def entry(x: Column) -> Column:
+        return F.concat(F.lit("["), x["evidence_id"], F.lit("] "), x["title"], F.lit(" - "), x["heading_path"], F.lit("\n"), F.substring(of(x["text"]), 1, 500))
+
+    rows = chunks if said else chunks.withColumn("text", F.substring("text", 1, 500))
+    rows = rows.select(key, order, *names, F.length(entry(F.struct(*names))).alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    used = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct(order, F.struct(*names).alias("_c")))))
+    text = F.array_join(F.transform(used, lambda x: entry(x["_c"])), "\n\n")
+    return rows.withColumn("_n", so_far).groupBy(key).agg(F.when(F.size(used) > 0, text).otherwise("No relevant guidelines found.").alias("guidelines"))
 
 
 def note_prompt(note: Column) -> Column:

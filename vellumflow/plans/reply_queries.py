@@ -194,9 +194,10 @@ s AS (SELECT *, sum(length(entry)) OVER (PARTITION BY l_orderkey ORDER BY n, m R
 SELECT l_orderkey AS encounter_id, coalesce(string_agg(entry, chr(10) || chr(10) ORDER BY n, m) FILTER (WHERE so_far <= 2000), 'No relevant guidelines found.') AS guidelines FROM s GROUP BY l_orderkey""")
 def guideline_prompts(spark, sf_dir):
     """The first chunks that fit into a prompt."""
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("encounter_id"), F.struct("l_linenumber", "l_partkey").alias("rank"), F.col("l_partkey").alias("p_partkey"))
-    chunks = lines.join(read(spark, sf_dir, "part"), "p_partkey").select("encounter_id", "rank", F.col("p_partkey").cast("string").alias("evidence_id"), F.col("p_brand").alias("title"), F.col("p_type").alias("heading_path"), F.repeat(_said(F.col("p_name"), " "), F.lit(60)).alias("text"))
-    return S.guideline_text(chunks, most=2000)
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("encounter_id"), "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    rank = F.struct("l_linenumber", "p_partkey").alias("rank")
+    chunks = lines.join(read(spark, sf_dir, "part"), "p_partkey").select("encounter_id", rank, F.col("p_partkey").cast("string").alias("evidence_id"), F.col("p_brand").alias("title"), F.col("p_type").alias("heading_path"), F.col("p_name").alias("text"))
+    return S.guideline_text(chunks, most=2000, said=lambda name: F.repeat(_said(name, " "), F.lit(60)))
 
 
 @query("""SELECT c_custkey, 'Chief Complaint: ' || c_name || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'Symptoms: ' || c_mktsegment ELSE 'Pertinent Negatives: ' || c_mktsegment END || chr(10) || 'Vitals: hr=' || c_nationkey || chr(10) || 'Risk Factors: a, b, c, d, e' AS facts FROM customer""")
