@@ -99,8 +99,8 @@ def test_prompts_are_put_together_after_the_shuffle(spark):
     rows = [(k, n, str(n), plain.choice(["T", "Title", None]), "h", plain.choice(["ab", "cde", None, "f" * 400])) for k in range(20) for n in range(plain.randint(1, 9))] + [(20, 0, "0", "T" * 1600, "h", "a")]
     chunks = spark.createDataFrame(rows, "encounter_id int, rank int, evidence_id string, title string, heading_path string, text string")
     made = S.guideline_text(chunks, most=1500, said=lambda text: F.repeat(text, F.lit(200)))
-    below = plan(made).split("Window")[1]
-    assert below.count("repeat(") == below.count("length(concat([") == 1
+    below = plan(made).split("Window")[-1]
+    assert below.count("repeat(") == below.count("length(concat([") == 1 and "Aggregate" not in plan(made)
     got = {r["encounter_id"]: r["guidelines"] for r in made.collect()}
     whole = S.guideline_text(chunks.withColumn("text", F.repeat("text", F.lit(200))), most=1500)
     assert got == {r["encounter_id"]: r["guidelines"] for r in whole.collect()}

@@ -64,10 +64,13 @@ def guideline_text(chunks: DataFrame, key: str = "encounter_id", order: str = "r
 
     rows = chunks if said else chunks.withColumn("text", F.substring("text", 1, 500))
     rows = rows.select(key, order, *names, F.length(entry(F.struct(*names))).alias("_n"))
-    so_far = F.sum("_n").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    used = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct(order, F.struct(*names).alias("_c")))))
-    text = F.array_join(F.transform(used, lambda x: entry(x["_c"])), "\n\n")
-    return rows.withColumn("_n", so_far).groupBy(key).agg(F.when(F.size(used) > 0, text).otherwise("No relevant guidelines found.").alias("guidelines"))
+    # Both frames go over the same sorted rows; an aggregate after the first would sort them again.
+    own = Window.partitionBy(key).orderBy(order)
+    so_far = F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    used = F.collect_list(F.when(F.col("_n") <= most, F.struct(*names))).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = rows.withColumn("_n", so_far).select(key, used.alias("_used"), F.row_number().over(own).alias("_k")).filter("_k = 1")
+    text = F.array_join(F.transform("_used", entry), "\n\n")
+    return first.select(key, F.when(F.size("_used") > 0, text).otherwise("No relevant guidelines found.").alias("guidelines"))
 
 
 def note_prompt(note: Column) -> Column:
